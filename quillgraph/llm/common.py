@@ -58,22 +58,22 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int,
     return a.select(*rows.columns, *columns).unionByName(b.select(*rows.columns, *columns))
 
 
-def running_total(df: DataFrame, chunk: list[str], order: list[Column], value: str, out: str, within: list[str]) -> DataFrame:
-    """Exact running sum of `value` in a global order, without a window over a whole group.
+def broadcast_small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows; else Spark chooses the join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
-    chunk names columns that cut the order into consecutive chunks of bounded size: `within` (the groups that
-    have sums of their own, maybe none) and last the chunk's number. Rows are summed within chunks, and the
-    chunks' totals (one row a chunk) are summed over the chunks before.
+
+def running_total(df: DataFrame, group: str | None, chunk: str, order: list[Column], value: Column, out: str) -> DataFrame:
+    """Exact running sum of `value` in a global order (or in each group's), without a window over a whole group.
+
+    The columns group and chunk, not null, cut the order into consecutive chunks of bounded size. Rows are summed
+    within chunks, and the chunks' totals (one row a chunk) over the chunks before.
     """
-    last = chunk[-1]
-    totals = df.groupBy(*chunk).agg(F.sum(value).alias("__sum"))
-    before = Window.partitionBy(*within).orderBy(last).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
-    inside = Window.partitionBy(*chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("__inside", F.sum(value).over(inside))
-    renamed = totals.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(chunk)), "__before")
-    same = None
-    for i, c in enumerate(chunk):
-        e = F.col(c).eqNullSafe(F.col(f"__k{i}"))
-        same = e if same is None else same & e
-    return rows.join(renamed, same).withColumn(out, F.col("__before") + F.col("__inside")).drop("__inside", "__before", *(f"__k{i}" for i in range(len(chunk))))
+    keys = [chunk] if group is None else [group, chunk]
+    rows = df.withColumn("__value", value)
+    totals = rows.groupBy(*keys).agg(F.sum("__value").alias("__sum"))
+    before = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__inside", F.sum("__value").over(inside))
+    return rows.join(totals, keys).withColumn(out, F.col("__before") + F.col("__inside")).drop("__inside", "__before", "__value")

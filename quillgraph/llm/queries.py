@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .mixing import mix
+from .packing import pack_documents
 from .pii import find_pii
 from .secrets import find_secrets
 from .warc import round_trip
@@ -15,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """Of the public tokenizer whose files are installed on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -27,11 +36,19 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer or tokenizer_path())
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_secret_scan, op4_warc, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_secret_scan, op4_warc, op6_mixing, op9_packing, op10_pii)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
@@ -50,4 +67,23 @@ ORACLE_SQL = {
                CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> keep THEN keep END AS refers_to
         FROM k""",
+    "op6_mixing": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                          md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents),
+             s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank
+                   FROM d GROUP BY source),
+             w AS (SELECT *, [3, 1, 2][CAST((rank - 1) % 3 + 1 AS INT)] AS weight, 2 * source_size AS cap FROM s),
+             f AS (SELECT *, CAST(source_size AS DOUBLE) / weight AS filling, CAST(1.5 AS DOUBLE) * CAST(sum(source_size) OVER () AS BIGINT) AS budget FROM w),
+             l AS (SELECT *, (budget - CAST(coalesce(sum(cap) OVER (ORDER BY filling, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT))
+                             / CAST(sum(weight) OVER (ORDER BY filling, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level FROM f),
+             o AS (SELECT *, row_number() OVER (ORDER BY filling, rank) AS place_of FROM l),
+             x AS (SELECT min(place_of) AS at, arg_min(level, place_of) AS level FROM o WHERE level * weight <= cap),
+             t AS (SELECT source, source_size, rank, budget, CASE WHEN place_of >= x.at THEN x.level * weight ELSE CAST(cap AS DOUBLE) END AS target FROM o, x),
+             r AS (SELECT doc_id, place, size, source_size, rank, target, budget,
+                          CAST(sum(size) OVER (PARTITION BY rank ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run
+                   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+             c AS (SELECT doc_id, place, size, rank, budget, (run + k * source_size) / target AS finish FROM r, (VALUES (0), (1)) v(k) WHERE size > 0),
+             m AS (SELECT doc_id, size, budget, CAST(sum(size) OVER (ORDER BY finish, rank, place, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM c),
+             n AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM m WHERE total <= budget GROUP BY doc_id)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM r LEFT JOIN n USING (doc_id)""",
 }

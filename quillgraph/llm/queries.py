@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .packing import pack_documents
 from .pii import find_pii
+from .quality import classify
 from .secrets import find_secrets
 from .warc import round_trip
 
@@ -36,10 +38,18 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer or tokenizer_path())
 
@@ -48,7 +58,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_secret_scan, op4_warc, op6_mixing, op9_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_secret_scan, op4_warc, op5_nearest, op6_mixing, op7_quality, op9_packing, op10_pii)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""

@@ -18,6 +18,7 @@ from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import running_total, stage
 
-KNOWN_WORDS = 500_000  # entries of a worker's word cache
+KNOWN_WORDS = 1_000_000  # entries of a worker's word cache
 SLICE = 1 << 20  # characters tokenised at a time
 
 
@@ -40,28 +41,41 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-@cache
-def word_cache(path: str) -> dict[str, bytes]:
-    return {"": b""}
+#: Byte-level vocabularies spell a byte as the character of its number, or if that isn't printable as the next of those from 256 on.
+SPELLING = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+
+
+class Words(dict):
+    """The ids of words, as little-endian unsigned 32-bit numbers; encoded when first asked for. When the cache is
+    full, words that it lacks (rare ones: frequent words came early) are encoded each time."""
+
+    def __init__(self, path: str):
+        self.encode, self.model = tokenizer(path).encode, tokenizer(path).model.tokenize
+
+    def __missing__(self, w: str) -> bytes:
+        if w.isalpha() and w.islower() and w == w.lower() and is_normalized("NFC", w):  # one piece, as it is
+            ids = array("I", [t.id for t in self.model(w.encode().decode("latin-1").translate(SPELLING))]).tobytes()
+        elif w.isascii() and w.isalpha():  # the normaliser lowers letters
+            ids = self[w.lower()]
+        elif w[-1:] in (".", ",") and w[-2:-1].lower().isalpha():  # the pre-tokenizer cuts behind a letter
+            ids = self[w[:-1]] + self[w[-1]]
+        else:
+            ids = array("I", self.encode(w, add_special_tokens=False).ids).tobytes()
+        if len(self) < KNOWN_WORDS:
+            self[w] = ids
+        return ids
+
+
+known_words = cache(Words)  # of this worker
 
 
 def encode_all(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers, equal to the tokenizer's over the whole text.
-
-    For a tokenizer whose pre-tokenizer splits at white space and drops it: words between blanks, line feeds
-    and tabs are encoded apart, and each distinct word once as long as it is in the cache."""
-    known = word_cache(path)
-    split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-    new = list(set().union(*split) - known.keys())
-    if len(known) + len(new) > KNOWN_WORDS:
-        known.clear()
-        known[""] = b""
-        new = list(set().union(*split) - known.keys())
-    t = tokenizer(path)
-    for i in range(0, len(new), 10_000):
-        for w, e in zip(new[i : i + 10_000], t.encode_batch_fast(new[i : i + 10_000], add_special_tokens=False), strict=True):
-            known[w] = array("I", e.ids).tobytes()
-    return [b"".join([known[w] for w in words]) for words in split]
+    """Ids of each text, equal to the tokenizer's over the whole text.
+
+    For a tokenizer that lowers letters and whose pre-tokenizer splits at white space, drops it, and parts runs of letters from
+    other signs: words between blanks, line feeds and tabs are encoded apart, and the cached ones once."""
+    known = known_words(path).__getitem__
+    return [b"".join(map(known, t.replace("\n", " ").replace("\t", " ").split(" "))) for t in texts]
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:

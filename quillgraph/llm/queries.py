@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .exact_dedup import exact_dedup
+from .jaccard import near_duplicates
 from .mixing import mix
 from .packing import pack_documents
 from .pii import find_pii
@@ -30,6 +31,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90).drop("n_links")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_secret_scan, op4_warc, op5_nearest, op6_mixing, op7_quality, op9_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_jaccard, op3_secret_scan, op4_warc, op5_nearest, op6_mixing, op7_quality, op9_packing, op10_pii)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
@@ -96,4 +101,18 @@ ORACLE_SQL = {
              m AS (SELECT doc_id, size, budget, CAST(sum(size) OVER (ORDER BY finish, rank, place, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM c),
              n AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM m WHERE total <= budget GROUP BY doc_id)
         SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM r LEFT JOIN n USING (doc_id)""",
+    "op2_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+               SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x20\x09-\x0D]+') AS ws FROM documents),
+             l AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                          ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) END AS ss FROM w),
+             s AS (SELECT doc_id, len(ss) AS n, unnest(ss) AS s FROM l),
+             o AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
+                   FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+             e AS (SELECT x, y FROM o WHERE 100 * c >= 90 * (n + m - c)),
+             d AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+             r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, d.y FROM r JOIN d ON r.y = d.x),
+             k AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+        SELECT doc_id, CAST(len(ss) AS BIGINT) AS n_shingles, component_id FROM l JOIN k USING (doc_id)""",
 }

@@ -13,6 +13,7 @@ from .packing import pack_documents
 from .pii import find_pii
 from .quality import classify
 from .secrets import find_secrets
+from .suffix_dedup import remove_repeats
 from .warc import round_trip
 
 
@@ -55,6 +56,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer or tokenizer_path())
 
@@ -63,7 +68,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_jaccard, op3_secret_scan, op4_warc, op5_nearest, op6_mixing, op7_quality, op9_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_jaccard, op3_secret_scan, op4_warc, op5_nearest, op6_mixing, op7_quality, op8_suffix_dedup, op9_packing, op10_pii)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""

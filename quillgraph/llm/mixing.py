@@ -79,4 +79,14 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         return F.when((F.col("target") > 0) & (mine <= limit), F.col("size")).otherwise(F.lit(0))
 
     times = sum((taken(k) for k in range(1, repeats)), taken(0))
-    return run.select(F.col("id").alias(id_col), F.col("source"), "size", "source_size", "target", times.cast("long").alias("taken"))
+    return run.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", times.cast("long").alias("taken"))
+
+
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of df that the mix takes, each as many times as it is taken, with df's own columns."""
+    taken = mix(df, id_col, text_col, source_col, **options).where("taken > 0")
+    times = taken.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__size"), (F.col("taken") / F.col("size")).cast("int").alias("__times")).distinct()
+    words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (words == F.col("__size"))
+    rows = df.join(broadcast_small(stage(times, "times"), 2_000_000), same)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -8,7 +8,8 @@ aren't paired up: each member is a candidate with the list's pivot only (its mem
 round, members that aren't connected with the list's largest component yet are paired with the others from which T
 is reachable. Links between members of one component would change nothing, so no class is lost.
 
-Candidates are verified by DivideSkip: for a query and a block of its candidates, inverted lists over the query's shingles are
+Most candidates that are no links fall out by the parities of hashed shingle counts, a lower bound on the sets' difference. The rest is
+verified by DivideSkip: for a query and a block of its candidates, inverted lists over the query's shingles are
 parted into the longest and the others; the short ones are heap-merged, and candidates whose count can still
 reach T are probed for in the long ones by binary search.
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 from itertools import groupby
 
@@ -40,7 +41,7 @@ from .shingles import shingle_set
 LOCAL = 4
 SLICE = 1 << 21  # shingles counted at a time
 FREQUENT = 200_000
-LIST = 64
+LIST = 16
 BLOCK = 128  # candidates verified at a time
 SALTS = 16
 
@@ -215,51 +216,88 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], needs: list[int]) ->
     return [counts.get(c, 0) >= need for c, need in enumerate(needs)]
 
 
-def verify(df: DataFrame, id_col: str, text_col: str, words: int, percent: int, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are links."""
+def parities(s: np.ndarray) -> bytes:
+    """The number of shingles, and for each of a power of two of buckets, four a shingle at least, whether an odd number of shingles fall into it."""
+    buckets = max(64, 1 << (4 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.int64(len(s)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def maybe_near(query: bytes, others: list[bytes], percent: int) -> list[bool]:
+    """Whether parities allow a link: buckets of different parity hold a shingle that only one set has."""
+    n, mine = np.frombuffer(query[:8], np.int64)[0], np.frombuffer(query[8:], np.uint8)
+    out = []
+    for o in others:
+        m, bits, own = np.frombuffer(o[:8], np.int64)[0], np.frombuffer(o[8:], np.uint8), mine
+        while len(bits) > len(own):  # halves add up
+            bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+        while len(own) > len(bits):
+            own = own[: len(own) // 2] ^ own[len(own) // 2 :]
+        need = -(-percent * int(n + m) // (100 + percent))
+        out.append(int(np.bitwise_count(own ^ bits).sum()) <= int(n + m) - 2 * need)
+    return out
+
+
+def near(query: bytes, others: list[bytes], percent: int) -> list[bool]:
+    """Whether sets of shingles are links of the query's."""
+    needs = [-(-percent * (len(query) // 8 + len(o) // 8) // (100 + percent)) for o in others]
+    return divide_skip(np.frombuffer(query, np.uint64), [np.frombuffer(o, np.uint64) for o in others], needs)
+
+
+def compare(df: DataFrame, id_col: str, text_col: str, words: int, percent: int, classes: DataFrame, pairs: DataFrame, form: Callable[[np.ndarray], bytes], good: Callable[[bytes, list[bytes], int], list[bool]]) -> DataFrame:
+    """The pairs (a, b) of classes of which good(a's set, sets, percent) holds, with sets in the given form.
+
+    A query's candidates come in blocks of about BLOCK; its set goes to each of its blocks. Who needs which set is a small table: if
+    it can be broadcast, sets are made where the texts are and shuffled once, to their blocks."""
     pairs = stage(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = stage(classes.join(nodes, "cls", "left_semi").select(F.col("id").alias("__id")).distinct(), "wanted")
-    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(broadcast_small(wanted, 2_000_000), "__id", "left_semi")
+    wanted = stage(classes.join(nodes, "cls", "left_semi").select(F.col("id").alias("__id"), F.col("cls").alias("__cls")), "wanted")
+    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(broadcast_small(wanted, 2_000_000), "__id")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t.as_py(), words) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "shingles"])
+            mine = pa.array([signature(s) == c.as_py() for s, c in zip(sets, b.column(1), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([form(s) for s in sets], pa.binary())], ["cls", "shingles"]).filter(mine)
 
-    sets = texts.select("__text").mapInArrow(shingle, "cls binary, shingles binary").dropDuplicates(["cls"])
-    sets = stage(sets, "sets")
-    # blocks of about BLOCK candidates of a query; the query's set goes to each of its blocks
+    sets = texts.select("__text", "__cls").mapInArrow(shingle, "cls binary, shingles binary")
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = pairs.join(sizes, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    asked = sizes.select("a", F.lit(None).cast("binary").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    rows = asked.join(sets.withColumnRenamed("cls", "a"), "a").select("a", "block", "b", "shingles")
-    rows = rows.unionByName(dealt.join(sets.withColumnRenamed("cls", "b"), "b").select("a", "block", "b", "shingles"))
+    asked = sizes.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("binary").alias("b"))
+    seats = stage(asked.unionByName(dealt.select(F.col("b").alias("cls"), "a", "block", "b")), "seats")
+    rows = sets.join(broadcast_small(seats, 1_000_000), "cls").select("a", "block", "b", "shingles")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(query: tuple, block: list[tuple]) -> list[bytes]:
-            needs = [-(-percent * (len(query[3]) // 8 + len(r[3]) // 8) // (100 + percent)) for r in block]
-            good = divide_skip(np.frombuffer(query[3], np.uint64), [np.frombuffer(r[3], np.uint64) for r in block], needs)
-            return [r[2] for r, ok in zip(block, good, strict=True) if ok]
+        def links(query: tuple, block: list[tuple]) -> list[tuple[bytes, bytes]]:
+            return [(query[0], r[2]) for r, ok in zip(block, good(query[3], [r[3] for r in block], percent), strict=True) if ok]
+
+        def batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
 
         query, block = None, []
         for b in batches:
             out: list[tuple[bytes, bytes]] = []
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if r[2] is None:
-                    out += [(query[0], x) for x in links(query, block)] if query else []
+                    out += links(query, block) if query else []
                     query, block = r, []
                 else:
                     block.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["a", "b"])
+            yield batch(out)
         if query:
-            found = links(query, block)
-            yield pa.RecordBatch.from_arrays([pa.array([query[0]] * len(found), pa.binary()), pa.array(found, pa.binary())], ["a", "b"])
+            yield batch(links(query, block))
 
     sorted_rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
     return stage(sorted_rows.mapInArrow(search, "a binary, b binary"), "links")
 
 
+def verify(df: DataFrame, id_col: str, text_col: str, words: int, percent: int, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are links: first those that the sets' parities (half a byte a shingle) can't rule out, then by
+    DivideSkip over the sets themselves."""
+    left = compare(df, id_col, text_col, words, percent, classes, pairs, parities, maybe_near)
+    return compare(df, id_col, text_col, words, percent, classes, left, np.ndarray.tobytes, near)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Per row of df: id_col, n_shingles, component_id (the smallest id of those reachable by links), n_links (links
     of the row's shingle set with other sets that were verified; connected sets aren't compared in vain)."""

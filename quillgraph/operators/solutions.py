@@ -7,7 +7,7 @@ an action on `.df`.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -165,5 +165,3 @@ def extreme(variable: str, largest: bool = False) -> Column:
     key = F.when(t.isNotNull(), F.struct(T.kind_rank(t).alias("k"), T.num(t).alias("n"), T.lex(t).alias("x")))
     return (F.max_by if largest else F.min_by)(t, key)
 
-
-Filter = Callable[..., Column]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.store import shared_dir, stage  # noqa: F401
+from ..plans.store import shared_dir
 from ..sources.formats import parse_lines
 
 
@@ -22,8 +24,6 @@ def windowed_counts(events: DataFrame, time: str, every: str, late: str, *keys:
 
 def run_to_end(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over all that is there, into Parquet in the shared folder; read the result."""
-    import uuid
-
     spark = stream.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows")

@@ -40,8 +40,8 @@ from .shingles import shingle_set
 
 LOCAL = 4
 SLICE = 1 << 21  # shingles counted at a time
-FREQUENT = 200_000
-LIST = 16
+FREQUENT = 1_000_000
+LIST = 8
 BLOCK = 128  # candidates verified at a time
 SALTS = 16
 
@@ -292,10 +292,21 @@ def compare(df: DataFrame, id_col: str, text_col: str, words: int, percent: int,
 
 
 def verify(df: DataFrame, id_col: str, text_col: str, words: int, percent: int, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are links: first those that the sets' parities (half a byte a shingle) can't rule out, then by
-    DivideSkip over the sets themselves."""
+    """Pairs (a, b) of classes that are links, enough of them to connect what links connect: of the pairs that the sets' parities (half a
+    byte a shingle) can't rule out, first one for each class, then those between classes that aren't connected yet."""
     left = compare(df, id_col, text_col, words, percent, classes, pairs, parities, maybe_near)
-    return compare(df, id_col, text_col, words, percent, classes, left, np.ndarray.tobytes, near)
+    sure = lambda p: compare(df, id_col, text_col, words, percent, classes, p, np.ndarray.tobytes, near)
+    links = sure(left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    apart = stage(unconnected(left, connected_components(links)), "apart")
+    return links if apart.isEmpty() else links.unionByName(sure(apart)).distinct()
+
+
+def unconnected(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose classes are in different components."""
+    rows = pairs
+    for c in ("a", "b"):
+        rows = rows.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    return rows.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

@@ -32,7 +32,7 @@ GRAM = 32
 LONGER = 88  # bytes of the grams by which windows of crowded keys are dealt again
 RUN = 256
 CHUNK = 2 << 20  # bytes of text handled at a time
-SHARD = 4 << 20  # bytes of segments sorted at a time
+SHARD = 2 << 20  # bytes of segments sorted at a time
 CROWD = 2000  # different segments of a key beyond which they are dealt again
 LAST = (1 << 63) - 1
 PLACE = "id long, th long, start long, places long"
@@ -166,17 +166,23 @@ def compare(rows: DataFrame) -> DataFrame:
     return sorted_rows.select("key", "content", "id", "th", "start", "places", "twice").mapInArrow(stream, f"key long, {PLACE}, again boolean")
 
 
+#: Spans as they travel to their documents: two numbers, and where they are needed the key.
+SPAN = {"gone": np.dtype([("a", "<u4"), ("b", "<u4")]), "wanted": np.dtype([("a", "<u4"), ("b", "<u2"), ("key", "<i8")])}
+
+
 def spans_of(rows: DataFrame, name: str) -> DataFrame:
-    """A row for each document (id, th): its spans as little-endian 64-bit pairs."""
-    listed = rows.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b", "key"))).alias("x"))
+    """A row for each document (id, th): its spans, packed."""
+    kind = SPAN[name]
+    listed = rows.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct(*kind.names))).alias("x"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = []
             x = b.column(2)
             flat, at = x.flatten(), np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))])
-            parts = np.stack([flat.field(i).to_numpy(zero_copy_only=False) for i in range(3)], 1) if len(flat) else np.zeros((0, 3), np.int64)
-            spans = [parts[at[i] : at[i + 1]].astype(np.int64).tobytes() for i in range(b.num_rows)]
+            parts = np.empty(len(flat), kind)
+            for i, field in enumerate(kind.names):
+                parts[field] = flat.field(i).to_numpy(zero_copy_only=False)
+            spans = [parts[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.binary())], ["id", "th", name])
 
     return stage(listed.mapInArrow(packed, f"id long, th long, {name} binary"), name)
@@ -240,7 +246,7 @@ def repeated_spans(docs: DataFrame, length: int, memory: int) -> DataFrame:
             for ids, th, texts, rows in zip_rows(batch):
                 out: list[tuple] = []
                 for i, t, text, spans in zip(ids, th, texts, rows, strict=True):
-                    for a, b, key in np.frombuffer(spans, np.int64).reshape(-1, 3).tolist():
+                    for a, b, key in np.frombuffer(spans, SPAN["wanted"]).tolist():
                         data = text[a : a + b // 2 + length - 1]
                         if b % 2:
                             out += deal_again(key, i, t, a, data, length)
@@ -293,7 +299,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     judged = docs.select("id", "th", "text")
     if n != distinct or nulls:
         judged = judged.dropDuplicates(["id", "th"])
-    spans = repeated_spans(judged, length, memory).distinct().withColumn("key", F.lit(0).cast("long"))
+    spans = repeated_spans(judged, length, memory).distinct()
     rows = with_spans(docs, spans_of(spans, "gone"), "gone", "left").select("id", "th", "text", "gone", "no_id")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +308,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for text, gone in zip(batch.column(2), batch.column(3), strict=True):
                 data = (text.as_py() or "").encode()
                 parts, at, removed, runs = [], 0, 0, 0
-                for a, b, _ in np.frombuffer(gone.as_py() or b"", np.int64).reshape(-1, 3).tolist():
+                for a, b in np.frombuffer(gone.as_py() or b"", SPAN["gone"]).tolist():
                     if a > at or not runs:
                         parts.append(data[at:a])
                         runs += 1

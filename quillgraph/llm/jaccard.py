@@ -43,7 +43,7 @@ SLICE = 1 << 21  # shingles counted at a time
 FREQUENT = 1_000_000
 LIST = 8
 BLOCK = 128  # candidates verified at a time
-SALTS = 16
+SALTED = 1024  # members of a list a salt
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -182,13 +182,13 @@ def unconnected_pairs(rows: DataFrame, roots: DataFrame, percent: int) -> DataFr
     rows = rows.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     rows = stage(rows, "long_lists")
     sizes = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("k", "root"))["root"].alias("main"))
-    rest = rows.join(main, "token").where(F.col("root") != F.col("main"))
-    rest = rest.select("token", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("root").alias("root2"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
+    lists = sizes.groupBy("token").agg(F.max(F.struct("k", "root"))["root"].alias("main"), F.ceil(F.sum("k") / SALTED).cast("int").alias("salts"))
+    rows = rows.join(lists, "token")
+    rest = rows.where(F.col("root") != F.col("main")).select(*(F.col(c).alias(f"{c}2") for c in ("token", "cls", "n", "place", "root")), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt2"))
+    rows = rows.select("token", "cls", "n", "place", "root", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"))
     near = (F.col("root") != F.col("root2")) & reachable(F.col("n"), F.col("place"), F.col("n2"), F.col("place2"), percent)
-    on = (salted["token"] == rest["token"]) & (salted["salt"] == rest["salt"]) & near
-    return salted.join(rest, on).select(*ordered_pair(F.col("cls"), F.col("cls2"))).distinct()
+    on = (F.col("token") == F.col("token2")) & (F.col("salt") == F.col("salt2")) & near
+    return rows.join(rest, on).select(*ordered_pair(F.col("cls"), F.col("cls2"))).distinct()
 
 
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], needs: list[int]) -> list[bool]:

@@ -6,8 +6,10 @@ places with one key (about 35 places, cut at `RUN`) are a segment. Segments alon
 segments (found by their hashes, first within a task, so that copies are pre-aggregated) only the first is kept for sorting, and
 the windows of the others are removed. What is left, different segments under one key, is sorted in shards by external induced
 sorting (induced.py), with common-prefix values: runs of suffixes sharing `length` bytes are equal windows, of which the
-first in the order of documents stays. Keys of more than CROWD different segments are dealt again by longer
-grams, so that the contexts of a passage in a third of all documents spread over the shards.
+first in the order of documents stays. Segments of keys of more than CROWD different ones are dealt again by longer
+grams, equal ones again dropped, so that the contexts of a passage in a third of all documents spread over the shards. Keys that
+are still crowded then are told window by window: a window's first place is a pre-aggregated minimum by its hash. So a key
+never brings more than CROWD segments to a shard. A shard is sorted in memory (see induced.py for what goes to disk).
 
 Defined cases: null text counts as empty; order is by id, nulls last; rows of one id and different text are ordered by a hash
 of the text; rows equal in id and text are one document, judged once, each giving the same result; matches never cross
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_small, stage
+from .common import attach, broadcast_small, stage
 from .induced import suffix_order
 from .shingles import R, mix, powers
 
@@ -194,6 +196,64 @@ def with_spans(docs: DataFrame, spans: DataFrame, name: str, how: str) -> DataFr
     return docs.join(F.broadcast(spans) if n <= 1_000_000 and size <= 128 << 20 else spans, ["id", "th"], how)
 
 
+def zip_rows(b: pa.RecordBatch) -> Iterator[tuple]:
+    """ids, text hashes, texts and spans of a few rows at a time."""
+    for lo in range(0, b.num_rows, 64):
+        part = b.slice(lo, 64)
+        yield (*(part.column(i).to_pylist() for i in (0, 1)), [(t.as_py() or "").encode() for t in part.column(2)], part.column(3).to_pylist())
+
+
+def asked(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "th", F.col("start").alias("a"), F.col("places").alias("b"), "key")
+
+
+def whole_spans(rows: DataFrame, length: int) -> DataFrame:
+    return rows.select("id", "th", F.col("start").alias("a"), (F.col("start") + F.col("places") + length - 1).alias("b"))
+
+
+def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments of keys of at most CROWD, and those of crowded keys."""
+    crowded = stage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("key"), "crowded")
+    few = broadcast_small(crowded, 1_000_000)
+    return rows.join(few, "key", "left_anti"), rows.join(few, "key", "left_semi")
+
+
+def dealt_again(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """key, content, id, th, start, places, twice: segments in smaller ones, by the least longer grams of their windows."""
+    texts = with_spans(docs, spans_of(asked(rows), "wanted"), "wanted", "inner")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, th, texts, rows in zip_rows(b):
+                spans = [np.frombuffer(x, SPAN["wanted"]) for x in rows]
+                data = [text[a : a + n + length - 1] for text, x in zip(texts, spans, strict=True) for a, n, _ in x.tolist()]
+                owner = np.repeat(np.arange(len(spans)), [len(x) for x in spans])
+                flat = np.concatenate(spans)
+                which, start, places, key, content, twice = cut(owner, owner, data, length, LONGER)
+                of = owner[which]
+                key = mix(key ^ flat["key"][which].view(np.uint64))
+                yield table(names, [key, content, np.array(ids, np.int64)[of], np.array(th, np.int64)[of], start + flat["a"][which].astype(np.int64), places, twice])
+
+    names = ["key", "content", "id", "th", "start", "places", "twice"]
+    return stage(texts.select("id", "th", "text", "wanted").mapInArrow(deal, f"key long, content long, {PLACE}, twice boolean"), "dealt_again")
+
+
+def window_spans(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """id, th, a, b: the windows in segments that start earlier too. The rows of common windows aren't shuffled but for their minimum."""
+    texts = with_spans(docs, spans_of(asked(rows), "wanted"), "wanted", "inner")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, th, texts, rows in zip_rows(b):
+                out = [(hashlib.blake2b(text[s : s + length], digest_size=16).digest(), i, t, s) for i, t, text, spans in zip(ids, th, texts, rows, strict=True) for a, n, _ in np.frombuffer(spans, SPAN["wanted"]).tolist() for s in range(a, a + n)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64() if k else pa.binary()) for k in range(4)], ["window", "id", "th", "a"])
+
+    places = stage(texts.select("id", "th", "text", "wanted").mapInArrow(windows, "window binary, id long, th long, a long"), "windows")
+    firsts = places.groupBy("window").agg(F.min(F.struct("id", "th", "a")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = attach(places, stage(firsts, "first_windows"), "window", "n", places.count())
+    return found.where(F.struct("id", "th", "a") != F.col("first")).select("id", "th", "a", (F.col("a") + length).alias("b"))
+
+
 def sort_shard(rows: list[tuple], length: int, memory: int) -> pa.RecordBatch:
     """Of segments (id, th, start, bytes): the windows that start earlier too, as spans."""
     rows.sort(key=lambda r: r[:3])
@@ -232,34 +292,23 @@ def repeated_spans(docs: DataFrame, length: int, memory: int) -> DataFrame:
     rows = stage(rows, "segments")
     found = stage(compare(rows.where("kept")), "compared")
     copies = rows.where("NOT kept").unionByName(found.where("again"), allowMissingColumns=True)
-    whole = copies.select("id", "th", F.col("start").alias("a"), (F.col("start") + F.col("places") + length - 1).alias("b"))
-
-    todo = found.where("NOT again")
-    crowded = todo.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("key", F.lit(1).alias("crowded"))
-    marked = todo.join(broadcast_small(stage(crowded, "crowded"), 1_000_000), "key", "left")
-    # a span's second number also says whether its key is crowded
-    wanted = marked.select("id", "th", F.col("start").alias("a"), (F.col("places") * 2 + F.coalesce("crowded", F.lit(0))).alias("b"), "key")
-    texts = with_spans(docs, spans_of(wanted, "wanted"), "wanted", "inner")
+    todo, crowded = parted(found.where("NOT again"))
+    spans = [whole_spans(copies, length)]
+    if not crowded.isEmpty():
+        found = stage(compare(dealt_again(docs, crowded, length)), "compared")
+        spans.append(whole_spans(found.where("again"), length))
+        more, crowded = parted(found.where("NOT again"))
+        todo = todo.unionByName(more)
+        if not crowded.isEmpty():
+            spans.append(window_spans(docs, crowded, length))
+    texts = with_spans(docs, spans_of(asked(todo), "wanted"), "wanted", "inner")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, th, texts, rows in zip_rows(batch):
-                out: list[tuple] = []
-                for i, t, text, spans in zip(ids, th, texts, rows, strict=True):
-                    for a, b, key in np.frombuffer(spans, SPAN["wanted"]).tolist():
-                        data = text[a : a + b // 2 + length - 1]
-                        if b % 2:
-                            out += deal_again(key, i, t, a, data, length)
-                        else:
-                            out.append((key, i, t, a, data))
+                out = [(key, i, t, a, text[a : a + n + length - 1]) for i, t, text, spans in zip(ids, th, texts, rows, strict=True) for a, n, key in np.frombuffer(spans, SPAN["wanted"]).tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary() if k == 4 else pa.int64()) for k in range(5)], ["key", "id", "th", "a", "data"])
 
-    def zip_rows(b: pa.RecordBatch) -> Iterator[tuple]:
-        """A few rows at a time."""
-        for lo in range(0, b.num_rows, 64):
-            part = b.slice(lo, 64)
-            yield (*(part.column(i).to_pylist() for i in (0, 1)), [(t.as_py() or "").encode() for t in part.column(2)], part.column(3).to_pylist())
-
     pieces = texts.select("id", "th", "text", "wanted").mapInArrow(extract, "key long, id long, th long, a long, data binary")
     size = todo.agg(F.coalesce(F.sum(F.col("places") + length), F.lit(0))).first()[0]
     shards = max(1, -(-size // SHARD))
@@ -278,15 +327,9 @@ def repeated_spans(docs: DataFrame, length: int, memory: int) -> DataFrame:
             yield sort_shard(rows, length, memory)
 
     parts = pieces.repartition(shards, "key").sortWithinPartitions("key").mapInArrow(sort, "id long, th long, a long, b long")
-    return whole.unionByName(parts)
-
-
-def deal_again(key: int, i: int, t: int, a: int, data: bytes, length: int) -> list[tuple]:
-    """A segment of a crowded key in smaller ones, by the least longer grams of its windows."""
-    d = np.frombuffer(data, np.uint8)
-    start, places, k, _, _ = segments(d, np.array([len(d)]), length, LONGER)
-    k = mix(k ^ np.uint64(key & (2**64 - 1))).view(np.int64)
-    return [(int(x), i, t, a + int(s), data[s : s + p + length - 1]) for x, s, p in zip(k, start.tolist(), places.tolist(), strict=True)]
+    for x in spans:
+        parts = parts.unionByName(x)
+    return parts
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, memory: int = 256 << 20, with_text: bool = False) -> DataFrame:

@@ -90,3 +90,22 @@ def test_nulls_repeats_and_other_columns(spark):
     got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(df).collect())
     assert got == [("1", 150, 0, 0), ("1", 150, 0, 0), ("2", 0, 0, 0), ("3", 0, 0, 0), ("4", 99, 0, 0), ("5", 105, 105, 1), ("None", 150, 150, 1)]
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_no_key_fills_a_shard(spark, monkeypatch):
+    """A passage with different surroundings: windows that overhang its edges keep one gram, but never come to one shard in a row."""
+    monkeypatch.setattr(suffix_dedup, "CROWD", 10)
+    monkeypatch.setattr(suffix_dedup, "SHARD", 1000)
+    whole = suffix_dedup.sort_shard
+
+    def sort_shard(rows, length, memory):
+        assert sum(len(r[3]) for r in rows) <= 1000 + 10 * (256 + length), "a key filled the shard"
+        return whole(rows, length, memory)
+
+    monkeypatch.setattr(suffix_dedup, "sort_shard", sort_shard)
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, ends = text(200), [text(60) for _ in range(40)]
+    docs = [(i, text(60) + passage + (ends[i % 40] if i % 3 else text(60))) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert answer(df) == brute(docs, 100)

@@ -6,7 +6,8 @@ first x - ceil(p x / 100) + 1 of each, at places from which T is still reachable
 known to be frequent last, so that most lists are short. Lists of frequent shingles, and others of more than LIST members,
 aren't paired up: each member is a candidate with the list's pivot only (its member of fewest rarer shingles), and in a second
 round, members that aren't connected with the list's largest component yet are paired with the others from which T
-is reachable. Links between members of one component would change nothing, so no class is lost.
+is reachable. Links between members of one component would change nothing there, so no class is lost. They are counted afterwards: all links
+are within components, so each component's sets are compared pair by pair, in blocks, and only sums leave the tasks.
 
 Most candidates that are no links fall out by the parities of hashed shingle counts, a lower bound on the sets' difference. The rest is
 verified by DivideSkip: for a query and a block of its candidates, inverted lists over the query's shingles are
@@ -43,6 +44,7 @@ SLICE = 1 << 21  # shingles counted at a time
 FREQUENT = 1_000_000
 LIST = 8
 BLOCK = 128  # candidates verified at a time
+GROUP = 512  # members of a component compared with as many at a time
 SALTED = 1024  # members of a list a salt
 
 
@@ -244,14 +246,9 @@ def near(query: bytes, others: list[bytes], percent: int) -> list[bool]:
     return divide_skip(np.frombuffer(query, np.uint64), [np.frombuffer(o, np.uint64) for o in others], needs)
 
 
-def compare(df: DataFrame, id_col: str, text_col: str, words: int, percent: int, classes: DataFrame, pairs: DataFrame, form: Callable[[np.ndarray], bytes], good: Callable[[bytes, list[bytes], int], list[bool]]) -> DataFrame:
-    """The pairs (a, b) of classes of which good(a's set, sets, percent) holds, with sets in the given form.
-
-    A query's candidates come in blocks of about BLOCK; its set goes to each of its blocks. Who needs which set is a small table: if
-    it can be broadcast, sets are made where the texts are and shuffled once, to their blocks."""
-    pairs = stage(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = stage(classes.join(nodes, "cls", "left_semi").select(F.col("id").alias("__id"), F.col("cls").alias("__cls")), "wanted")
+def sets_of(df: DataFrame, id_col: str, text_col: str, words: int, classes: DataFrame, form: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """cls, shingles: the sets of classes, in the given form; more than once where rows repeat."""
+    wanted = stage(classes.select(F.col("id").alias("__id"), F.col("cls").alias("__cls")), "wanted")
     texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(broadcast_small(wanted, 2_000_000), "__id")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +257,17 @@ def compare(df: DataFrame, id_col: str, text_col: str, words: int, percent: int,
             mine = pa.array([signature(s) == c.as_py() for s, c in zip(sets, b.column(1), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([form(s) for s in sets], pa.binary())], ["cls", "shingles"]).filter(mine)
 
-    sets = texts.select("__text", "__cls").mapInArrow(shingle, "cls binary, shingles binary")
+    return texts.select("__text", "__cls").mapInArrow(shingle, "cls binary, shingles binary")
+
+
+def compare(df: DataFrame, id_col: str, text_col: str, words: int, percent: int, classes: DataFrame, pairs: DataFrame, form: Callable[[np.ndarray], bytes], good: Callable[[bytes, list[bytes], int], list[bool]]) -> DataFrame:
+    """The pairs (a, b) of classes of which good(a's set, sets, percent) holds, with sets in the given form.
+
+    A query's candidates come in blocks of about BLOCK; its set goes to each of its blocks. Who needs which set is a small table: if
+    it can be broadcast, sets are made where the texts are and shuffled once, to their blocks."""
+    pairs = stage(pairs, "pairs")
+    nodes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    sets = sets_of(df, id_col, text_col, words, classes.join(nodes, "cls", "left_semi"), form)
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = pairs.join(sizes, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     asked = sizes.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("binary").alias("b"))
@@ -309,9 +316,67 @@ def unconnected(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether each two of sets are links, by their overlaps in tables of some shingles at a time."""
+    n = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = count > 1
+    owner, token = owner[several[token]], (np.cumsum(several) - 1)[token[several[token]]]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    overlap = np.zeros((len(sets), len(sets)), np.float64)
+    for lo in range(0, int(several.sum()), 4096):
+        x, y = np.searchsorted(token, (lo, lo + 4096))
+        held = np.zeros((len(sets), 4096), np.float32)
+        held[owner[x:y], token[x:y] - lo] = 1
+        overlap += held @ held.T
+    both = n[:, None] + n
+    links = overlap >= -(-percent * both // (100 + percent))
+    np.fill_diagonal(links, False)
+    return links
+
+
+def count_links(df: DataFrame, id_col: str, text_col: str, words: int, percent: int, ids: DataFrame) -> DataFrame:
+    """cls, linked: how many rows have another set that is a link of the class's. ids: cls, id, size, root. Components of more than GROUP
+    classes are compared in pairs of blocks."""
+    several = ids.groupBy("root").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("root", F.ceil(F.col("k") / GROUP).cast("int").alias("blocks"))
+    members = stage(ids.join(broadcast_small(stage(several, "components"), 1_000_000), "root"), "members")
+    block, other = F.col("block"), F.col("other")
+    seats = members.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    seats = stage(seats.select("cls", "size", "root", F.least(block, other).alias("p"), F.greatest(block, other).alias("q"), "block"), "seats")
+    sets = sets_of(df, id_col, text_col, words, members, np.ndarray.tobytes)
+    rows = sets.join(broadcast_small(seats, 1_000_000), "cls").select("root", "p", "q", "block", "cls", "size", "shingles")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sums(rows: dict[bytes, tuple]) -> list[tuple[bytes, int]]:
+            held = list(rows.values())
+            links = linked([np.frombuffer(r[6], np.uint64) for r in held], percent)
+            part = np.array([r[3] for r in held])
+            if held[0][1] != held[0][2]:  # links within a block are counted where it meets itself
+                links &= part[:, None] != part
+            return list(zip(rows, (links @ np.array([r[5] for r in held], np.int64)).tolist(), strict=True))
+
+        at, held = None, {}
+        for b in batches:
+            out: list[tuple[bytes, int]] = []
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r[:3] != at:
+                    out += sums(held) if held else []
+                    at, held = r[:3], {}
+                held[r[4]] = r
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64())], ["cls", "linked"])
+        if held:
+            out = sums(held)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64())], ["cls", "linked"])
+
+    counted = rows.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(count, "cls binary, linked long")
+    return counted.groupBy("cls").agg(F.sum("linked").alias("linked"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of df: id_col, n_shingles, component_id (the smallest id of those reachable by links), n_links (links
-    of the row's shingle set with other sets that were verified; connected sets aren't compared in vain)."""
+    """Per row of df: id_col, n_shingles, component_id (the smallest id of those reachable by links), n_links (how many
+    other rows are linked with the row; rows of an equal set are)."""
     kind = dict(df.dtypes)[id_col]
     scanned = documents(df, id_col, text_col, words)
     docs = scanned.where("cls IS NOT NULL").select("id", "cls", "n")
@@ -332,10 +397,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             links = links.unionByName(more).distinct()
             roots = connected_components(links)
 
-    ids = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "id", "size", F.coalesce("root", "cls").alias("root"))
+    ids = stage(classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "id", "size", F.coalesce("root", "cls").alias("root")), "roots")
     tops = ids.groupBy("root").agg(F.min("id").alias("component_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-    facts = ids.join(tops, "root").join(degree, "cls", "left").select("cls", "size", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    counted = count_links(df, id_col, text_col, words, percent, ids)
+    n_links = F.coalesce("linked", F.lit(0)) + F.col("size") - 1
+    facts = ids.join(tops, "root").join(counted, "cls", "left").select("cls", "size", "component_id", n_links.alias("n_links"))
     out = attach(docs, stage(facts, "class_facts"), "cls", "size", total)
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).cast(kind)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -93,3 +93,16 @@ def test_nulls_repeats_and_other_columns(spark):
     kept = jaccard.keep_one(df)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {5, None}
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_all_links_are_counted(spark, monkeypatch):
+    """Also within groups of different texts, which the components need no more than one link a member of."""
+    docs = copies(5)
+    docs += [(400 + i, t) for i, (_, t) in enumerate(docs[:9])]
+    sets = {i: set(jaccard.shingle_set(t, 3).tolist()) for i, t in docs}
+    want = {i: sum(j != i and 100 * len(a & b) >= 90 * len(a | b) > 0 for j, b in sets.items()) for i, a in sets.items()}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for group in (512, 4):
+        monkeypatch.setattr(jaccard, "GROUP", group, raising=False)
+        got = {r["doc_id"]: r["n_links"] for r in jaccard.near_duplicates(df, words=3, percent=90).collect()}
+        assert got == want

@@ -1,11 +1,11 @@
 """Secret scan: fixed patterns, and a linear-chain conditional random field that adds spans.
 
 The field labels tokens B (secret begins), I (inside), O. Its features are a token's shape, length, alphabet and
-entropy, the words next to it, and features of the whole file. Tokens without anything key-like (two digits in a
-row, a symbol of + / _, or 24 letters) are fixed to O, which cuts the chain there: Viterbi decoding of each run of
-other tokens between two fixed ones is then the exact decoding of the whole document, at a cost that depends only
-on the runs. Weights are trained here by gradient ascent on the conditional likelihood (forward-backward), from
-the runs of a bounded sample of documents (`sample_docs`), labelled by the fixed patterns.
+entropy, the words next to it, and features of the whole file. Every token of a text is decoded by Viterbi. Tokens for which the weights
+prove that no best labelling has them in a secret (see Field.open) are O without it, which cuts the chain there and changes no result. Weights
+are trained here by gradient ascent on the conditional likelihood (forward-backward), from a bounded sample of
+documents (`sample_docs`), labelled by the fixed patterns: the stretches of EDGE tokens around what looks like a key or is
+labelled, and one in PLAIN of other stretches.
 
 Defined cases: null text counts as empty; whole texts are read; where the sample holds no run at all, or the table is
 empty, the field adds nothing; repeated rows give repeated results; other columns are ignored.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,11 +31,14 @@ ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-KEY_LIKE = re.compile(r"[0-9]{2}|[+/_]|[A-Za-z]{24}")
+KEY_LIKE = re.compile(r".", re.DOTALL)  # of tokens that are decoded: all
+LOOKS = re.compile(r"[0-9]{2}|[+/_]|[A-Za-z]{24}")  # a feature, and where stretches are trained on
 TOKEN = re.compile(r"[^\s=:\"'`,;(){}<>\[\]|]+|[=:]")
 CUE = re.compile(r"(?ai:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|key|credentials?|auth|bearer|private)")
 STATES = 3  # O, B, I
-REACH = 64  # characters around a key-like place in which neighbouring words are looked for
+EDGE = 2
+PLAIN = 16
+CACHED = 100_000  # tokens whose weights are kept
 
 
 def assigned(text: str) -> list[tuple[int, int]]:
@@ -79,60 +83,59 @@ def token_features(token: str) -> list[str]:
 
 
 def word(token: str | None) -> str:
-    return "none" if token is None else token if token in "=:" else "cue" if CUE.search(token) else "key-like" if KEY_LIKE.search(token) else "plain"
+    return "none" if token is None else token if token in "=:" else "cue" if CUE.search(token) else "key-like" if LOOKS.search(token) else "plain"
+
+
+NEAR = ("none", "=", ":", "cue", "key-like", "plain")
+
+
+def near_features(two: str, one: str, after: str) -> list[str]:
+    return [f"-1={one}", f"-2={two}", f"-2,-1={two},{one}", f"+1={after}"]
+
+
+def file_features(text: str) -> list[str]:
+    places = sum(1 for _ in LOOKS.finditer(text))
+    return [f"file size={len(text).bit_length() // 2}", f"file key-like={min(8, (places * 1000 // max(1, len(text))).bit_length())}", f"file braces={'{' in text and '}' in text}"]
 
 
 def runs(text: str) -> Iterator[list[tuple[int, int, list[str]]]]:
-    """Runs of key-like tokens: start, end (without a final stop) and features of each."""
-    places = [m.span() for m in KEY_LIKE.finditer(text)]
-    if not places:
-        return
-    file = [f"file size={len(text).bit_length() // 2}", f"file key-like={min(8, (len(places) * 1000 // len(text)).bit_length())}", f"file braces={'{' in text and '}' in text}"]
-    k = 0
-    while k < len(places):
-        begin = max(0, places[k][0] - REACH)
-        while begin and not text[begin - 1].isspace():
-            begin -= 1
-        end = places[k][1]
-        while k < len(places) and places[k][0] <= end + REACH:
-            end = max(end, places[k][1])
-            k += 1
-        tokens: list[tuple[int, int, str]] = []
-        beyond = 0
-        for m in TOKEN.finditer(text, begin):
-            tokens.append((m.start(), m.end(), m[0]))
-            if m.start() > end:
-                beyond += 1
-                if beyond > 2:
-                    break
-        while k < len(places) and tokens and places[k][0] < tokens[-1][1]:
-            k += 1
-        words = [word(t[2]) for t in tokens]
-        near = lambda i: words[i] if 0 <= i < len(words) else "none"
-        run: list[tuple[int, int, list[str]]] = []
-        for i, (s, e, t) in enumerate(tokens):
-            if KEY_LIKE.search(t):
-                run.append((s, s + len(t.rstrip(".")) or e, [*token_features(t), f"-1={near(i - 1)}", f"-2={near(i - 2)}", f"-2,-1={near(i - 2)},{near(i - 1)}", f"+1={near(i + 1)}", *file]))
-            elif run:
-                yield run
-                run = []
-        if run:
-            yield run
+    """All tokens, as one run: start, end (without a final stop) and features of each."""
+    tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)]
+    file = file_features(text)
+    words = ["none", "none", *(word(t) for _, _, t in tokens), "none"]
+    if tokens:
+        yield [(s, s + len(t.rstrip(".")) or e, [*token_features(t), *near_features(words[i], words[i + 1], words[i + 3]), *file]) for i, (s, e, t) in enumerate(tokens)]
+
+
+def stretches(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[list[list[str]], list[int]]]:
+    """Parts of a text's run to be trained on, with labels; what is next to them is O, so that they are chains of their own."""
+    for run in runs(text):
+        y = np.array(labels(run, spans))
+        hot = np.array([bool(LOOKS.search(text[s:e])) for s, e, _ in run]) | (y > 0)
+        near = np.convolve(hot, np.ones(2 * EDGE + 1, int))[EDGE:-EDGE] > 0
+        rest = np.arange(len(run)) // (2 * EDGE)
+        picked = {k for k in set(rest[~near].tolist()) if zlib.crc32(text[run[k * 2 * EDGE][0] : run[k * 2 * EDGE][1]].encode() + b"%d" % k) % PLAIN == 0}
+        near |= np.array([k in picked for k in rest.tolist()])
+        turn = np.flatnonzero(np.diff(near, prepend=False, append=False))
+        for lo, hi in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True):
+            yield [f for _, _, f in run[lo:hi]], y[lo:hi].tolist()
 
 
 class Field:
     """Weights: `emit` feature -> a weight for each state, `move` state x state."""
 
     def __init__(self, emit: dict[str, np.ndarray], move: np.ndarray):
-        self.emit, self.move = emit, move
+        self.emit, self.move, self.known = emit, move, None
 
     def decode(self, features: list[list[str]]) -> list[int]:
         """Viterbi from O to O."""
+        zero = np.zeros(STATES)
+        return self.best([sum((self.emit.get(f, zero) for f in fs), zero) for fs in features])
+
+    def best(self, scores: list[np.ndarray]) -> list[int]:
         score, back = self.move[0].copy(), []
         score[2] = -1e9  # I must follow B or I
-        zero = np.zeros(STATES)
-        for i, fs in enumerate(features):
-            e = sum((self.emit.get(f, zero) for f in fs), zero)
+        for i, e in enumerate(scores):
             if i:
                 via = score[:, None] + self.move
                 via[0, 2] = -1e9
@@ -145,25 +148,73 @@ class Field:
             path.append(state := int(b[state]))
         return path[::-1]
 
+    def weigh(self, features: list[str]) -> np.ndarray:
+        return sum((self.emit[f] for f in features if f in self.emit), np.zeros(STATES))
+
+    def scores(self, text: str, tokens: list[str]) -> np.ndarray:
+        """The weights of each token's labels."""
+        if self.known is None or len(self.known) > CACHED:
+            self.known = Known(self)
+            self.near = np.array([[[self.weigh(near_features(a, b, c)) for c in NEAR] for b in NEAR] for a in NEAR])
+        at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        kinds = np.zeros(len(tokens) + 3, np.int64)
+        kinds[2:-1] = self.known.kinds[at]
+        return self.known.weights[at] + self.near[kinds[:-3], kinds[1:-2], kinds[3:]] + self.weigh(file_features(text))
+
+    def open(self, scores: np.ndarray) -> np.ndarray:
+        """Which tokens may be B or I in a best labelling. With all of a stretch B I ... made O, a labelling gains at least what is bounded
+        here; where no stretch that holds a token can be worth more than O throughout, the token is O."""
+        m = self.move
+        inside = max(m[1, 1], m[1, 2], m[2, 1], m[2, 2]) - m[0, 0]
+        gain = np.maximum(scores[:, 1], scores[:, 2]) - scores[:, 0] + inside
+        total = np.concatenate([[0.0], np.cumsum(gain)])
+        most = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1])
+        return most >= inside - (m[0, 1] + max(m[1, 0], m[2, 0]) - 2 * m[0, 0]) - 1e-6
+
     def spans(self, text: str) -> list[tuple[int, int]]:
+        tokens = TOKEN.findall(text)
+        if not tokens:
+            return []
+        scores = self.scores(text, tokens)
+        live = self.open(scores)
+        if not live.any():
+            return []
         found: list[tuple[int, int]] = []
-        for run in runs(text):
-            for (s, e, _), state in zip(run, self.decode([f for _, _, f in run]), strict=True):
+        places = [m.start() for m in TOKEN.finditer(text)]
+        turn = np.flatnonzero(np.diff(live, prepend=False, append=False)).tolist()
+        for lo, hi in zip(turn[::2], turn[1::2], strict=True):
+            for i, state in enumerate(self.best(list(scores[lo:hi])), lo):
+                end = places[i] + len(tokens[i].rstrip(".")) or places[i] + len(tokens[i])
                 if state == 1:
-                    found.append((s, e))
-                elif state == 2 and found:
-                    found[-1] = (found[-1][0], e)
+                    found.append((places[i], end))
+                elif state == 2:
+                    found[-1] = (found[-1][0], end)
         return found
 
 
+class Known(dict):
+    """token -> its row in weights and kinds, made when first asked for."""
+
+    def __init__(self, field: Field):
+        self.field, self.weights, self.kinds = field, np.zeros((1024, STATES)), np.zeros(1024, np.int64)
+
+    def __missing__(self, token: str) -> int:
+        i = len(self)
+        if i == len(self.kinds):
+            self.weights, self.kinds = np.concatenate([self.weights, np.zeros_like(self.weights)]), np.concatenate([self.kinds, np.zeros_like(self.kinds)])
+        self.weights[i], self.kinds[i] = self.field.weigh(token_features(token)), NEAR.index(word(token))
+        self[token] = i
+        return i
+
+
 def labels(run: list[tuple[int, int, list[str]]], spans: list[tuple[int, int]]) -> list[int]:
-    """B where a pattern's span begins in or before the token and covers some of it, I where it goes on, O elsewhere."""
-    out, last = [], None
-    for s, e, _ in run:
-        hit = next((x for x in spans if x[0] < e and x[1] > s), None)
-        out.append(0 if hit is None else 2 if hit == last else 1)
-        last = hit
-    return out
+    """B where a pattern's span begins in or before the token and covers some of it, I where it goes on, O elsewhere. Of an assignment (name,
+    sign, value), name and sign are O: the value is the secret."""
+    hits = [next((x for x in spans if x[0] < e and x[1] > s), None) for s, e, _ in run]
+    names = [i for i in range(len(run) - 2) if hits[i] and hits[i] == hits[i + 1] == hits[i + 2] and (i == 0 or hits[i - 1] != hits[i]) and run[i + 1][1] - run[i + 1][0] == 1]
+    for i in names:
+        hits[i] = hits[i + 1] = None
+    return [0 if hit is None else 2 if i and hits[i - 1] == hit else 1 for i, hit in enumerate(hits)]
 
 
 def train(samples: list[tuple[list[list[str]], list[int]]], rounds: int = 80, rate: float = 0.5, decay: float = 1e-3) -> Field:
@@ -217,7 +268,7 @@ def train(samples: list[tuple[list[list[str]], list[int]]], rounds: int = 80, ra
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 4000, sample_runs: int = 20000) -> Field:
-    """Train on the runs of at most sample_docs documents (those of the smallest id hashes), sample_runs runs at most."""
+    """Train on stretches of at most sample_docs documents (those of the smallest id hashes), sample_runs stretches at most (of the smallest hashes)."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,12 +276,12 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_do
             for t in b.column(0):
                 text = t.as_py() or ""
                 base = [s for spans in base_spans(text).values() for s in spans]
-                rows += [([f for _, _, f in run], labels(run, base)) for run in runs(text)]
+                rows += stretches(text, base)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.list_(pa.list_(pa.string()))), pa.array([y for _, y in rows], pa.list_(pa.int32()))], ["x", "y"])
 
     some = df.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample_docs)
     texts = df.select(id_col, F.col(text_col).alias("__t")).join(F.broadcast(some), id_col, "left_semi").select("__t")
-    rows = texts.mapInArrow(extract, "x array<array<string>>, y array<int>").limit(sample_runs).collect()
+    rows = texts.mapInArrow(extract, "x array<array<string>>, y array<int>").orderBy(F.xxhash64("x"), "x", "y").limit(sample_runs).collect()
     return train(sorted((r["x"], r["y"]) for r in rows))
 
 

@@ -1,7 +1,8 @@
 """Wide tables hidden in triples: characteristic sets, their qualification, materialisation and column statistics.
 
 Property sets are found by one aggregation over nodes. Only sets with their counts reach the driver, the `most`
-commonest, to be merged by similarity; nodes and triples never do.
+commonest, to be merged by similarity; nodes and triples never do. Sets beyond these are assigned to the tables so found by a join on
+shared properties, of which only counts reach the driver; what resembles no table is merged in the same way in further rounds.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.store import stage
+
 
 def node_properties(triples: DataFrame) -> DataFrame:
     """node, property: predicates of which the node is subject (p, >) or object (p, <); a set."""
@@ -34,36 +37,61 @@ class WideTable:
     core: list[str]
     columns: list[str]
     cliff: float
+    rest: DataFrame | None = None  # properties of the sets that were assigned by a join
 
 
 def discover(triples: DataFrame, similar: float = 0.8, least_nodes: int = 10, least_core: int = 5, core: float = 0.5, column: float = 1 / 3, most: int = 10_000) -> list[WideTable]:
     """Sets by size, each merged into the first table whose properties it resembles; tables with enough nodes and core properties."""
-    rows = characteristic_sets(triples).orderBy(F.desc("nodes"), "properties").limit(most).collect()
+    left = stage(characteristic_sets(triples), "characteristic_sets")
     groups: list[tuple[set[str], list[tuple[frozenset[str], int]]]] = []
-    for r in rows:
-        s = frozenset(r["properties"])
-        home = next((g for g in groups if len(s & g[0]) >= similar * len(s | g[0])), None)
-        if home is None:
-            groups.append((set(s), [(s, r["nodes"])]))
-        else:
-            home[0].update(s)
-            home[1].append((s, r["nodes"]))
+    extra: dict[int, list] = {}  # of a group: nodes of assigned sets, nodes by property, and the sets
+    while rows := left.orderBy(F.desc("nodes"), "properties").limit(most).collect():
+        first = len(groups)
+        for r in rows:
+            s = frozenset(r["properties"])
+            home = next((g for g in groups[first:] if len(s & g[0]) >= similar * len(s | g[0])), None)
+            if home is None:
+                groups.append((set(s), [(s, r["nodes"])]))
+            else:
+                home[0].update(s)
+                home[1].append((s, r["nodes"]))
+        if len(rows) < most:
+            break
+        seen = triples.sparkSession.createDataFrame([(r["properties"],) for r in rows], "properties array<string>")
+        left = left.join(F.broadcast(seen), "properties", "left_anti")
+        found = stage(resembling(left, {i: groups[i][0] for i in range(first, len(groups))}, similar), "assigned_sets")
+        parts = found.select("home", "nodes", F.explode("properties").alias("p")).groupBy("home", "p").agg(F.sum("nodes").alias("n")).groupBy("home").agg(F.map_from_entries(F.collect_list(F.struct("p", "n"))).alias("by"))
+        for r in found.groupBy("home").agg(F.sum("nodes").alias("nodes")).join(parts, "home").collect():
+            extra[r["home"]] = [r["nodes"], r["by"], found.where(F.col("home") == r["home"]).select("properties")]
+            groups[r["home"]][0].update(r["by"])
+        left = stage(left.join(found.select("properties"), "properties", "left_anti"), "characteristic_sets")
     out = []
-    for properties, members in groups:
-        nodes = sum(n for _, n in members)
-        coverage = {p: sum(n for s, n in members if p in s) / nodes for p in properties}
+    for i, (properties, members) in enumerate(groups):
+        more, by, rest = extra.get(i, (0, {}, None))
+        nodes = sum(n for _, n in members) + more
+        coverage = {p: (sum(n for s, n in members if p in s) + by.get(p, 0)) / nodes for p in properties}
         main = sorted(p for p, c in coverage.items() if c >= core)
         tail = [c for c in coverage.values() if c < core]
         if nodes >= least_nodes and len(main) >= least_core:
             steep = sum(coverage[p] for p in main) / len(main) / max(sum(tail) / len(tail) if tail else 0.0, 0.01)
-            out.append(WideTable(frozenset(properties), [s for s, _ in members], nodes, coverage, main, sorted(p for p, c in coverage.items() if c >= column), steep))
+            out.append(WideTable(frozenset(properties), [s for s, _ in members], nodes, coverage, main, sorted(p for p, c in coverage.items() if c >= column), steep, rest))
     return out
 
 
+def resembling(sets: DataFrame, groups: dict[int, set[str]], similar: float) -> DataFrame:
+    """properties, nodes, home: the sets that resemble a group, and the first such group."""
+    rows = [(p, i, len(g)) for i, g in groups.items() for p in sorted(g)]
+    wanted = sets.sparkSession.createDataFrame(rows, "p string, home int, width int")
+    shared = sets.select("properties", "nodes", F.explode("properties").alias("p")).join(wanted, "p").groupBy("properties", "nodes", "home", "width").agg(F.count(F.lit(1)).alias("k"))
+    near = shared.where(F.col("k") >= F.lit(similar) * (F.size("properties") + F.col("width") - F.col("k")))
+    return near.groupBy("properties", "nodes").agg(F.min("home").alias("home"))
+
+
 def materialise(triples: DataFrame, table: WideTable) -> DataFrame:
     """node and a column a property (its least value); the nodes of the table's sets. Sorted by node when written."""
     sets = triples.sparkSession.createDataFrame([(sorted(s),) for s in table.sets], "properties array<string>")
-    nodes = node_properties(triples).groupBy("node").agg(F.sort_array(F.collect_list("property")).alias("properties")).join(F.broadcast(sets), "properties", "left_semi").select("node")
+    sets = F.broadcast(sets) if table.rest is None else sets.unionByName(table.rest)
+    nodes = node_properties(triples).groupBy("node").agg(F.sort_array(F.collect_list("property")).alias("properties")).join(sets, "properties", "left_semi").select("node")
     out = triples.select(F.col("s").alias("node"), F.concat(F.lit(">"), "p").alias("property"), F.col("o").alias("value"))
     back = triples.select(F.col("o").alias("node"), F.concat(F.lit("<"), "p").alias("property"), F.col("s").alias("value"))
     cells = out.unionByName(back).where(F.col("property").isin(table.columns))

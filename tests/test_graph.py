@@ -254,3 +254,16 @@ def test_neighbour_graph(spark):
     edges = vector.proximity_graph(df, m=2, layers=1)
     assert edges.where("layer = 0").count() == 90 * 4 and edges.where("type = 'vertical'").count() == df.where(vector.top_layer(F.col("s"), 2) >= 1).count()
     assert vector.edge_triples(edges).where(F.col("p") == vector.DESCEND).count() == edges.where("type = 'vertical'").count()
+
+
+def test_wide_tables_of_more_sets_than_the_driver_takes(spark):
+    rows = []
+    for i in range(36):  # each lacks one property of twelve
+        rows += [(e(f"n{i:02}"), e(f"p{k:02}"), T.literal(k)) for k in range(12) if k != i % 12]
+        rows += [(e(f"m{i:02}"), e(f"q{k}"), T.literal(k)) for k in range(8 if i % 3 else 7)]
+    df = spark.createDataFrame(rows, "s string, p string, o string")
+    for most in (3, 10_000):
+        found = tables.discover(df, most=most)
+        assert [x.nodes for x in found] == [36, 36]
+        assert {c for x in found for c in x.coverage.values()} == {1.0, 33 / 36, 24 / 36}
+        assert [tables.materialise(df, x).count() for x in found] == [36, 36]

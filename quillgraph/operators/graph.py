@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..sources.mapping import Table
-from .solutions import Solutions
+from .solutions import Kind, Solutions, companion, width
 
 
 class Graph:
@@ -25,20 +25,41 @@ class Graph:
 
     def relation(self, p: str) -> DataFrame:
         """s, o of one predicate: of a mapped table just the columns that it needs."""
-        parts = [t.df.select(t.subject.alias("s"), t.objects[p].alias("o")).where("o IS NOT NULL") for t in self.tables if p in t.objects]
+        return self._relation(p)[0].select("s", "o")
+
+    def _relation(self, p: str, s: str | None = None, o: str | None = None) -> tuple[DataFrame, dict[str, Kind]]:
+        """s, o and their companions, if all that has the predicate is made alike. Constants reach the scans as conditions on stored
+        columns; rows that aren't theirs may still be there."""
+        tables = [t for t in self.tables if p in t.objects]
+        found = {c: {t.companion(x)[0] for t in tables} | ({None} if self.stored is not None else set()) for c, x in (("s", None), ("o", p))}
+        kinds = {c: k for c, (k, *more) in ((c, tuple(x)) for c, x in found.items() if x) if k and not more}
+        parts = []
+        for t in tables:
+            where = F.lit(True)
+            for x, term in ((None, s), (p, o)):
+                where = where if term is None else where & t.given(x, term)
+            beside = [col.alias(companion(c, i)) for c, x in (("s", None), ("o", p)) if c in kinds for i, col in enumerate(t.companion(x)[1])]
+            there = reduce(lambda a, b: a & b, (col.isNotNull() for x in (None, p) for col in t.companion(x)[1]), F.lit(True))
+            parts.append(t.df.where(where & there).select(t.subject.alias("s"), t.objects[p].alias("o"), *beside).where("s IS NOT NULL AND o IS NOT NULL"))
         if self.stored is not None:
             parts.append(self.stored.where(F.col("p") == p).select("s", "o"))
         if not parts:
             raise KeyError(f"no table has {p}")
         rows = reduce(DataFrame.unionByName, parts)
-        return rows.distinct() if len(parts) > 1 else rows
+        return rows.distinct() if len(parts) > 1 else rows, kinds
 
     def triples(self) -> DataFrame:
         """Everything as s, p, o."""
+        return self._triples()
+
+    def _triples(self, s: str | None = None, o: str | None = None) -> DataFrame:
         parts = []
         for t in self.tables:
-            cells = F.array(*(F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in t.objects.items()))
-            parts.append(t.df.select(t.subject.alias("s"), F.explode(cells).alias("c")).select("s", "c.p", "c.o").where("o IS NOT NULL"))
+            where = F.lit(True) if s is None else t.given(None, s)
+            if o is not None:
+                where = where & reduce(lambda a, b: a | b, (t.given(p, o) for p in t.objects))
+            cells = F.array(*(F.struct(F.lit(p).alias("p"), x.alias("o")) for p, x in t.objects.items()))
+            parts.append(t.df.where(where).select(t.subject.alias("s"), F.explode(cells).alias("c")).select("s", "c.p", "c.o").where("s IS NOT NULL AND o IS NOT NULL"))
         if self.stored is not None:
             parts.append(self.stored.select("s", "p", "o"))
         rows = reduce(DataFrame.unionByName, parts)
@@ -46,7 +67,7 @@ class Graph:
 
     def find(self, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
         """Triples with these terms."""
-        rows = self.relation(p).withColumn("p", F.lit(p)) if p else self.triples()
+        rows = self._relation(p, s, o)[0].withColumn("p", F.lit(p)) if p else self._triples(s, o)
         for c, x in (("s", s), ("o", o)):
             rows = rows if x is None else rows.where(F.col(c) == x)
         return rows.select("s", "p", "o")
@@ -67,7 +88,9 @@ class Graph:
     def match(self, s: str, p: str, o: str) -> Solutions:
         """One triple pattern; ?name is a variable. A repeated variable means equal terms; << ?a p ?b >> as subject looks
         into quoted triples."""
-        rows = self.triples() if p[0] == "?" else self.relation(p).withColumn("p", F.lit(p))
+        fixed = [None if "?" in x else x for x in (s, o)]
+        rows, kinds = (self._triples(*fixed), {}) if p[0] == "?" else self._relation(p, *fixed)
+        rows = rows if p[0] == "?" else rows.withColumn("p", F.lit(p))
         out: dict[str, F.Column] = {}
         where = F.lit(True)
         parts = [(s, F.col("s")), (p, F.col("p")), (o, F.col("o"))]
@@ -84,7 +107,10 @@ class Graph:
                 where = where & (c == out[x[1:]])
             else:
                 out[x[1:]] = c
-        return Solutions(rows.where(where).select(*(c.alias(v) for v, c in out.items())))
+        of = {x[1:]: c for x, c in ((o, "o"), (s, "s")) if c in kinds and x[0] == "?"}
+        named = {v: kinds[c] for v, c in of.items()}
+        beside = [F.col(companion(of[v], i)).alias(companion(v, i)) for v, k in named.items() for i in range(width(k))]
+        return Solutions(rows.where(where).select(*(c.alias(v) for v, c in out.items()), *beside), (), named)
 
     def star(self, subject: str, **objects: str) -> Solutions:
         """Patterns with one subject variable: variable=predicate. If one mapped table has all the predicates and nothing else has any,
@@ -93,8 +119,12 @@ class Graph:
         having = [t for t in self.tables if any(p in t.objects for p in wanted)]
         if self.stored is None and len(having) == 1 and all(p in having[0].objects for p in wanted):
             t = having[0]
-            rows = t.df.select(t.subject.alias(subject), *(t.objects[p].alias(v) for v, p in objects.items()))
-            return Solutions(rows.dropna(subset=list(objects)))
+            made = {v: t.companion(p) for v, p in {subject: None, **objects}.items()}
+            there = reduce(lambda a, b: a & b, (c.isNotNull() for _, cs in made.values() for c in cs), F.lit(True))
+            beside = [c.alias(companion(v, i)) for v, (_, cs) in made.items() for i, c in enumerate(cs)]
+            rows = t.df.where(there).select(t.subject.alias(subject), *(t.objects[p].alias(v) for v, p in objects.items()), *beside)
+            rows = rows.dropna(subset=[v for v, (k, _) in made.items() if not k]) if not all(k for k, _ in made.values()) else rows
+            return Solutions(rows, (), {v: k for v, (k, _) in made.items() if k})
         return self.bgp(*((f"?{subject}", p, f"?{v}") for v, p in objects.items()))
 
     def bgp(self, *patterns: tuple[str, str, str]) -> Solutions:

@@ -127,7 +127,7 @@ def S16_jsonld(spark, d):
 @query("SELECT CASE WHEN c_acctbal < 0 THEN 'negative' ELSE 'positive' END AS side, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1")
 def S17_typed_values(spark, d):
     g = G(spark, d, "customer").match("?c", ex("c_acctbal"), "?b")
-    return g.bind("side", F.when(T.num(F.col("b")) < 0, "negative").otherwise("positive")).group("side", n=count(), total=F.round(total("b"), 2)).df
+    return g.bind("side", F.when(T.num(F.col("b")) < 0, "negative").otherwise("positive")).group("side", n=count(), total=total("b").round(2)).df
 
 
 @query("SELECT vec_id AS id, round(list_inner_product(embedding, embedding), 4) AS norm FROM (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings)")
@@ -187,7 +187,7 @@ def P9_bound(spark, d):
 def J1_bgp_chain(spark, d):
     g = G(spark, d, "orders", "customer", "nation", "region")
     s = g.star("o", c=ex("customer"), price=ex("o_totalprice")).join(g.match("?c", ex("nation"), "?n")).join(g.match("?n", ex("region"), "?r")).join(g.match("?r", ex("r_name"), "?name"))
-    return s.group("name", n=count(), total=F.round(total("price"), 2)).native(name="string").withColumnRenamed("name", "region")
+    return s.group("name", n=count(), total=total("price").round(2)).native(name="string").withColumnRenamed("name", "region")
 
 
 @query("SELECT n_name AS nation, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
@@ -199,7 +199,7 @@ def J3_J4_subject_object_joins(spark, d):
 @query("SELECT r_name AS region, a.n_name AS nation FROM region, (SELECT n_name FROM nation WHERE n_nationkey < 3) a")
 def J5_product(spark, d):
     g = G(spark, d, "region", "nation")
-    few = g.star("n", k=ex("n_nationkey"), nation=ex("n_name")).filter(T.num(F.col("k")) < 3)
+    few = g.star("n", k=ex("n_nationkey"), nation=ex("n_name")).filter(lambda s: T.num(s["k"]) < 3)
     return g.match("?r", ex("r_name"), "?region").join(few, product=True).select("region", "nation").native(region="string", nation="string")
 
 
@@ -226,14 +226,14 @@ def J7_exists(spark, d):
 @query("SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def J8_not_exists(spark, d):
     g = G(spark, d, "customer", "orders")
-    dear = g.star("o", c=ex("customer"), price=ex("o_totalprice")).filter(T.num(F.col("price")) > 300000)
+    dear = g.star("o", c=ex("customer"), price=ex("o_totalprice")).filter(lambda s: T.num(s["price"]) > 300000)
     return g.match("?c", ex("c_custkey"), "?id").not_exists(dear).select("id").native(id="bigint")
 
 
 @query("SELECT c_mktsegment AS segment, count(*) AS n FROM customer WHERE c_acctbal < 0 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) GROUP BY 1")
 def J7_exists_in_or(spark, d):
     g = G(spark, d, "customer", "orders")
-    dear = g.star("o", c=ex("customer"), price=ex("o_totalprice")).filter(T.num(F.col("price")) > 400000)
+    dear = g.star("o", c=ex("customer"), price=ex("o_totalprice")).filter(lambda s: T.num(s["price"]) > 400000)
     s = g.star("c", b=ex("c_acctbal"), segment=ex("c_mktsegment")).exists_flag(dear, "__dear")
     return s.filter((T.num(F.col("b")) < 0) | F.col("__dear")).group("segment", n=count()).native(segment="string")
 
@@ -281,13 +281,13 @@ def J13_quoted_triples(spark, d):
 @query("SELECT c_mktsegment AS segment, count(*) AS rows, count(DISTINCT c_nationkey) AS nations, round(sum(c_acctbal), 2) AS total, round(avg(c_acctbal), 4) AS mean, min(c_acctbal) AS least, max(c_acctbal) AS most FROM customer GROUP BY 1")
 def A1_A8_aggregates(spark, d):
     s = G(spark, d, "customer").star("c", segment=ex("c_mktsegment"), n=ex("nation"), b=ex("c_acctbal"))
-    g = s.group("segment", rows=count(), nations=count("n", distinct=True), total=F.round(total("b"), 2), mean=F.round(mean("b"), 4), least=extreme("b"), most=extreme("b", largest=True))
+    g = s.group("segment", rows=count(), nations=count("n", distinct=True), total=total("b").round(2), mean=mean("b").round(4), least=extreme("b"), most=extreme("b", largest=True))
     return g.native(segment="string", least="double", most="double")
 
 
 @query("SELECT count(*) AS n, 0.0::DOUBLE AS total FROM customer WHERE false")
 def A2_implicit_group(spark, d):
-    s = G(spark, d, "customer").match("?c", ex("c_acctbal"), "?b").filter(T.num(F.col("b")) > 1e12)
+    s = G(spark, d, "customer").match("?c", ex("c_acctbal"), "?b").filter(lambda s: T.num(s["b"]) > 1e12)
     return s.group(n=count(), total=total("b")).df
 
 
@@ -543,7 +543,7 @@ def F11_F13_if_arithmetic(spark, d):
 
 @query("SELECT EXISTS (SELECT 1 FROM customer WHERE c_acctbal > 9000) AS result")
 def X1_ask(spark, d):
-    return G(spark, d, "customer").match("?c", ex("c_acctbal"), "?b").filter(T.num(F.col("b")) > 9000).ask()
+    return G(spark, d, "customer").match("?c", ex("c_acctbal"), "?b").filter(lambda s: T.num(s["b"]) > 9000).ask()
 
 
 @query(f"SELECT DISTINCT {I('customer', 'c_custkey')} AS s, '<{EX}livesIn>' AS p, {I('region', 'n_regionkey')} AS o FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -609,7 +609,7 @@ def H2_range(spark, d):
 @query("SELECT s_suppkey AS id FROM supplier WHERE s_acctbal < 0")
 def H3_disjoint(spark, d):
     g = G(spark, d, "supplier")
-    debtors = g.match("?s", ex("s_acctbal"), "?b").filter(T.num(F.col("b")) < 0).df.select("s", F.lit(T.RDF_TYPE).alias("p"), F.lit(ex("Customer")).alias("o"))
+    debtors = g.match("?s", ex("s_acctbal"), "?b").filter(lambda s: T.num(s["b"]) < 0).df.select("s", F.lit(T.RDF_TYPE).alias("p"), F.lit(ex("Customer")).alias("o"))
     return ontology.disjoint_violations(g.triples().unionByName(debtors), ontology_of(spark, d)).select(number("node").alias("id"))
 
 

@@ -6,6 +6,7 @@ table reads its columns in one scan, and only a variable predicate makes the uni
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import terms as T
 
 EX = "http://ex.org/"
+WHOLE = ("int", "bigint")
 
 
 @dataclass
@@ -42,6 +44,64 @@ class Table:
             out[T.iri(EX + p)] = T.iri_of(f"{EX}{target}/", *(F.col(c) for c in columns))
         return out
 
+    def _made_of(self, p: str | None) -> tuple[str | None, list[str]]:
+        """The prefix and the columns of the subject's names (p=None) or of those of a link; of a literal, None and its column."""
+        if p is None:
+            return f"<{EX}{self.name}/", self.key
+        name = p[len(EX) + 1 : -1]
+        if name in self.links:
+            return f"<{EX}{self.links[name][0]}/", self.links[name][1]
+        return None, [c for c, kind in self.df.dtypes if self.renamed.get(c, c) == name and not kind.startswith("array")]
+
+    def companion(self, p: str | None) -> tuple[tuple[str, ...] | None, list[Column]]:
+        """What the subject (p=None) or an object is made from: a kind, and columns. Terms of a kind are equal where these columns are."""
+        prefix, columns = self._made_of(p)
+        types = [dict(self.df.dtypes)[c] for c in columns]
+        if p == T.RDF_TYPE or not columns or prefix and len(columns) > 1 and not all(t in WHOLE for t in types):
+            return None, []
+        if prefix is None:
+            known = types[0] in (*WHOLE, "double", "float", "string", "boolean", "timestamp", "timestamp_ntz")
+            return (("value", types[0]), [F.col(columns[0])]) if known else (None, [])
+        return ("key", prefix, *types), [F.col(c) for c in columns]
+
+    def given(self, p: str | None, term: str) -> Column:
+        """A condition on stored columns that holds wherever the subject (p=None) or object is this term: what a scan can be
+        told. It may let other rows through."""
+        prefix, columns = self._made_of(p)
+        if p == T.RDF_TYPE:
+            return F.lit(term == T.iri(EX + self.name.capitalize()))
+        types = [dict(self.df.dtypes)[c] for c in columns]
+        if prefix is None:
+            return self._literal(columns[0], types[0], term)
+        if not term.startswith(prefix) or term[-1] != ">":
+            return F.lit(False)
+        parts = [term[len(prefix) : -1]]
+        if len(columns) > 1:
+            if not all(t in WHOLE for t in types):
+                return F.lit(True)
+            parts = parts[0].split("_")
+        where = F.lit(len(parts) == len(columns))
+        for c, kind, x in zip(columns, types, parts, strict=False):
+            if kind in WHOLE:
+                where = where & (F.col(c) == int(x) if re.fullmatch("0|-?[1-9][0-9]{0,17}", x) else F.lit(False))
+            elif kind == "string":
+                where = where & (F.col(c) == x)
+        return where
+
+    @staticmethod
+    def _literal(column: str, kind: str, term: str) -> Column:
+        found = T.parsed(term)
+        if kind in ("timestamp", "timestamp_ntz", "boolean", "float", "date") or found is None:
+            return F.lit(found is not None)
+        text, datatype, lang = found
+        if kind == "string":
+            return F.col(column) == text if datatype is None and not lang else F.lit(False)
+        if kind in WHOLE:
+            return F.col(column) == int(text) if datatype == T.XSD + "integer" and re.fullmatch("0|-?[1-9][0-9]{0,17}", text) else F.lit(False)
+        if kind == "double" and datatype == T.XSD + "double" and re.fullmatch(r"-?[0-9.]+(?:E-?[0-9]+)?", text):
+            return F.col(column) == float(text)
+        return F.lit(True)
+
     @property
     def vectors(self) -> dict[str, str]:
         return {T.iri(EX + self.renamed.get(c, c)): c for c, kind in self.df.dtypes if kind.startswith("array")}

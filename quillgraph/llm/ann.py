@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import lean, stage
 
 LEAF = 256
 
@@ -141,7 +141,7 @@ def nearest(df: DataFrame, query, id_col: str = "vec_id", vec_col: str = "embedd
             y = project(matrix(b.column(1), width), b.column(2).to_numpy())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(y), pa.list_(pa.float64()))], ["id", "v", "y"])
 
-    rows = stage(rows.where(F.size(v) == width).mapInArrow(with_projection, "id long, v array<double>, y array<double>"), "projected")
+    rows = stage(rows.where(F.size(v) == width).mapInArrow(lean(with_projection), "id long, v array<double>, y array<double>"), "projected")
     sample = np.array([r["y"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(min(sample_rows, n)).select("y").collect()])
     tree = Tree(sample, min(14, max(0, math.ceil(math.log2(n / cell_rows)))))
 
@@ -191,7 +191,7 @@ def nearest(df: DataFrame, query, id_col: str = "vec_id", vec_col: str = "embedd
             lists = [np.concatenate([np.arange(first_unit[c], first_unit[c] + units[c]) for c in np.flatnonzero(r)] or [np.zeros(0)]).astype(np.int32) for r in near]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(lists, pa.list_(pa.int32()))], ["id", "v", "bound", "block", "units"])
 
-    routed = asked.select("id", "v", "block").join(bounds, "id").select("id", "v", "bound", "block").mapInArrow(route, "id long, v array<double>, bound double, block int, units array<int>")
+    routed = asked.select("id", "v", "block").join(bounds, "id").select("id", "v", "bound", "block").mapInArrow(lean(route), "id long, v array<double>, bound double, block int, units array<int>")
     visits = routed.select(F.col("id").alias("qid"), F.col("v").alias("qv"), "bound", F.col("block").alias("of"), F.explode("units").alias("at"))
     # the stated queries against all rows, block by block: each unit's vectors go to every block of queries
     dealt = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

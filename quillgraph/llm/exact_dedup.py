@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, stage
+from .common import WHITE, lean, stage
 
 
 def digest(text: Column) -> Column:
@@ -44,7 +44,7 @@ def frequent(df: DataFrame, key: str, k: int) -> list:
             counts = shrink(counts, k)
         yield pa.RecordBatch.from_pydict({"key": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
 
-    parts = df.select(key).mapInArrow(sketch, "key string, n long")
+    parts = df.select(key).mapInArrow(lean(sketch), "key string, n long")
     merged = parts.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(k + 1).collect()
     return list(shrink({r["key"]: r["n"] for r in merged}, k))
 

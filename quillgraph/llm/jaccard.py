@@ -35,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, broadcast_small, stage
+from .common import attach, broadcast_small, lean, stage
 from .components import connected_components
 from .shingles import shingle_set
 
 LOCAL = 4
-SLICE = 1 << 21  # shingles counted at a time
+SLICE = 1 << 19  # shingles counted at a time
 FREQUENT = 1_000_000
 LIST = 8
 BLOCK = 128  # candidates verified at a time
@@ -87,7 +87,7 @@ def documents(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
         if held:
             yield common()
 
-    return stage(df.select(id_col, F.col(text_col)).mapInArrow(scan, f"id {kind}, cls binary, n long, token long, count long"), "shingled")
+    return stage(df.select(id_col, F.col(text_col)).mapInArrow(lean(scan), f"id {kind}, cls binary, n long, token long, count long"), "shingled")
 
 
 def prefixes(df: DataFrame, text_col: str, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -122,7 +122,7 @@ def prefixes(df: DataFrame, text_col: str, words: int, percent: int, frequent: n
                     ["token", "frequent", "cls", "n", "place"],
                 )
 
-    return stage(df.select(F.col(text_col)).mapInArrow(scan, "token long, frequent boolean, cls binary, n long, place long"), "prefixes")
+    return stage(df.select(F.col(text_col)).mapInArrow(lean(scan), "token long, frequent boolean, cls binary, n long, place long"), "prefixes")
 
 
 def reachable(n, place, m, other, percent: int):
@@ -162,7 +162,7 @@ def short_list_pairs(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFram
             yield flush(out)
 
     sorted_rows = rows.select("token", "cls", "n", "place").repartition("token").sortWithinPartitions("token", "place", "cls")
-    found = stage(sorted_rows.mapInArrow(pairs, "a binary, b binary, token long, n long, place long"), "candidates")
+    found = stage(sorted_rows.mapInArrow(lean(pairs), "a binary, b binary, token long, n long, place long"), "candidates")
     return found.where("b IS NOT NULL").select("a", "b").distinct(), found.where("b IS NULL").select("token", F.col("a").alias("cls"), "n", "place")
 
 
@@ -257,7 +257,7 @@ def sets_of(df: DataFrame, id_col: str, text_col: str, words: int, classes: Data
             mine = pa.array([signature(s) == c.as_py() for s, c in zip(sets, b.column(1), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([form(s) for s in sets], pa.binary())], ["cls", "shingles"]).filter(mine)
 
-    return texts.select("__text", "__cls").mapInArrow(shingle, "cls binary, shingles binary")
+    return texts.select("__text", "__cls").mapInArrow(lean(shingle), "cls binary, shingles binary")
 
 
 def compare(df: DataFrame, id_col: str, text_col: str, words: int, percent: int, classes: DataFrame, pairs: DataFrame, form: Callable[[np.ndarray], bytes], good: Callable[[bytes, list[bytes], int], list[bool]]) -> DataFrame:
@@ -295,7 +295,7 @@ def compare(df: DataFrame, id_col: str, text_col: str, words: int, percent: int,
             yield batch(links(query, block))
 
     sorted_rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return stage(sorted_rows.mapInArrow(search, "a binary, b binary"), "links")
+    return stage(sorted_rows.mapInArrow(lean(search), "a binary, b binary"), "links")
 
 
 def verify(df: DataFrame, id_col: str, text_col: str, words: int, percent: int, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -370,7 +370,7 @@ def count_links(df: DataFrame, id_col: str, text_col: str, words: int, percent:
             out = sums(held)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64())], ["cls", "linked"])
 
-    counted = rows.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(count, "cls binary, linked long")
+    counted = rows.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(lean(count), "cls binary, linked long")
     return counted.groupBy("cls").agg(F.sum("linked").alias("linked"))
 
 

@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_total, stage
+from .common import lean, running_total, stage
 
-KNOWN_WORDS = 1_000_000  # entries of a worker's word cache
+KNOWN_WORDS = 32 << 20  # bytes of a worker's word cache, about
 SLICE = 1 << 20  # characters tokenised at a time
 
 
@@ -50,7 +50,7 @@ class Words(dict):
     full, words that it lacks (rare ones: frequent words came early) are encoded each time."""
 
     def __init__(self, path: str):
-        self.encode, self.model = tokenizer(path).encode, tokenizer(path).model.tokenize
+        self.encode, self.model, self.size = tokenizer(path).encode, tokenizer(path).model.tokenize, 0
 
     def __missing__(self, w: str) -> bytes:
         if w.isalpha() and w.islower() and w == w.lower() and is_normalized("NFC", w):  # one piece, as it is
@@ -61,8 +61,9 @@ class Words(dict):
             ids = self[w[:-1]] + self[w[-1]]
         else:
             ids = array("I", self.encode(w, add_special_tokens=False).ids).tobytes()
-        if len(self) < KNOWN_WORDS:
+        if self.size < KNOWN_WORDS:
             self[w] = ids
+            self.size += len(w) + len(ids) + 200  # two objects and an entry
         return ids
 
 
@@ -108,7 +109,7 @@ def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 columns = [pa.array([r[k] for r in rows], pa.binary() if k == 5 else pa.int64()) for k in range(1, 5 + with_ids)]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array([r[0] for r in rows], pa.int64())), *columns], names)
 
-    return df.select(id_col, F.col(text_col)).mapInArrow(cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
+    return df.select(id_col, F.col(text_col)).mapInArrow(lean(cut), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 
 
 def shortest_pack_first(histogram: dict[int, int], length: int) -> list[tuple[int, list[int]]]:
@@ -173,7 +174,7 @@ def pack(parts: DataFrame, length: int = 2048, chunk_rows: int = 256) -> DataFra
             yield pa.RecordBatch.from_arrays([*kept, pa.array(t[:, 2] + place // t[:, 3]), pa.array(t[:, 4] + place % t[:, 3] * size)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in parts.dtypes)
-    return ranked.select(*names, "rank").mapInArrow(seat, f"{schema}, sequence_id long, offset long")
+    return ranked.select(*names, "rank").mapInArrow(lean(seat), f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account")
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
@@ -158,4 +160,4 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.int64() if k[:2] == "n_" else pa.string()) for k, v in out.items())], [id_col, *out])
 
     counts = ", ".join(f"n_{k} long" for k in BASE_KINDS)
-    return df.select(id_col, F.col(text_col)).mapInArrow(scan, f"`{id_col}` {kind}, {counts}, base_sha256 string, spans string")
+    return df.select(id_col, F.col(text_col)).mapInArrow(lean(scan), f"`{id_col}` {kind}, {counts}, base_sha256 string, spans string")

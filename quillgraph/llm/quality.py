@@ -12,6 +12,7 @@ several labels of a document all count; without any label every score is 0.5; an
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 NAMES = ("words", "word_length", "upper", "digits", "symbols", "marks", "bars", "stops", "commas", "wide", "distinct", "twins", "line_words", "same_lines", "top_word", "long_words")
 
 
@@ -171,8 +174,10 @@ def scored(df: DataFrame, model: Model, text_col: str = "text", out: str = "scor
     """df with a score for each row."""
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([features(t) for t in texts]).reshape(-1, len(NAMES))))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(model.score(np.array([features(t) for t in texts]).reshape(-1, len(NAMES))))
+        give_back()
 
     return df.withColumn(out, score(F.col(text_col)))
 

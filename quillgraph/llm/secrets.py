@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 KINDS = ("assign", "access", "hex", "crf")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -281,7 +283,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_do
 
     some = df.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample_docs)
     texts = df.select(id_col, F.col(text_col).alias("__t")).join(F.broadcast(some), id_col, "left_semi").select("__t")
-    rows = texts.mapInArrow(extract, "x array<array<string>>, y array<int>").orderBy(F.xxhash64("x"), "x", "y").limit(sample_runs).collect()
+    rows = texts.mapInArrow(lean(extract), "x array<array<string>>, y array<int>").orderBy(F.xxhash64("x"), "x", "y").limit(sample_runs).collect()
     return train(sorted((r["x"], r["y"]) for r in rows))
 
 
@@ -302,4 +304,4 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(digests, pa.string()), pa.array(all_spans, pa.string())], [id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return df.select(id_col, F.col(text_col)).mapInArrow(scan, f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return df.select(id_col, F.col(text_col)).mapInArrow(lean(scan), f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

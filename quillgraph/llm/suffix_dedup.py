@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, broadcast_small, stage
+from .common import attach, broadcast_small, lean, stage
 from .induced import suffix_order
 from .shingles import R, mix, powers
 
@@ -127,7 +127,7 @@ def keyed(docs: DataFrame, length: int) -> DataFrame:
                 t = text[order]
                 yield table(names, [k, c, ids[t], th[t], start[order], places[order], twice[order], kept])
 
-    return docs.mapInArrow(scan, f"key long, content long, {PLACE}, twice boolean, kept boolean")
+    return docs.mapInArrow(lean(scan), f"key long, content long, {PLACE}, twice boolean, kept boolean")
 
 
 def compare(rows: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def compare(rows: DataFrame) -> DataFrame:
             yield table(names, [x[out] for x in (key, ids, th, start, places)] + [again[out]])
 
     sorted_rows = rows.repartition("key").sortWithinPartitions("key", "content", "id", "th", "start")
-    return sorted_rows.select("key", "content", "id", "th", "start", "places", "twice").mapInArrow(stream, f"key long, {PLACE}, again boolean")
+    return sorted_rows.select("key", "content", "id", "th", "start", "places", "twice").mapInArrow(lean(stream), f"key long, {PLACE}, again boolean")
 
 
 #: Spans as they travel to their documents: two numbers, and where they are needed the key.
@@ -187,7 +187,7 @@ def spans_of(rows: DataFrame, name: str) -> DataFrame:
             spans = [parts[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.binary())], ["id", "th", name])
 
-    return stage(listed.mapInArrow(packed, f"id long, th long, {name} binary"), name)
+    return stage(listed.mapInArrow(lean(packed), f"id long, th long, {name} binary"), name)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, name: str, how: str) -> DataFrame:
@@ -235,7 +235,7 @@ def dealt_again(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
                 yield table(names, [key, content, np.array(ids, np.int64)[of], np.array(th, np.int64)[of], start + flat["a"][which].astype(np.int64), places, twice])
 
     names = ["key", "content", "id", "th", "start", "places", "twice"]
-    return stage(texts.select("id", "th", "text", "wanted").mapInArrow(deal, f"key long, content long, {PLACE}, twice boolean"), "dealt_again")
+    return stage(texts.select("id", "th", "text", "wanted").mapInArrow(lean(deal), f"key long, content long, {PLACE}, twice boolean"), "dealt_again")
 
 
 def window_spans(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
@@ -248,7 +248,7 @@ def window_spans(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
                 out = [(hashlib.blake2b(text[s : s + length], digest_size=16).digest(), i, t, s) for i, t, text, spans in zip(ids, th, texts, rows, strict=True) for a, n, _ in np.frombuffer(spans, SPAN["wanted"]).tolist() for s in range(a, a + n)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64() if k else pa.binary()) for k in range(4)], ["window", "id", "th", "a"])
 
-    places = stage(texts.select("id", "th", "text", "wanted").mapInArrow(windows, "window binary, id long, th long, a long"), "windows")
+    places = stage(texts.select("id", "th", "text", "wanted").mapInArrow(lean(windows), "window binary, id long, th long, a long"), "windows")
     firsts = places.groupBy("window").agg(F.min(F.struct("id", "th", "a")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     found = attach(places, stage(firsts, "first_windows"), "window", "n", places.count())
     return found.where(F.struct("id", "th", "a") != F.col("first")).select("id", "th", "a", (F.col("a") + length).alias("b"))
@@ -309,7 +309,7 @@ def repeated_spans(docs: DataFrame, length: int, memory: int) -> DataFrame:
                 out = [(key, i, t, a, text[a : a + n + length - 1]) for i, t, text, spans in zip(ids, th, texts, rows, strict=True) for a, n, key in np.frombuffer(spans, SPAN["wanted"]).tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary() if k == 4 else pa.int64()) for k in range(5)], ["key", "id", "th", "a", "data"])
 
-    pieces = texts.select("id", "th", "text", "wanted").mapInArrow(extract, "key long, id long, th long, a long, data binary")
+    pieces = texts.select("id", "th", "text", "wanted").mapInArrow(lean(extract), "key long, id long, th long, a long, data binary")
     size = todo.agg(F.coalesce(F.sum(F.col("places") + length), F.lit(0))).first()[0]
     shards = max(1, -(-size // SHARD))
 
@@ -326,7 +326,7 @@ def repeated_spans(docs: DataFrame, length: int, memory: int) -> DataFrame:
         if rows:
             yield sort_shard(rows, length, memory)
 
-    parts = pieces.repartition(shards, "key").sortWithinPartitions("key").mapInArrow(sort, "id long, th long, a long, b long")
+    parts = pieces.repartition(shards, "key").sortWithinPartitions("key").mapInArrow(lean(sort), "id long, th long, a long, b long")
     for x in spans:
         parts = parts.unionByName(x)
     return parts
@@ -364,5 +364,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], names)
 
     names = ["id", "no_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
-    done = rows.mapInArrow(apply, "id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    done = rows.mapInArrow(lean(apply), "id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
     return done.select(F.when(~F.col("no_id"), F.col("id")).cast(kind).alias(id_col), *names[2:])

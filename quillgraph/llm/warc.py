@@ -30,7 +30,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, new_path, stage
+from .common import attach, lean, new_path, stage
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122's namespace of URLs
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -147,7 +147,7 @@ def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str
 
     fs, root = pafs.FileSystem.from_uri(uri)
     fs.create_dir(f"{root}/_temporary", recursive=True)
-    ordered.mapInArrow(write, MANIFEST).write.parquet(f"{uri}/_manifest")
+    ordered.mapInArrow(lean(write), MANIFEST).write.parquet(f"{uri}/_manifest")
     manifest = spark.read.schema(MANIFEST).parquet(f"{uri}/_manifest")
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +161,7 @@ def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str
                     raise OSError(f"{new} isn't what its manifest says")
             yield b
 
-    manifest.mapInArrow(commit, MANIFEST).write.format("noop").mode("overwrite").save()
+    manifest.mapInArrow(lean(commit), MANIFEST).write.format("noop").mode("overwrite").save()
     fs.delete_dir(f"{root}/_temporary")
     return manifest
 
@@ -218,7 +218,7 @@ def read_warc(spark: SparkSession, uri: str, manifest: DataFrame, id_type: str =
 
     files = manifest.select("name").distinct()
     tasks = max(1, -(-manifest.count() // files_a_task))
-    rows = files.repartition(tasks, "name").mapInArrow(read, "page_id string, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    rows = files.repartition(tasks, "name").mapInArrow(lean(read), "page_id string, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to string")
     return rows.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 

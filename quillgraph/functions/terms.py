@@ -110,7 +110,8 @@ def escape(text: Column) -> Column:
 
 def canonical(t: Column) -> Column:
     """A term as this library spells it: only the characters that must be are escaped, so equal terms are equal texts."""
-    tail = F.regexp_extract(t, r'(?s)^"(?:[^"\\]|\\.)*"(.*)$', 1)
+    mark, kind = F.regexp_extract(t, LITERAL, 2), F.regexp_extract(t, LITERAL, 3)
+    tail = F.when(mark != "", F.concat(F.lit("@"), mark)).when(kind != "", F.concat(F.lit("^^<"), kind, F.lit(">"))).otherwise("")
     literal = F.concat(F.lit('"'), escape(unescape(F.regexp_extract(t, LITERAL, 1))), F.lit('"'), tail)
     return F.when(~F.contains(t, F.lit("\\")), t).when(is_literal(t), literal).when(is_iri(t), unescape(t)).otherwise(t)
 

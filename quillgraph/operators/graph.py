@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
+from ..sources import formats
 from ..sources.mapping import Table
 from .solutions import Kind, Solutions, companion, width
 
@@ -75,9 +76,12 @@ class Graph:
     def contains(self, s: str, p: str, o: str) -> DataFrame:
         return Solutions(self.find(s, p, o)).ask()
 
-    def adjacency(self) -> DataFrame:
-        """s, edges: the (p, o) of each subject."""
-        return self.triples().groupBy("s").agg(F.sort_array(F.collect_list(F.struct("p", "o"))).alias("edges"))
+    def adjacency(self, most: int = 100_000) -> DataFrame:
+        """s, part, edges: the (p, o) of each subject; those of a hub with more than `most` in several parts, so that no row is unbounded."""
+        t = self.triples()
+        hubs = t.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts")).where("parts > 1")
+        dealt = t.join(hubs, "s", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("p", "o"), F.col("parts")), F.lit(0)).cast("int"))
+        return dealt.groupBy("s", "part").agg(F.sort_array(F.collect_list(F.struct("p", "o"))).alias("edges"))
 
     def statistics(self) -> DataFrame:
         """p, triples, subjects, objects."""
@@ -160,6 +164,18 @@ def insert(triples: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     return triples.select("s", "p", "o").unionByName(added), added
 
 
+def bulk_insert(triples: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of N-Triples lines (line, value): what is new, and line, value, error of the others: duplicate (of the triples, or of an earlier
+    line) or malformed. Blank lines and comments are neither."""
+    rows = formats._parsed(lines.select("line", "value")).where("s != ''")
+    firsts = rows.groupBy("s", "p", "o").agg(F.min("line").alias("__first"))
+    new = firsts.join(triples, ["s", "p", "o"], "left_anti")
+    again = rows.join(new.select("s", "p", "o", "__first"), ["s", "p", "o"], "left").where(F.col("__first").isNull() | (F.col("line") > F.col("__first")))
+    wrong = formats.malformed_lines(lines.select("line", "value"))
+    errors = again.select("line", "value", F.lit("duplicate").alias("error")).unionByName(wrong.withColumn("error", F.lit("malformed")))
+    return new.select("s", "p", "o"), errors
+
+
 def delete(triples: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The triples afterwards, and those removed."""
     old = old.select("s", "p", "o").distinct()

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..plans.store import stage
 
+REWRITE = 8  # rounds
+
 
 def sequence(*steps: DataFrame) -> DataFrame:
     """p1/p2/...: pairs connected by one edge of each; a bag."""
@@ -63,12 +65,15 @@ def one_or_more(edges: DataFrame, starts: DataFrame | None = None, until: Column
     step = edges.select(F.col("s").alias("o"), F.col("o").alias("far"))
     frontier = stage(one(edges, starts).distinct(), "frontier")
     reached, k = frontier, 1
+    parts = 1  # of reached: written as one again from time to time, so that plans stay short
     while depth is None or k < depth:
         open_ends = frontier if until is None else frontier.where(~F.coalesce(until, F.lit(False)))
         frontier = stage(open_ends.join(step, "o").select("s", F.col("far").alias("o")).distinct().join(reached, ["s", "o"], "left_anti"), "frontier")
         if frontier.isEmpty():
             break
-        reached = reached.unionByName(frontier)
+        reached, parts = reached.unionByName(frontier), parts + 1
+        if parts == REWRITE:
+            reached, parts = stage(reached, "reached"), 1
         k += 1
     return reached
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.store import stage
@@ -40,11 +40,12 @@ class WideTable:
     rest: DataFrame | None = None  # properties of the sets that were assigned by a join
 
 
-def discover(triples: DataFrame, similar: float = 0.8, least_nodes: int = 10, least_core: int = 5, core: float = 0.5, column: float = 1 / 3, most: int = 10_000) -> list[WideTable]:
-    """Sets by size, each merged into the first table whose properties it resembles; tables with enough nodes and core properties."""
-    left = stage(characteristic_sets(triples), "characteristic_sets")
+def merged(sets: DataFrame, similar: float, most: int) -> list[tuple]:
+    """Sets (properties, nodes) by size, each merged into the first group whose properties it resembles. Of each group: properties, members
+    (sets with their nodes), and of the sets assigned by a join their nodes, nodes by property, and the sets (or None)."""
+    left = stage(sets, "characteristic_sets")
     groups: list[tuple[set[str], list[tuple[frozenset[str], int]]]] = []
-    extra: dict[int, list] = {}  # of a group: nodes of assigned sets, nodes by property, and the sets
+    extra: dict[int, list] = {}
     while rows := left.orderBy(F.desc("nodes"), "properties").limit(most).collect():
         first = len(groups)
         for r in rows:
@@ -57,7 +58,7 @@ def discover(triples: DataFrame, similar: float = 0.8, least_nodes: int = 10, le
                 home[1].append((s, r["nodes"]))
         if len(rows) < most:
             break
-        seen = triples.sparkSession.createDataFrame([(r["properties"],) for r in rows], "properties array<string>")
+        seen = sets.sparkSession.createDataFrame([(r["properties"],) for r in rows], "properties array<string>")
         left = left.join(F.broadcast(seen), "properties", "left_anti")
         found = stage(resembling(left, {i: groups[i][0] for i in range(first, len(groups))}, similar), "assigned_sets")
         parts = found.select("home", "nodes", F.explode("properties").alias("p")).groupBy("home", "p").agg(F.sum("nodes").alias("n")).groupBy("home").agg(F.map_from_entries(F.collect_list(F.struct("p", "n"))).alias("by"))
@@ -65,19 +66,33 @@ def discover(triples: DataFrame, similar: float = 0.8, least_nodes: int = 10, le
             extra[r["home"]] = [r["nodes"], r["by"], found.where(F.col("home") == r["home"]).select("properties")]
             groups[r["home"]][0].update(r["by"])
         left = stage(left.join(found.select("properties"), "properties", "left_anti"), "characteristic_sets")
+    return [(properties, members, *extra.get(i, (0, {}, None))) for i, (properties, members) in enumerate(groups)]
+
+
+def discover(triples: DataFrame, similar: float = 0.8, least_nodes: int = 10, least_core: int = 5, core: float = 0.5, column: float = 1 / 3, most: int = 10_000) -> list[WideTable]:
+    """Sets by size, each merged into the first table whose properties it resembles; tables with enough nodes and core properties."""
     out = []
-    for i, (properties, members) in enumerate(groups):
-        more, by, rest = extra.get(i, (0, {}, None))
+    for properties, members, more, by, rest in merged(characteristic_sets(triples), similar, most):
         nodes = sum(n for _, n in members) + more
         coverage = {p: (sum(n for s, n in members if p in s) + by.get(p, 0)) / nodes for p in properties}
         main = sorted(p for p, c in coverage.items() if c >= core)
-        tail = [c for c in coverage.values() if c < core]
         if nodes >= least_nodes and len(main) >= least_core:
-            steep = sum(coverage[p] for p in main) / len(main) / max(sum(tail) / len(tail) if tail else 0.0, 0.01)
-            out.append(WideTable(frozenset(properties), [s for s, _ in members], nodes, coverage, main, sorted(p for p, c in coverage.items() if c >= column), steep, rest))
+            out.append(WideTable(frozenset(properties), [s for s, _ in members], nodes, coverage, main, sorted(p for p, c in coverage.items() if c >= column), cliff(coverage, core), rest))
     return out
 
 
+def cliff(coverage: dict[str, float], core: float = 0.5) -> float:
+    """How far the core's mean coverage is above the tail's (0.01 at least)."""
+    main, tail = [c for c in coverage.values() if c >= core], [c for c in coverage.values() if c < core]
+    return sum(main) / max(1, len(main)) / max(sum(tail) / len(tail) if tail else 0.0, 0.01)
+
+
+def table_health(spark: SparkSession, found: list[WideTable]) -> DataFrame:
+    """label, nodes, columns, cliff, status: a table with a cliff below 1 has too mixed a tail."""
+    rows = [("|".join(t.core), t.nodes, len(t.columns), t.cliff, "warning" if t.cliff < 1 else "healthy") for t in found]
+    return spark.createDataFrame(rows, "label string, nodes long, columns long, cliff double, status string")
+
+
 def resembling(sets: DataFrame, groups: dict[int, set[str]], similar: float) -> DataFrame:
     """properties, nodes, home: the sets that resemble a group, and the first such group."""
     rows = [(p, i, len(g)) for i, g in groups.items() for p in sorted(g)]
@@ -99,11 +114,17 @@ def materialise(triples: DataFrame, table: WideTable) -> DataFrame:
 
 
 def column_statistics(wide: DataFrame, segment_rows: int = 2048) -> DataFrame:
-    """segment, column, least, greatest, nulls, distinct_values, rows: zone maps over segments of about that many rows, dealt by range of the
-    first column."""
+    """segment, column, least, greatest, nulls, distinct_values, rows: zone maps over segments of that many rows (the last one fewer), in the
+    order of the first column. Rows are numbered within range partitions, whose sizes are counted first, so segments don't
+    depend on where the partitions are cut; rows equal in the first column go by all others."""
     names = [c for c in wide.columns if c != "node"]
-    n = max(1, -(-wide.count() // segment_rows))
-    rows = wide.repartitionByRange(n, wide.columns[0]).withColumn("__segment", F.spark_partition_id())
+    order = [F.col(f"`{c}`").asc_nulls_first() for c in [wide.columns[0], *wide.columns[1:]]]
+    dealt = stage(wide.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = {r["__part"]: r["count"] for r in dealt.groupBy("__part").count().collect()}  # a row a partition
+    before = {p: sum(n for q, n in sizes.items() if q < p) for p in sizes}
+    starts = F.broadcast(wide.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "__part int, __before long"))
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1 + F.col("__before")
+    rows = dealt.join(starts, "__part").withColumn("__segment", F.floor(nth / segment_rows).cast("int"))
     cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in names)))
     return rows.select(F.col("__segment").alias("segment"), cells.alias("c")).groupBy("segment", "c.column").agg(F.min("c.value").alias("least"), F.max("c.value").alias("greatest"), F.count(F.when(F.col("c.value").isNull(), 1)).alias("nulls"), F.countDistinct("c.value").alias("distinct_values"), F.count(F.lit(1)).alias("rows"))
 
@@ -122,11 +143,42 @@ def scan(wide: DataFrame, equal: dict[str, str] | None = None, between: dict[str
 
 def two_step_paths(triples: DataFrame) -> DataFrame:
     """first, second, roots, middles, fan_in: pairs of predicates that follow each other, how many roots and middle nodes they join,
-    and roots a middle node. A fan-in above 3 means that middle nodes are shared, and a deep table would repeat them."""
-    a = triples.select("s", F.col("p").alias("first"), F.col("o").alias("mid"))
-    b = triples.select(F.col("s").alias("mid"), F.col("p").alias("second")).distinct()
-    pairs = a.join(b, "mid")
-    return pairs.groupBy("first", "second").agg(F.countDistinct("s").alias("roots"), F.countDistinct("mid").alias("middles"), (F.count(F.lit(1)) / F.countDistinct("mid")).alias("fan_in"))
+    and roots a middle node. A fan-in above 3 means that middle nodes are shared, and a deep table would repeat them. What comes in to a
+    node and what goes out of it are counted apart before they meet: a row a node and pair of predicates, however many edges."""
+    root_path, middles = _rooted(triples), _middles(triples)
+    roots = root_path.groupBy("first", "second").agg(F.countDistinct("s").alias("roots"))
+    return roots.join(middles, ["first", "second"]).select("first", "second", "roots", "middles", (F.col("uses") / F.col("middles")).alias("fan_in"))
+
+
+def _rooted(triples: DataFrame) -> DataFrame:
+    """s, first, second: the two-step paths of each root; a set."""
+    second = triples.select(F.col("s").alias("mid"), F.col("p").alias("second")).distinct()
+    return triples.select("s", F.col("p").alias("first"), F.col("o").alias("mid")).join(second, "mid").select("s", "first", "second").distinct()
+
+
+def _middles(triples: DataFrame) -> DataFrame:
+    """first, second, middles, uses."""
+    into = triples.groupBy(F.col("o").alias("mid"), F.col("p").alias("first")).agg(F.count(F.lit(1)).alias("k"))
+    out = triples.select(F.col("s").alias("mid"), F.col("p").alias("second")).distinct()
+    return into.join(out, "mid").groupBy("first", "second").agg(F.count(F.lit(1)).alias("middles"), F.sum("k").alias("uses"))
+
+
+def discover_paths(triples: DataFrame, similar: float = 0.8, core: float = 0.5, least_paths: int = 2, least_roots: int = 10, most_fan_in: float = 3.0, most: int = 10_000) -> DataFrame:
+    """paths (array of first, second), roots, fan_in, kept: groups of roots with like sets of two-step paths. Roots of fewer than
+    least_paths don't count; groups merge as property sets do; a group has the paths of at least half its roots, and needs least_paths of
+    them and least_roots * 4 roots. kept is false where middle nodes serve more than most_fan_in roots on average."""
+    depth = 2
+    names = _rooted(triples).groupBy("s").agg(F.sort_array(F.collect_list(F.concat_ws(" ", "first", "second"))).alias("properties"))
+    sets = names.where(F.size("properties") >= least_paths).groupBy("properties").agg(F.count(F.lit(1)).alias("nodes"))
+    fan = {f"{r['first']} {r['second']}": (r["middles"], r["uses"]) for r in _middles(triples).collect()}  # a row a pair of predicates
+    rows = []
+    for properties, members, more, by, _ in merged(sets, similar, most):
+        roots = sum(n for _, n in members) + more
+        main = sorted(p for p in properties if sum(n for s, n in members if p in s) + by.get(p, 0) >= core * roots)
+        if len(main) >= least_paths and roots >= least_roots * depth**2:
+            middles, uses = (sum(fan[p][i] for p in main) for i in (0, 1))
+            rows.append(([tuple(p.split(" ", 1)) for p in main], roots, uses / middles, uses <= most_fan_in * middles))
+    return triples.sparkSession.createDataFrame(rows, "paths array<struct<first: string, second: string>>, roots long, fan_in double, kept boolean")
 
 
 def deep_table(triples: DataFrame, paths: list[tuple[str, str]]) -> DataFrame:

@@ -15,15 +15,39 @@ from pyspark.sql import functions as F
 from ..functions import terms as T
 
 SUBJECT = r"(<<.*?>>|<[^>]*>|_:[A-Za-z0-9_.-]+)"
-OBJECT = r'(<<.*?>>|<[^>]*>|_:[A-Za-z0-9_.-]+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)'
+OBJECT = r'(<<.*?>>|<[^>]*>|_:[A-Za-z0-9_.-]+|"(?:[^"\\]++|\\.)*+"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)'  # possessive: no recursion on long texts
 LINE = rf"^\s*{SUBJECT}\s+(<[^>]*>)\s+{OBJECT}(?:\s+(<[^>]*>|_:[A-Za-z0-9_.-]+))?\s*\.?\s*(?:#.*)?$"
 
 
 def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
-    """s, p, o, g of N-Triples or N-Quads lines; blank, comment and malformed lines are left out."""
-    part = lambda i: F.regexp_extract(F.col(line), LINE, i)
-    rows = lines.where(F.col(line).rlike(LINE))
-    return rows.select(part(1).alias("s"), part(2).alias("p"), part(3).alias("o"), F.nullif(part(4), F.lit("")).alias("g"))
+    """s, p, o, g of N-Triples or N-Quads lines; blank, comment and malformed lines are left out. Escapes that needn't be are decoded, so
+    that equal terms are equal texts."""
+    return _parsed(lines.select(F.col(line).alias("value"))).where("s != ''").select("s", "p", "o", "g")
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    """lines with s, p, o, g; s is empty where a line is no triple."""
+    first = F.regexp_replace("value", LINE, "$1\u0001$2\u0001$3\u0001$4")  # one pass; a line that doesn't match stays as it is
+    parts = lines.withColumn("__x", F.when(F.col("value").contains("\u0001"), F.array(F.lit(""))).otherwise(F.split(first, "\u0001")))
+    part = lambda i: F.when(F.size("__x") == 4, F.col("__x")[i]).otherwise("")
+    g = F.nullif(part(3), F.lit(""))
+    return parts.select(*lines.columns, T.canonical(part(0)).alias("s"), T.canonical(part(1)).alias("p"), T.canonical(part(2)).alias("o"), g.alias("g"))
+
+
+def malformed_lines(lines: DataFrame) -> DataFrame:
+    """The lines (value, and other columns) that are neither triples nor blank nor comments."""
+    return _parsed(lines).where("s = ''").where(~F.col("value").rlike(r"^\s*(?:#.*)?$")).select(*lines.columns)
+
+
+def to_nquads(quads: DataFrame) -> DataFrame:
+    """value: a line a quad (s, p, o, g); those without a graph are triples."""
+    return quads.select(F.concat_ws(" ", "s", "p", "o", "g", F.lit(".")).alias("value"))
+
+
+def service_description(triples: DataFrame) -> DataFrame:
+    """value: the data set's description in Turtle, with its number of triples."""
+    head = "@prefix void: <http://rdfs.org/ns/void#> .\n\n<> a void:Dataset ;\n    void:triples "
+    return triples.agg(F.concat(F.lit(head), F.count(F.lit(1)).cast("string"), F.lit(" .\n")).alias("value"))
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
@@ -170,15 +194,31 @@ PARSERS: dict[str, Callable[[str, str], Iterator[tuple[str, str, str]]]] = {"tur
 
 
 def parse_documents(documents: DataFrame, fmt: str, text: str = "value") -> DataFrame:
-    """s, p, o of whole documents, a document a row. Blank nodes are scoped by a hash of the document."""
+    """s, p, o of whole documents, a document a row; a set. Blank nodes are scoped by a hash of the document. Null documents are empty;
+    of malformed ones nothing is taken (document_errors() has them)."""
+    return _documents(documents, fmt, text).where("error IS NULL").select("s", "p", "o").dropDuplicates()
+
+
+def document_errors(documents: DataFrame, fmt: str, text: str = "value") -> DataFrame:
+    """document (a hash of its text), error: the documents that can't be parsed."""
+    return _documents(documents, fmt, text).where("error IS NOT NULL").select(F.col("s").alias("document"), "error")
+
+
+def _documents(documents: DataFrame, fmt: str, text: str) -> DataFrame:
     parser = PARSERS[fmt]
 
+    def one(t: str | None, name: str) -> list[tuple]:
+        try:
+            return [(*x, None) for x in parser(t, f"d{name}")] if t and t.strip() else []
+        except Exception as error:  # whatever a parser stumbles on, the document is malformed
+            return [(name, None, None, f"{type(error).__name__}: {error}"[:200])]
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([x for t, n in zip(b["t"], b["n"], strict=True) for x in parser(t, f"d{n}")], columns=["s", "p", "o"])
+            yield pd.DataFrame([x for t, n in zip(b["t"], b["n"], strict=True) for x in one(t, n)], columns=["s", "p", "o", "error"])
 
     named = documents.select(F.col(text).alias("t"), F.substring(F.md5(text), 1, 12).alias("n"))
-    return named.mapInPandas(rows, "s string, p string, o string").dropDuplicates()
+    return named.mapInPandas(rows, "s string, p string, o string, error string")
 
 
 def json_results(rows: DataFrame) -> DataFrame:

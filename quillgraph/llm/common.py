@@ -66,18 +66,21 @@ def id_order(*cols: str) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in cols]
 
 
-def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int, most: int = 512) -> DataFrame:
+def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int, most: int = 512, complete: bool = False) -> DataFrame:
     """rows left-joined with facts (staged, one row a key), hot keys apart.
 
     weight is a column of facts: how many of the total rows have that key. Fewer than `most` keys can weigh
     total / most or more, so these are broadcast (a proven bound) and their rows are never shuffled; the other
-    keys are small, and an ordinary shuffled join takes them.
+    keys are small, and an ordinary shuffled join takes them. complete: every row has facts, so that without cold facts there
+    are no cold rows.
     """
     hot = facts.where(F.col(weight) * most > total)
     cold = facts.where(F.col(weight) * most <= total)
     flag = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("__hot"))), key, "left")
     columns = [c for c in facts.columns if c != key]
     a = rows.join(F.broadcast(hot), key)
+    if complete and cold.isEmpty():
+        return a.select(*rows.columns, *columns)
     b = flag.where(F.col("__hot").isNull()).drop("__hot").join(cold.hint("merge"), key, "left")
     return a.select(*rows.columns, *columns).unionByName(b.select(*rows.columns, *columns))
 
@@ -87,17 +90,35 @@ def broadcast_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """df with each row's number, from 1, in a global order: numbers within range partitions after those of the partitions before, so no task
+    has all rows. Rows equal in the order are numbered in any order."""
+    dealt = stage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = {r["__part"]: r["count"] for r in dealt.groupBy("__part").count().collect()}  # a row a partition
+    before = [(p, sum(n for q, n in sizes.items() if q < p)) for p in sizes] or [(0, 0)]
+    starts = F.broadcast(df.sparkSession.createDataFrame(before, "__part int, __before long"))
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + F.col("__before")
+    return dealt.join(starts, "__part").withColumn(out, nth).drop("__part", "__before")
+
+
+WIDE = 4096  # chunks a span of chunks
+
+
 def running_total(df: DataFrame, group: str | None, chunk: str, order: list[Column], value: Column, out: str) -> DataFrame:
     """Exact running sum of `value` in a global order (or in each group's), without a window over a whole group.
 
     The columns group and chunk, not null, cut the order into consecutive chunks of bounded size. Rows are summed
-    within chunks, and the chunks' totals (one row a chunk) over the chunks before.
+    within chunks, chunks within spans of WIDE chunks, and spans (one row a million rows or so) over the spans before.
     """
-    keys = [chunk] if group is None else [group, chunk]
-    rows = df.withColumn("__value", value)
-    totals = rows.groupBy(*keys).agg(F.sum("__value").alias("__sum"))
-    before = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    group = group or "__all"
+    rows = (df.withColumn("__all", F.lit(0)) if group == "__all" else df).withColumn("__value", value)
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    totals = rows.groupBy(group, chunk).agg(F.sum("__value").alias("__sum")).withColumn("__span", F.floor(F.col(chunk) / WIDE))
+    spans = totals.groupBy(group, "__span").agg(F.sum("__sum").alias("__sum"))
+    spans = spans.select(group, "__span", so_far("__sum", before(group).orderBy("__span")).alias("__ahead"))
+    totals = totals.withColumn("__near", so_far("__sum", before(group, "__span").orderBy(chunk))).join(spans, [group, "__span"])
+    totals = totals.select(group, chunk, (F.col("__ahead") + F.col("__near")).alias("__before"))
+    inside = Window.partitionBy(group, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__inside", F.sum("__value").over(inside))
-    return rows.join(totals, keys).withColumn(out, F.col("__before") + F.col("__inside")).drop("__inside", "__before", "__value")
+    return rows.join(totals, [group, chunk]).withColumn(out, F.col("__before") + F.col("__inside")).drop("__inside", "__before", "__value", "__all")

@@ -4,15 +4,16 @@ Inner product becomes Euclidean distance by one added component (vectors get sqr
 norm; queries are scaled to norm M). Vectors are projected on a few Gaussian (2-stable) directions: of a
 pair at distance d, the squared projected distance over d^2 has a chi-square distribution. A kd-tree over
 the projected space, its top fitted on a bounded sample (`sample_rows`) and all vectors routed through it, gives
-cells; cells of more than cell_rows vectors (many equal vectors, say) are dealt over several units. A query first
+cells; cells of more than cell_rows vectors (many equal vectors, say) are dealt over several units, row by row. A query first
 searches its home unit, which bounds the distance of its k-th neighbour, then every unit that the stopping test
-doesn't rule out. In a unit, leaves are visited in the order of projected distance, and their vectors verified by exact inner
+doesn't rule out. Queries of neighbouring cells form a block, and a unit's vectors go to those blocks only that have a query for it. In a unit, leaves are visited in the order of projected distance, and their vectors verified by exact inner
 products, until the next leaf's projected distance passes the chi-square quantile times the k-th distance so far. A true neighbour is
 missed with a chance of at most 1 - confidence; recall against brute force is measured in the tests.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, null ids, and vectors of another
 dimension than the commonest take no part; ties go to the smaller id; with fewer than k candidates all are returned;
-several rows of one id are separate candidates, but never of a query of that id; empty tables give an empty result.
+several rows of one id are separate candidates, but never of a query of that id, and separate queries, each with a result of its own;
+empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -117,7 +118,7 @@ def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def nearest(df: DataFrame, query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, directions: int = 8, confidence: float = 0.98, cell_rows: int = 4096, block_rows: int = 4096, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
+def nearest(df: DataFrame, query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, directions: int = 8, confidence: float = 0.98, cell_rows: int = 1024, block_rows: int = 4096, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of df, of each row whose id fulfils `query` (a column
     expression over "id")."""
     spark = df.sparkSession
@@ -141,7 +142,8 @@ def nearest(df: DataFrame, query, id_col: str = "vec_id", vec_col: str = "embedd
             y = project(matrix(b.column(1), width), b.column(2).to_numpy())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(y), pa.list_(pa.float64()))], ["id", "v", "y"])
 
-    rows = stage(rows.where(F.size(v) == width).mapInArrow(lean(with_projection), "id long, v array<double>, y array<double>"), "projected")
+    rows = rows.where(F.size(v) == width).mapInArrow(lean(with_projection), "id long, v array<double>, y array<double>")
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "projected")
     sample = np.array([r["y"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(min(sample_rows, n)).select("y").collect()])
     tree = Tree(sample, min(14, max(0, math.ceil(math.log2(n / cell_rows)))))
 
@@ -156,45 +158,56 @@ def nearest(df: DataFrame, query, id_col: str = "vec_id", vec_col: str = "embedd
     low, high = (np.array([[r[f"{name}{i}"] for i in range(directions)] for r in cells]) for name in ("low", "high"))
     units = np.array([-(-r["n"] // cell_rows) for r in cells])
     first_unit = np.concatenate([[0], np.cumsum(units)])
-    unit_table = F.broadcast(spark.createDataFrame([(int(c), int(f), int(u)) for c, f, u in zip(number, first_unit, units, strict=False)], "cell int, first int, units int"))
-    rows = rows.join(unit_table, "cell").withColumn("unit", (F.col("first") + F.pmod(F.xxhash64("id", "v"), F.col("units"))).cast("int"))
+    # blocks of queries: cells in the tree's order, together up to block_rows; more than that in one cell make several
+    of_cell = {r["cell"]: r["count"] for r in rows.where(query).groupBy("cell").count().collect()}  # 2^14 rows at most
+    block_of, blocks_of, block, filled = [], [], 0, 0
+    for c in number.tolist():
+        here = of_cell.get(c, 0)
+        if filled and filled + here > block_rows:
+            block, filled = block + 1, 0
+        block_of.append(block)
+        blocks_of.append(max(1, -(-here // block_rows)))
+        filled += here
+        if blocks_of[-1] > 1:
+            block, filled = block + blocks_of[-1], 0
+    dealt = [tuple(map(int, x)) for x in zip(number, first_unit, units, block_of, blocks_of, strict=False)]
+    unit_table = F.broadcast(spark.createDataFrame(dealt, "cell int, first int, units int, block0 int, blocks int"))
+    rows = rows.join(unit_table, "cell").withColumn("unit", (F.col("first") + F.pmod(F.xxhash64("row"), F.col("units"))).cast("int"))
     members = rows.select("unit", "id", "v", "y")
-    asked = rows.where(query)
-    blocks = max(1, -(-asked.count() // block_rows))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
+    asked = rows.where(query).withColumn("block", (F.col("block0") + F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks"))).cast("int"))
 
-    def visit(left: pa.Table, right: pa.Table, first_round: bool) -> pa.Table:
-        names = ["id", "bound"] if first_round else ["query_id", "vec_id", "score"]
-        kinds = [pa.int64(), pa.float64()] if first_round else [pa.int64(), pa.int64(), pa.float64()]
+    names, kinds = ["row", "query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+    answer = "row long, query_id long, vec_id long, score double"
+
+    def visit(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in kinds], names)
         ids, x, y = left["id"].to_numpy(), matrix(left["v"], width), matrix(left["y"], directions)
-        qid, q = right["qid"].to_numpy(), matrix(right["qv"], width)
-        scale = top / np.linalg.norm(q, axis=1)
-        qy = (q * scale[:, None]) @ axes[:-1]
-        bound = np.full(len(q), np.inf) if first_round else right["bound"].to_numpy()
-        best, who = search(ids, x, y, qid, q, qy, bound, top, limit, k)
-        if first_round:
-            return pa.Table.from_arrays([pa.array(qid), pa.array(2 * top * top - 2 * scale * best[:, -1])], names)
+        row, qid, q = right["row"].to_numpy(), right["qid"].to_numpy(), matrix(right["qv"], width)
+        qy = (q * (top / np.linalg.norm(q, axis=1))[:, None]) @ axes[:-1]
+        best, who = search(ids, x, y, qid, q, qy, right["bound"].to_numpy(), top, limit, k)
         i, j = np.nonzero(best > -np.inf)
-        return pa.Table.from_arrays([pa.array(qid[i]), pa.array(who[i, j]), pa.array(best[i, j])], names)
+        return pa.Table.from_arrays([pa.array(row[i]), pa.array(qid[i]), pa.array(who[i, j]), pa.array(best[i, j])], names)
 
-    home = asked.select(F.col("unit").alias("at"), F.col("id").alias("qid"), F.col("v").alias("qv")).groupBy("at")
-    bounds = members.groupBy("unit").cogroup(home).applyInArrow(lambda a, b: visit(a, b, True), "id long, bound double")
-    bounds = stage(bounds.groupBy("id").agg(F.min("bound").alias("bound")), "bounds")
+    home = asked.select(F.col("unit").alias("at"), "row", F.col("id").alias("qid"), F.col("v").alias("qv"), F.lit(float("inf")).alias("bound")).groupBy("at")
+    near_home = stage(members.groupBy("unit").cogroup(home).applyInArrow(visit, answer), "home")
+    kth = near_home.groupBy("row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
 
     def route(batches):
         for b in batches:
-            q, bound = matrix(b.column(1), width), b.column(2).to_numpy()
-            qy = (q * (top / np.linalg.norm(q, axis=1))[:, None]) @ axes[:-1]
-            near = box_distance(qy, low, high) <= limit * np.maximum(bound, 0)[:, None] + 1e-9
-            lists = [np.concatenate([np.arange(first_unit[c], first_unit[c] + units[c]) for c in np.flatnonzero(r)] or [np.zeros(0)]).astype(np.int32) for r in near]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(lists, pa.list_(pa.int32()))], ["id", "v", "bound", "block", "units"])
-
-    routed = asked.select("id", "v", "block").join(bounds, "id").select("id", "v", "bound", "block").mapInArrow(lean(route), "id long, v array<double>, bound double, block int, units array<int>")
-    visits = routed.select(F.col("id").alias("qid"), F.col("v").alias("qv"), "bound", F.col("block").alias("of"), F.explode("units").alias("at"))
-    # the stated queries against all rows, block by block: each unit's vectors go to every block of queries
-    dealt = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = dealt.groupBy("unit", "block").cogroup(visits.groupBy("at", "of")).applyInArrow(lambda a, b: visit(a, b, False), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                q, worst = matrix(part.column(2), width), part.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
+                scale = top / np.linalg.norm(q, axis=1)
+                bound = np.where(np.isnan(worst), np.inf, 2 * top * top - 2 * scale * worst)  # the squared distance of the k-th so far
+                near = box_distance((q * scale[:, None]) @ axes[:-1], low, high) <= limit * np.maximum(bound, 0)[:, None] + 1e-9
+                own = part.column(5).to_numpy()
+                lists = [(u := np.concatenate([np.arange(first_unit[c], first_unit[c] + units[c]) for c in np.flatnonzero(r)] or [np.zeros(0)]).astype(np.int32))[u != o] for r, o in zip(near, own, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(bound), part.column(4), pa.array(lists, pa.list_(pa.int32()))], ["row", "id", "v", "bound", "block", "units"])
+
+    routed = asked.select("row", "id", "v", "block", "unit").join(kth, "row", "left").select("row", "id", "v", "kth", "block", "unit").mapInArrow(lean(route), "row long, id long, v array<double>, bound double, block int, units array<int>")
+    visits = stage(routed.select("row", F.col("id").alias("qid"), F.col("v").alias("qv"), "bound", F.col("block").alias("of"), F.explode("units").alias("at")), "visits")
+    meet = visits.select(F.col("at").alias("unit"), F.col("of").alias("block")).distinct()
+    found = members.join(meet, "unit").groupBy("unit", "block").cogroup(visits.groupBy("at", "of")).applyInArrow(visit, answer).unionByName(near_home)
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

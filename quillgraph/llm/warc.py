@@ -10,8 +10,8 @@ others are revisits of it.
 
 The output folder must be one that pyarrow.fs opens on every executor (a shared mount, HDFS, S3, GCS).
 
-Defined cases: null payload counts as empty; null url becomes the empty URI; null ids sort first and never are the
-response of a group that has an id; of rows with equal id and equal payload the first is the response, the others
+Defined cases: null payload counts as empty; null url becomes the empty URI; null ids are spread over the shards by
+payload, sort first there, and never are the response of a group that has an id; of rows with equal id and equal payload the first is the response, the others
 revisit it; empty tables give an empty archive folder with a manifest.
 """
 
@@ -94,11 +94,15 @@ class Roll:
             self.out = None
 
 
+MOST = 1 << 16  # shards: their bounds are held by the driver and each task
+
+
 def shard_bounds(ids: DataFrame, shards: int) -> list:
-    """shards - 1 ids that cut the ids about evenly, from the 20 * shards (4096 at most) ids of the smallest hashes."""
-    n = min(4096, 20 * shards)
-    some = sorted(r[0] for r in ids.where(F.col("__id").isNotNull()).select("__id").orderBy(F.xxhash64("__id"), "__id").limit(n).collect())
-    return [some[len(some) * i // shards] for i in range(1, shards)] if some else []
+    """At most shards - 1 different ids that cut the ids about evenly, from the 20 * shards ids of the smallest hashes. Beyond MOST shards
+    they grow instead; files don't, since tasks stream and roll."""
+    shards = min(shards, MOST)
+    some = sorted(r[0] for r in ids.where(F.col("__id").isNotNull()).select("__id").orderBy(F.xxhash64("__id"), "__id").limit(20 * shards).collect())
+    return sorted({some[len(some) * i // shards] for i in range(1, shards)}) if some else []
 
 
 def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, roll_bytes: int = 16 << 20, shard_bytes: int = 8 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -115,14 +119,16 @@ def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str
     @F.pandas_udf("int")
     def shard(ids: pd.Series) -> pd.Series:
         there = ids.notna().to_numpy()
-        out = np.zeros(len(ids), "int32")
+        out = np.full(len(ids), -1, "int32")
         out[there] = np.searchsorted(bounds, ids[there].to_numpy().astype(bounds.dtype), "right") if len(bounds) else 0
         return pd.Series(out)
 
     empty = lambda name, t: F.lit(None).cast(t).alias(name)
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"), empty("sha1", "string"), empty("refers", kind), F.lit(1).alias("is_page"))
     notes = roles.select(F.col("__id").alias("id"), empty("url", "string"), empty("payload", "string"), F.col("__sha1").alias("sha1"), F.col("__keep").alias("refers"), F.lit(0).alias("is_page")).distinct()
+    spread = F.pmod(F.xxhash64(F.coalesce("sha1", F.sha1(F.col("payload").cast("binary")))), F.lit(len(bounds) + 1)).cast("int")
     both = rows.unionByName(notes).withColumn("shard", shard("id"))
+    both = both.withColumn("shard", F.when(F.col("id").isNull(), spread).otherwise(F.col("shard")))  # by payload, so that equal ones meet
     ordered = both.repartitionByRange(len(bounds) + 1, "shard").sortWithinPartitions("shard", "id", "is_page", F.col("url"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,6 @@ ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-KEY_LIKE = re.compile(r".", re.DOTALL)  # of tokens that are decoded: all
 LOOKS = re.compile(r"[0-9]{2}|[+/_]|[A-Za-z]{24}")  # a feature, and where stretches are trained on
 TOKEN = re.compile(r"[^\s=:\"'`,;(){}<>\[\]|]+|[=:]")
 CUE = re.compile(r"(?ai:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|key|credentials?|auth|bearer|private)")
@@ -41,6 +40,7 @@ STATES = 3  # O, B, I
 EDGE = 2
 PLAIN = 16
 CACHED = 100_000  # tokens whose weights are kept
+STRETCH = 64  # tokens of a training stretch; longer ones are several
 
 
 def assigned(text: str) -> list[tuple[int, int]]:
@@ -110,7 +110,8 @@ def runs(text: str) -> Iterator[list[tuple[int, int, list[str]]]]:
 
 
 def stretches(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[list[list[str]], list[int]]]:
-    """Parts of a text's run to be trained on, with labels; what is next to them is O, so that they are chains of their own."""
+    """Parts of a text's run to be trained on, of STRETCH tokens at most, with labels; what is next to them is O or cut off, so that they are
+    chains of their own."""
     for run in runs(text):
         y = np.array(labels(run, spans))
         hot = np.array([bool(LOOKS.search(text[s:e])) for s, e, _ in run]) | (y > 0)
@@ -119,8 +120,11 @@ def stretches(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[list[li
         picked = {k for k in set(rest[~near].tolist()) if zlib.crc32(text[run[k * 2 * EDGE][0] : run[k * 2 * EDGE][1]].encode() + b"%d" % k) % PLAIN == 0}
         near |= np.array([k in picked for k in rest.tolist()])
         turn = np.flatnonzero(np.diff(near, prepend=False, append=False))
-        for lo, hi in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True):
-            yield [f for _, _, f in run[lo:hi]], y[lo:hi].tolist()
+        for begin, end in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True):
+            for lo in range(begin, end, STRETCH):
+                hi = min(end, lo + STRETCH)
+                part = y[lo:hi].tolist()
+                yield [f for _, _, f in run[lo:hi]], [1, *part[1:]] if part[0] == 2 else part
 
 
 class Field:

@@ -25,8 +25,9 @@ from .common import lean
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account")
-SCHEMES = ("http://", "https://", "ftp://", "mailto:")
-CUES = ("IBAN", "iban", "Iban", "SSN", "ssn", "account", "Account", "ACCOUNT", "acct", "passport", "Passport")
+SCHEMES = ("http://", "https://", "ftp://", "mailto:")  # schemes and cues in lower case: they are looked for in a lowered copy
+CUES = ("iban", "ssn", "account", "acct", "passport")
+ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 DIGITS = "0123456789"
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -35,7 +36,7 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 CHAIN = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"[^\x20\x09-\x0D\"'<>()]+")
-ACCOUNT = re.compile(r"[\x20#:.]{0,4}(?:(?:number|no|nr)[\x20#:.]{0,3})?([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}|[0-9][0-9-]{6,30}[0-9])")
+ACCOUNT = re.compile(r"[\x20#:.-]{0,4}(?:(?ai:number|no|nr)[\x20#:.-]{0,3})?([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}|[0-9][0-9-]{6,30}[0-9])")
 
 
 def luhn(digits: str) -> bool:
@@ -112,11 +113,17 @@ def anchors():
     return a
 
 
+def lowered(text: str) -> str:
+    """A copy in lower case whose characters stand where the text's do."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(ASCII_LOWER)
+
+
 def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Valid spans of each kind, by start; code points, end exclusive."""
     spans: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     done = dict.fromkeys(KINDS, 0)
-    for last, (kind, width) in anchors().iter(text):
+    for last, (kind, width) in anchors().iter(lowered(text)):
         start = last - width + 1
         if start < done[kind]:
             continue
@@ -145,19 +152,20 @@ def joined(spans: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> s
 
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, by kind, then start)."""
+    """Per row: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, by kind, then start), n_any (spans of all kinds)."""
     kind = dict(df.dtypes)[id_col]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = {f"n_{k}": [] for k in BASE_KINDS} | {"base_sha256": [], "spans": []}
+            out = {f"n_{k}": [] for k in BASE_KINDS} | {"base_sha256": [], "spans": [], "n_any": []}
             for t in b.column(1):
                 spans = find_spans(t.as_py() or "")
                 for k in BASE_KINDS:
                     out[f"n_{k}"].append(len(spans[k]))
                 out["base_sha256"].append(hashlib.sha256(joined(spans, BASE_KINDS).encode()).hexdigest())
                 out["spans"].append(joined(spans, KINDS))
+                out["n_any"].append(sum(map(len, spans.values())))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.int64() if k[:2] == "n_" else pa.string()) for k, v in out.items())], [id_col, *out])
 
     counts = ", ".join(f"n_{k} long" for k in BASE_KINDS)
-    return df.select(id_col, F.col(text_col)).mapInArrow(lean(scan), f"`{id_col}` {kind}, {counts}, base_sha256 string, spans string")
+    return df.select(id_col, F.col(text_col)).mapInArrow(lean(scan), f"`{id_col}` {kind}, {counts}, base_sha256 string, spans string, n_any long")

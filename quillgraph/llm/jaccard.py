@@ -1,41 +1,46 @@
 """N-gram Jaccard join by T-occurrence search, and the classes of near duplicates it gives.
 
 Texts with equal shingle sets are one class from the start. Two sets of x and y shingles reach a Jaccard similarity of
-p % only with an overlap of T = ceil(p (x + y) / (100 + p)) shingles, hence, in any one global order of shingles, share one among the
-first x - ceil(p x / 100) + 1 of each, at places from which T is still reachable. That gives candidates; the order has shingles
-known to be frequent last, so that most lists are short. Lists of frequent shingles, and others of more than LIST members,
-aren't paired up: each member is a candidate with the list's pivot only (its member of fewest rarer shingles), and in a second
-round, members that aren't connected with the list's largest component yet are paired with the others from which T
-is reachable. Links between members of one component would change nothing there, so no class is lost. They are counted afterwards: all links
-are within components, so each component's sets are compared pair by pair, in blocks, and only sums leave the tasks.
-
-Most candidates that are no links fall out by the parities of hashed shingle counts, a lower bound on the sets' difference. The rest is
-verified by DivideSkip: for a query and a block of its candidates, inverted lists over the query's shingles are
-parted into the longest and the others; the short ones are heap-merged, and candidates whose count can still
-reach T are probed for in the long ones by binary search.
+p % only with an overlap of T = ceil(p (x + y) / (100 + p)) shingles. As in DivideSkip, a set's inverted lists are parted into short and
+long ones: in one global order of shingles, rare ones first, T shared shingles leave at least one among the first
+x - ceil(p x / 100) + 1 of each, at places from which T is still reachable. Only these short lists are merged (sorted by shingle over
+the cluster). Long lists are then probed for the sets that came out, in three steps, of which none loses a link:
+
+1. Parities of hashed shingle counts (half a byte a shingle) bound how far two sets differ; most candidates that are no links fall out.
+2. What is left connects classes into groups, and all links lie within groups. Lists of frequent shingles, and others of more than LIST members,
+   aren't paired up: each member is a candidate with the list's pivot only (its member of fewest rarer shingles), and in a second
+   round, members that aren't in the list's largest group yet are paired with the others from which T is reachable.
+3. The sets of each group are compared exactly, every pair, in blocks: small groups by DivideSkip (for a query, inverted lists
+   over its shingles; the short ones heap-merged, candidates whose count can still reach T probed for in the long ones by
+   binary search), larger ones with all long lists probed at once, as a product of membership tables. Counts of links and one
+   label a class leave a task, no pairs.
+
+Sets are found by class: a text whose class isn't wanted is told by a bitmap of hashed classes (at most 2^29 bits, about 16 a class, a
+bounded broadcast; false hits fall out in the join that follows), so texts are never shuffled and ids play no part.
 
 Frequent shingles: those that at least LOCAL sets share in some slice of a partition, counted over all slices, the FREQUENT commonest of
 them. That bounds what is broadcast; shingles beyond the bound only make lists longer, which pivots take care of.
 
-Defined cases: null text counts as empty; empty sets are linked with nothing; rows without an id have the component of
-equal rows that have one, else null; rows of one id are separate documents; an empty table gives an empty result; other columns
-are ignored.
+Defined cases: null text counts as empty; empty sets are linked with nothing; rows without an id are linked like others, and a
+component has the smallest id of its rows, null if none has one; rows of one id are separate documents; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, broadcast_small, lean, stage
+from .common import attach, give_back, lean, stage
 from .components import connected_components
 from .shingles import shingle_set
 
@@ -44,8 +49,12 @@ SLICE = 1 << 19  # shingles counted at a time
 FREQUENT = 1_000_000
 LIST = 8
 BLOCK = 128  # candidates verified at a time
-GROUP = 512  # members of a component compared with as many at a time
+GROUP = 512  # members of a group compared with as many at a time
+GROUP_BYTES = 16 << 20  # of their sets
+SMALL = 16  # members of a group that are compared by DivideSkip
 SALTED = 1024  # members of a list a salt
+MAP_BITS = 29
+EMIT = 8 << 20  # bytes of sets in a batch
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -91,14 +100,17 @@ def documents(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
 
 
 def prefixes(df: DataFrame, text_col: str, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """token, frequent, cls, n, place: the first shingles of each set, in the global order."""
+    """token, frequent, cls, n, place: the first shingles of each set, in the global order; and a row with the parities of each set
+    (sketch; token is null). More than once where rows repeat in several partitions."""
     known = df.sparkSession.sparkContext.broadcast((np.sort(frequent), np.argsort(frequent)))
+    names = ["token", "frequent", "cls", "n", "place", "sketch"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, rank = known.value
         seen: set[bytes] = set()
         for b in batches:
             parts: list[tuple[np.ndarray, np.ndarray, bytes, int]] = []
+            sketches: list[bytes] = []
             for t in b.column(0):
                 s = shingle_set(t.as_py(), words)
                 cls = signature(s)
@@ -109,20 +121,25 @@ def prefixes(df: DataFrame, text_col: str, words: int, percent: int, frequent: n
                     order = np.concatenate([np.flatnonzero(~hit), np.flatnonzero(hit)[np.argsort(rank[at[hit]], kind="stable")]])
                     order = order[: len(s) - -(-len(s) * percent // 100) + 1]
                     parts.append((s[order], hit[order], cls, len(s)))
+                    sketches.append(parities(s))
             lens = [len(p[0]) for p in parts]
             if parts:
+                cls = pa.array([p[2] for p in parts], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)),
                         pa.array(np.concatenate([p[1] for p in parts])),
-                        pa.array([p[2] for p in parts], pa.binary()).take(pa.array(np.repeat(np.arange(len(parts)), lens))),
+                        cls.take(pa.array(np.repeat(np.arange(len(parts)), lens))),
                         pa.array(np.repeat(np.array([p[3] for p in parts], np.int64), lens)),
                         pa.array(np.concatenate([np.arange(k) for k in lens]).astype(np.int64)),
+                        pa.nulls(sum(lens), pa.binary()),
                     ],
-                    ["token", "frequent", "cls", "n", "place"],
+                    names,
                 )
+                none = [pa.nulls(len(parts), k) for k in (pa.int64(), pa.bool_(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([none[0], none[1], cls, pa.array([p[3] for p in parts], pa.int64()), none[2], pa.array(sketches, pa.binary())], names)
 
-    return stage(df.select(F.col(text_col)).mapInArrow(lean(scan), "token long, frequent boolean, cls binary, n long, place long"), "prefixes")
+    return stage(df.select(F.col(text_col)).mapInArrow(lean(scan), "token long, frequent boolean, cls binary, n long, place long, sketch binary"), "prefixes")
 
 
 def reachable(n, place, m, other, percent: int):
@@ -171,21 +188,22 @@ def ordered_pair(a, b) -> list:
 
 
 def pivot_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidates of frequent shingles' lists: each member with the pivot. Pivots are found by a pre-aggregated minimum
-    and broadcast (one for each frequent shingle)."""
-    pivots = rows.groupBy("token").agg(F.min(F.struct("place", "cls", "n")).alias("p"))
-    pairs = rows.join(broadcast_small(pivots, FREQUENT), "token").where(F.col("cls") != F.col("p.cls"))
+    """Candidates of frequent shingles' lists: each member with the pivot. Pivots are found by a pre-aggregated minimum; those of
+    common lists are broadcast (a bounded number, see attach)."""
+    pivots = stage(rows.groupBy("token").agg(F.min(F.struct("place", "cls", "n")).alias("p"), F.count(F.lit(1)).alias("k")), "pivots")
+    pairs = attach(rows, pivots, "token", "k", rows.count(), complete=True).where(F.col("cls") != F.col("p.cls"))
     pairs = pairs.where(reachable(F.col("n"), F.col("place"), F.col("p.n"), F.col("p.place"), percent))
     return pairs.select(*ordered_pair(F.col("cls"), F.col("p.cls"))).distinct()
 
 
 def unconnected_pairs(rows: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Candidates of long lists between a member outside the list's largest component and any member of another component."""
+    """Candidates of long lists between a member outside the list's largest group and any member of another group."""
     rows = rows.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     rows = stage(rows, "long_lists")
     sizes = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
-    lists = sizes.groupBy("token").agg(F.max(F.struct("k", "root"))["root"].alias("main"), F.ceil(F.sum("k") / SALTED).cast("int").alias("salts"))
-    rows = rows.join(lists, "token")
+    lists = sizes.groupBy("token").agg(F.max(F.struct("k", "root"))["root"].alias("main"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("roots"))
+    lists = stage(lists.withColumn("salts", F.ceil(F.col("k") / SALTED).cast("int")), "lists")
+    rows = attach(rows, lists, "token", "k", rows.count(), complete=True).where("roots > 1")
     rest = rows.where(F.col("root") != F.col("main")).select(*(F.col(c).alias(f"{c}2") for c in ("token", "cls", "n", "place", "root")), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt2"))
     rows = rows.select("token", "cls", "n", "place", "root", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"))
     near = (F.col("root") != F.col("root2")) & reachable(F.col("n"), F.col("place"), F.col("n2"), F.col("place2"), percent)
@@ -240,43 +258,62 @@ def maybe_near(query: bytes, others: list[bytes], percent: int) -> list[bool]:
     return out
 
 
-def near(query: bytes, others: list[bytes], percent: int) -> list[bool]:
-    """Whether sets of shingles are links of the query's."""
-    needs = [-(-percent * (len(query) // 8 + len(o) // 8) // (100 + percent)) for o in others]
-    return divide_skip(np.frombuffer(query, np.uint64), [np.frombuffer(o, np.uint64) for o in others], needs)
+def class_map(classes: DataFrame) -> np.ndarray:
+    """A bitmap of classes (cls, distinct), two bits each, in 64-bit words; about 16 bits a class, 2^MAP_BITS at most."""
+    bits = min(MAP_BITS, max(12, (16 * classes.count()).bit_length()))
+    part = lambda i: F.conv(F.hex(F.substring("cls", i, 4)), 16, 10).cast("long").bitwiseAND(F.lit((1 << bits) - 1))
+    places = classes.select(F.explode(F.array(part(1), part(5))).alias("x"))
+    words = places.groupBy(F.shiftright("x", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(x & 63 AS INT))")).alias("v")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["w"].to_numpy()] = words["v"].to_numpy()
+    return out.view(np.uint64)
 
 
-def sets_of(df: DataFrame, id_col: str, text_col: str, words: int, classes: DataFrame, form: Callable[[np.ndarray], bytes]) -> DataFrame:
-    """cls, shingles: the sets of classes, in the given form; more than once where rows repeat."""
-    wanted = stage(classes.select(F.col("id").alias("__id"), F.col("cls").alias("__cls")), "wanted")
-    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(broadcast_small(wanted, 2_000_000), "__id")
+def in_map(words: np.ndarray, cls: bytes) -> bool:
+    mask = 64 * len(words) - 1
+    return all(int(words[(x & mask) >> 6]) >> (x & 63) & 1 for x in (int.from_bytes(cls[:4]), int.from_bytes(cls[4:8])))
+
+
+def sets_of(df: DataFrame, text_col: str, words: int, classes: DataFrame) -> DataFrame:
+    """cls, shingles: the sets of classes (cls, distinct), and by the way a few others."""
+    known = df.sparkSession.sparkContext.broadcast(class_map(classes))
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t.as_py(), words) for t in b.column(0)]
-            mine = pa.array([signature(s) == c.as_py() for s, c in zip(sets, b.column(1), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([form(s) for s in sets], pa.binary())], ["cls", "shingles"]).filter(mine)
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["cls", "shingles"])
 
-    return texts.select("__text", "__cls").mapInArrow(lean(shingle), "cls binary, shingles binary")
+        seen: set[bytes] = set()
+        out, size = ([], []), 0
+        for b in batches:
+            for t in b.column(0):
+                s = shingle_set(t.as_py(), words)
+                cls = signature(s)
+                if len(s) and cls not in seen and in_map(known.value, cls):
+                    seen.add(cls)
+                    out[0].append(cls)
+                    out[1].append(s.tobytes())
+                    size += s.nbytes
+                    if size >= EMIT:
+                        yield batch()
+                        out, size = ([], []), 0
+        yield batch()
 
+    return df.select(F.col(text_col)).mapInArrow(lean(shingle), "cls binary, shingles binary")
 
-def compare(df: DataFrame, id_col: str, text_col: str, words: int, percent: int, classes: DataFrame, pairs: DataFrame, form: Callable[[np.ndarray], bytes], good: Callable[[bytes, list[bytes], int], list[bool]]) -> DataFrame:
-    """The pairs (a, b) of classes of which good(a's set, sets, percent) holds, with sets in the given form.
 
-    A query's candidates come in blocks of about BLOCK; its set goes to each of its blocks. Who needs which set is a small table: if
-    it can be broadcast, sets are made where the texts are and shuffled once, to their blocks."""
+def alike(sketches: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that their parities don't rule out. A query's candidates come in blocks of about BLOCK; its sketch
+    goes to each of its blocks."""
     pairs = stage(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = sets_of(df, id_col, text_col, words, classes.join(nodes, "cls", "left_semi"), form)
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = pairs.join(sizes, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     asked = sizes.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("binary").alias("b"))
-    seats = stage(asked.unionByName(dealt.select(F.col("b").alias("cls"), "a", "block", "b")), "seats")
-    rows = sets.join(broadcast_small(seats, 1_000_000), "cls").select("a", "block", "b", "shingles")
+    seats = asked.unionByName(dealt.select(F.col("b").alias("cls"), "a", "block", "b"))
+    rows = sketches.join(seats, "cls").select("a", "block", "b", "sketch")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(query: tuple, block: list[tuple]) -> list[tuple[bytes, bytes]]:
-            return [(query[0], r[2]) for r, ok in zip(block, good(query[3], [r[3] for r in block], percent), strict=True) if ok]
+        def left(query: tuple, block: list[tuple]) -> list[tuple[bytes, bytes]]:
+            return [(query[0], r[2]) for r, ok in zip(block, maybe_near(query[3], [r[3] for r in block], percent), strict=True) if ok]
 
         def batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
@@ -286,38 +323,25 @@ def compare(df: DataFrame, id_col: str, text_col: str, words: int, percent: int,
             out: list[tuple[bytes, bytes]] = []
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if r[2] is None:
-                    out += links(query, block) if query else []
+                    out += left(query, block) if query else []
                     query, block = r, []
                 else:
                     block.append(r)
             yield batch(out)
         if query:
-            yield batch(links(query, block))
+            yield batch(left(query, block))
 
     sorted_rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return stage(sorted_rows.mapInArrow(lean(search), "a binary, b binary"), "links")
-
-
-def verify(df: DataFrame, id_col: str, text_col: str, words: int, percent: int, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that are links, enough of them to connect what links connect: of the pairs that the sets' parities (half a
-    byte a shingle) can't rule out, first one for each class, then those between classes that aren't connected yet."""
-    left = compare(df, id_col, text_col, words, percent, classes, pairs, parities, maybe_near)
-    sure = lambda p: compare(df, id_col, text_col, words, percent, classes, p, np.ndarray.tobytes, near)
-    links = sure(left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    apart = stage(unconnected(left, connected_components(links)), "apart")
-    return links if apart.isEmpty() else links.unionByName(sure(apart)).distinct()
-
-
-def unconnected(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose classes are in different components."""
-    rows = pairs
-    for c in ("a", "b"):
-        rows = rows.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
-    return rows.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    return stage(sorted_rows.mapInArrow(lean(search), "a binary, b binary"), "alike")
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Whether each two of sets are links, by their overlaps in tables of some shingles at a time."""
+    """Whether each two of sets are links. Of many, overlaps are summed in tables of some shingles at a time."""
+    if len(sets) <= SMALL:
+        links = np.zeros((len(sets), len(sets)), bool)
+        for i, s in enumerate(sets[:-1]):
+            links[i, i + 1 :] = divide_skip(s, sets[i + 1 :], [-(-percent * (len(s) + len(o)) // (100 + percent)) for o in sets[i + 1 :]])
+        return links | links.T
     n = np.array([len(x) for x in sets])
     owner = np.repeat(np.arange(len(sets)), n)
     _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -337,79 +361,124 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return links
 
 
-def count_links(df: DataFrame, id_col: str, text_col: str, words: int, percent: int, ids: DataFrame) -> DataFrame:
-    """cls, linked: how many rows have another set that is a link of the class's. ids: cls, id, size, root. Components of more than GROUP
-    classes are compared in pairs of blocks."""
-    several = ids.groupBy("root").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("root", F.ceil(F.col("k") / GROUP).cast("int").alias("blocks"))
-    members = stage(ids.join(broadcast_small(stage(several, "components"), 1_000_000), "root"), "members")
+def labels(links: np.ndarray) -> np.ndarray:
+    """For each, the first member of its component."""
+    label = np.arange(len(links))
+    near = links | np.eye(len(links), dtype=bool)
+    while True:
+        new = np.where(near, label, len(links)).min(1)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def verify(df: DataFrame, text_col: str, words: int, percent: int, groups: DataFrame) -> DataFrame:
+    """cls, linked, other: for each class of groups (cls, size, n, root: of several classes), in each pair of blocks, how many rows of other
+    classes are linked with it, and a class of its component there. Groups of more than GROUP classes or GROUP_BYTES are
+    compared in pairs of blocks."""
+    sizes = groups.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") * 8 / GROUP_BYTES)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("k"))
+    members = stage(attach(groups, stage(sizes, "groups"), "root", "k", groups.count(), complete=True), "members")
     block, other = F.col("block"), F.col("other")
     seats = members.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    seats = stage(seats.select("cls", "size", "root", F.least(block, other).alias("p"), F.greatest(block, other).alias("q"), "block"), "seats")
-    sets = sets_of(df, id_col, text_col, words, members, np.ndarray.tobytes)
-    rows = sets.join(broadcast_small(seats, 1_000_000), "cls").select("root", "p", "q", "block", "cls", "size", "shingles")
+    seats = seats.select("cls", "size", "root", F.least(block, other).alias("p"), F.greatest(block, other).alias("q"), "block")
+    rows = sets_of(df, text_col, words, members.select("cls")).join(seats, "cls").select("root", "p", "q", "block", "cls", "size", "shingles")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sums(rows: dict[bytes, tuple]) -> list[tuple[bytes, int]]:
+        def sums(rows: dict[bytes, tuple]) -> list[tuple[bytes, int, bytes]]:
             held = list(rows.values())
             links = linked([np.frombuffer(r[6], np.uint64) for r in held], percent)
+            names = list(rows)
+            first = labels(links).tolist()
             part = np.array([r[3] for r in held])
             if held[0][1] != held[0][2]:  # links within a block are counted where it meets itself
                 links &= part[:, None] != part
-            return list(zip(rows, (links @ np.array([r[5] for r in held], np.int64)).tolist(), strict=True))
+            return list(zip(names, (links @ np.array([r[5] for r in held], np.int64)).tolist(), [names[i] for i in first], strict=True))
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64() if i == 1 else pa.binary()) for i in range(3)], ["cls", "linked", "other"])
 
         at, held = None, {}
         for b in batches:
-            out: list[tuple[bytes, int]] = []
+            out: list[tuple] = []
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if r[:3] != at:
                     out += sums(held) if held else []
                     at, held = r[:3], {}
                 held[r[4]] = r
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64())], ["cls", "linked"])
+            yield batch(out)
         if held:
-            out = sums(held)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64())], ["cls", "linked"])
+            yield batch(sums(held))
 
-    counted = rows.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(lean(count), "cls binary, linked long")
-    return counted.groupBy("cls").agg(F.sum("linked").alias("linked"))
+    sorted_rows = rows.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
+    return stage(sorted_rows.mapInArrow(lean(count), "cls binary, linked long, other binary"), "verified")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of df: id_col, n_shingles, component_id (the smallest id of those reachable by links), n_links (how many
-    other rows are linked with the row; rows of an equal set are)."""
-    kind = dict(df.dtypes)[id_col]
+def classes_of(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Documents (id, cls, n), and of each class that isn't empty: cls, id (smallest), size (rows), n, root (a class of its component), linked (rows
+    of other classes that are linked with it)."""
     scanned = documents(df, id_col, text_col, words)
     docs = scanned.where("cls IS NOT NULL").select("id", "cls", "n")
     common = scanned.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()
     frequent = common.sort_values(["c", "token"])["token"].to_numpy(np.int64).view(np.uint64)
-    classes = stage(docs.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size")), "classes")
-    total = docs.count()
+    classes = stage(docs.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"), F.min("n").alias("n")), "classes")
 
-    rows = prefixes(df, text_col, words, percent, frequent)
+    scanned = prefixes(df, text_col, words, percent, frequent)
+    sketches = scanned.where("token IS NULL").select("cls", "sketch")
+    rows = scanned.where("token IS NOT NULL").drop("sketch")
     often = stage(rows.where("frequent").drop("frequent").distinct(), "frequent_prefixes")
     pairs, long_rows = short_list_pairs(rows.where("NOT frequent"), percent)
-    links = verify(df, id_col, text_col, words, percent, classes, pairs.unionByName(pivot_pairs(often, percent)).distinct())
-    roots = connected_components(links)
+    edges = alike(sketches, pairs.unionByName(pivot_pairs(often, percent)).distinct(), percent)
+    roots = connected_components(edges)
     more = stage(unconnected_pairs(often.unionByName(long_rows.distinct()), roots, percent), "more_pairs")
     if not more.isEmpty():
-        more = verify(df, id_col, text_col, words, percent, classes, more)
+        more = alike(sketches, more, percent)
         if not more.isEmpty():
-            links = links.unionByName(more).distinct()
-            roots = connected_components(links)
-
-    ids = stage(classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "id", "size", F.coalesce("root", "cls").alias("root")), "roots")
-    tops = ids.groupBy("root").agg(F.min("id").alias("component_id"))
-    counted = count_links(df, id_col, text_col, words, percent, ids)
-    n_links = F.coalesce("linked", F.lit(0)) + F.col("size") - 1
-    facts = ids.join(tops, "root").join(counted, "cls", "left").select("cls", "size", "component_id", n_links.alias("n_links"))
-    out = attach(docs, stage(facts, "class_facts"), "cls", "size", total)
+            roots = connected_components(edges.unionByName(more))
+
+    groups = stage(classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls").select("cls", "size", "n", "root"), "grouped")
+    verified = verify(df, text_col, words, percent, groups)
+    true_roots = connected_components(verified.where("cls != other").select(F.col("cls").alias("a"), F.col("other").alias("b")))
+    counted = verified.groupBy("cls").agg(F.sum("linked").alias("linked"))
+    facts = classes.join(true_roots.select(F.col("node").alias("cls"), "root"), "cls", "left").join(counted, "cls", "left")
+    return docs, stage(facts.select("cls", "id", "size", "n", F.coalesce("root", "cls").alias("root"), F.coalesce("linked", F.lit(0)).cast("long").alias("linked")), "class_facts")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of df: id_col, n_shingles, component_id (the smallest id of those reachable by links), n_links (how many
+    other rows are linked with the row; rows of an equal set are)."""
+    kind = dict(df.dtypes)[id_col]
+    docs, facts = classes_of(df, id_col, text_col, words, percent)
+    tops = facts.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("k"))
+    per_class = attach(facts.select("cls", "size", "root", "linked"), stage(tops, "components"), "root", "k", facts.count(), complete=True)
+    out = attach(docs, stage(per_class.select("cls", "size", "component_id", (F.col("linked") + F.col("size") - 1).alias("n_links")), "answers"), "cls", "size", docs.count())
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).cast(kind)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of df, with df's columns, that are their group's smallest id, or have no id."""
-    found = near_duplicates(df, id_col, text_col, words, percent)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__id"))
-    gone = broadcast_small(stage(gone, "near_copies"), 2_000_000)
-    return df.join(gone, df[id_col] == gone["__id"], "left_anti")
+    """The rows of df, with df's columns, without near copies: of each component the row with the smallest id stays, null ids last, and of several
+    with that id one. Classes decide, not ids, so other rows of an id aren't touched. Rows of classes that are alone stay where
+    they are; of the others one row a class and task is shuffled at most."""
+    _, facts = classes_of(df, id_col, text_col, words, percent)
+    best = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("cls").alias("cls"))
+    tops = facts.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("rows"), F.min(best)["cls"].alias("cls"))
+    several = stage(tops.where("rows > 1"), "several")
+    crowded = stage(attach(facts.select("cls", "root"), several.select("root", "k"), "root", "k", facts.count()).where("k IS NOT NULL").select("cls"), "crowded")
+    known = df.sparkSession.sparkContext.broadcast(class_map(crowded))
+
+    @F.pandas_udf("binary")
+    def class_if_crowded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            found = (signature(s) if len(s := shingle_set(t, words)) else None for t in texts)
+            yield pd.Series([c if c and in_map(known.value, c) else None for c in found], dtype=object)
+        give_back()
+
+    rows = stage(df.withColumn("__cls", class_if_crowded(F.col(text_col))), "classed")
+    alone = rows.where("__cls IS NULL")
+    first = Window.partitionBy("__cls").orderBy(F.col(id_col).asc_nulls_last())
+    one = rows.where("__cls IS NOT NULL").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    lost = crowded.join(several.select("cls"), "cls", "left_anti").select(F.col("cls").alias("__cls"))
+    kept = one.join(lost.hint("merge"), "__cls", "left_anti")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return alone.select(*columns).unionByName(kept.select(*columns))

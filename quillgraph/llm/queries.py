@@ -33,7 +33,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90).drop("n_links")
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +118,7 @@ ORACLE_SQL = {
              e AS (SELECT x, y FROM o WHERE 100 * c >= 90 * (n + m - c)),
              d AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
              r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, d.y FROM r JOIN d ON r.y = d.x),
-             k AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
-        SELECT doc_id, CAST(len(ss) AS BIGINT) AS n_shingles, component_id FROM l JOIN k USING (doc_id)""",
+             k AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x),
+             h AS (SELECT x AS doc_id, count(*) AS n_links FROM d GROUP BY x)
+        SELECT doc_id, CAST(len(ss) AS BIGINT) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM l JOIN k USING (doc_id) LEFT JOIN h USING (doc_id)""",
 }

@@ -81,7 +81,8 @@ def test_parities_never_rule_out_a_link():
         link = 100 * n >= 90 * (len(base) + len(other) - n)
         assert not link or jaccard.maybe_near(jaccard.parities(base), [jaccard.parities(other)], 90) == [True]
         if len(other):
-            assert jaccard.near(base.tobytes(), [other.tobytes()], 90) == [link]
+            need = -(-90 * (len(base) + len(other)) // 190)
+            assert jaccard.divide_skip(base, [other], [need]) == [link] == [bool(jaccard.linked([base, other], 90)[0, 1])]
 
 
 def test_nulls_repeats_and_other_columns(spark):
@@ -89,12 +90,35 @@ def test_nulls_repeats_and_other_columns(spark):
     rows = [(5, t, b"x"), (5, t, b"x"), (7, t, None), (None, t + " 41", None), (None, "alone in the world it is", None), (9, t + " 42", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, cls binary")
     got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in jaccard.near_duplicates(df).collect())
-    assert got == [("5", "5"), ("5", "5"), ("7", "5"), ("9", "5"), ("None", "None"), ("None", "None")]
+    assert got == [("5", "5"), ("5", "5"), ("7", "5"), ("9", "5"), ("None", "5"), ("None", "None")]
     kept = jaccard.keep_one(df)
-    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {5, None}
+    assert kept.columns == df.columns and sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("5", t), ("None", "alone in the world it is")]
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_through_rows_without_an_id_and_rows_of_one_id(spark):
+    """A row without an id joins two others; of two texts of one id only the near copy goes."""
+    t = [str(i) for i in range(60)]
+    bridge, far = t[:-2] + ["x", "y"], ["u", "v", *t[2:-2], "x", "y"]
+    rows = [(1, " ".join(t)), (None, " ".join(bridge)), (7, " ".join(far)), (7, "quite another text of the same id"), (8, "again a text that nobody else has")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard.near_duplicates(df, words=1, percent=93).collect()}
+    assert got == {(1, 1, 1), (None, 1, 2), (7, 1, 1), (7, 7, 0), (8, 8, 0)}
+    assert sorted(r["text"][:5] for r in jaccard.keep_one(df, words=1, percent=93).collect()) == ["0 1 2", "again", "quite"]
+    nobody = df.where("doc_id IS NULL").unionByName(df.where("doc_id IS NULL"))
+    assert jaccard.keep_one(nobody).count() == 1 and {r["component_id"] for r in jaccard.near_duplicates(nobody).collect()} == {None}
+
+
+def test_a_full_class_map_loses_nothing(spark, monkeypatch):
+    docs = copies(6)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(jaccard, "MAP_BITS", 12)
+    want = brute(docs, 3, 90)
+    assert answer(df, words=3, percent=90) == want
+    kept = {r["doc_id"] for r in jaccard.keep_one(df, words=3, percent=90).collect()}
+    assert kept == {i for i, (_, top) in want.items() if i == top}
+
+
 def test_all_links_are_counted(spark, monkeypatch):
     """Also within groups of different texts, which the components need no more than one link a member of."""
     docs = copies(5)
@@ -102,7 +126,8 @@ def test_all_links_are_counted(spark, monkeypatch):
     sets = {i: set(jaccard.shingle_set(t, 3).tolist()) for i, t in docs}
     want = {i: sum(j != i and 100 * len(a & b) >= 90 * len(a | b) > 0 for j, b in sets.items()) for i, a in sets.items()}
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    for group in (512, 4):
-        monkeypatch.setattr(jaccard, "GROUP", group, raising=False)
+    for group, small in ((512, 16), (4, 16), (512, 1)):
+        monkeypatch.setattr(jaccard, "GROUP", group)
+        monkeypatch.setattr(jaccard, "SMALL", small)
         got = {r["doc_id"]: r["n_links"] for r in jaccard.near_duplicates(df, words=3, percent=90).collect()}
         assert got == want

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,6 +62,41 @@ def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
     return run
 
 
+MAP_BITS = 29
+
+
+def bit_map(rows: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], most: int = MAP_BITS) -> np.ndarray:
+    """A bitmap of rows by 64-bit hashes of them, two bits each: about 16 bits a row, 2^most (64 MB) at most, so it can be broadcast whatever the
+    size of rows. What is in rows is in the map; of other things a few are, more when it is full, so what the map lets through
+    must do no harm or be joined afterwards."""
+    bits = min(most, max(12, (16 * rows.count()).bit_length()))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places = np.sort(two_places(hashes(b), bits))
+            first = np.flatnonzero(np.diff(places >> np.uint64(6), prepend=np.uint64(1 << 63)))
+            bit = np.uint64(1) << (places & np.uint64(63))
+            words = np.bitwise_or.reduceat(bit, first) if len(first) else bit
+            yield pa.RecordBatch.from_arrays([pa.array((places[first] >> np.uint64(6)).view(np.int64)), pa.array(words.view(np.int64))], ["w", "v"])
+
+    words = rows.mapInArrow(lean(mark), "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["w"].to_numpy()] = words["v"].to_numpy()
+    return out.view(np.uint64)
+
+
+def two_places(h: np.ndarray, bits: int) -> np.ndarray:
+    mask = np.uint64((1 << bits) - 1)
+    return np.concatenate([h & mask, h >> np.uint64(32) & mask])
+
+
+def in_map(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes may be of rows of the map."""
+    places = two_places(h, (64 * len(words)).bit_length() - 1)
+    found = (words[places >> np.uint64(6)] >> (places & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return found[: len(h)] & found[len(h) :]
+
+
 def id_order(*cols: str) -> list[Column]:
     """Ascending, nulls last."""
     return [F.col(c).asc_nulls_last() for c in cols]

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, give_back, lean, stage
+from .common import attach, bit_map, give_back, in_map, lean, stage
 from .components import connected_components
 from .shingles import shingle_set
 
@@ -259,19 +259,11 @@ def maybe_near(query: bytes, others: list[bytes], percent: int) -> list[bool]:
 
 
 def class_map(classes: DataFrame) -> np.ndarray:
-    """A bitmap of classes (cls, distinct), two bits each, in 64-bit words; about 16 bits a class, 2^MAP_BITS at most."""
-    bits = min(MAP_BITS, max(12, (16 * classes.count()).bit_length()))
-    part = lambda i: F.conv(F.hex(F.substring("cls", i, 4)), 16, 10).cast("long").bitwiseAND(F.lit((1 << bits) - 1))
-    places = classes.select(F.explode(F.array(part(1), part(5))).alias("x"))
-    words = places.groupBy(F.shiftright("x", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(x & 63 AS INT))")).alias("v")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[words["w"].to_numpy()] = words["v"].to_numpy()
-    return out.view(np.uint64)
+    return bit_map(classes.select("cls"), lambda b: hashes_of([x.as_py() for x in b.column(0)]), MAP_BITS)
 
 
-def in_map(words: np.ndarray, cls: bytes) -> bool:
-    mask = 64 * len(words) - 1
-    return all(int(words[(x & mask) >> 6]) >> (x & 63) & 1 for x in (int.from_bytes(cls[:4]), int.from_bytes(cls[4:8])))
+def hashes_of(classes: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(c[:8] for c in classes), np.uint64)
 
 
 def sets_of(df: DataFrame, text_col: str, words: int, classes: DataFrame) -> DataFrame:
@@ -288,7 +280,7 @@ def sets_of(df: DataFrame, text_col: str, words: int, classes: DataFrame) -> Dat
             for t in b.column(0):
                 s = shingle_set(t.as_py(), words)
                 cls = signature(s)
-                if len(s) and cls not in seen and in_map(known.value, cls):
+                if len(s) and cls not in seen and in_map(known.value, hashes_of([cls]))[0]:
                     seen.add(cls)
                     out[0].append(cls)
                     out[1].append(s.tobytes())
@@ -470,8 +462,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     @F.pandas_udf("binary")
     def class_if_crowded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            found = (signature(s) if len(s := shingle_set(t, words)) else None for t in texts)
-            yield pd.Series([c if c and in_map(known.value, c) else None for c in found], dtype=object)
+            found = [signature(s) if len(s := shingle_set(t, words)) else None for t in texts]
+            there = in_map(known.value, hashes_of([c or bytes(8) for c in found]))
+            yield pd.Series([c if c and x else None for c, x in zip(found, there.tolist(), strict=True)], dtype=object)
         give_back()
 
     rows = stage(df.withColumn("__cls", class_if_crowded(F.col(text_col))), "classed")

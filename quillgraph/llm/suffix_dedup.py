@@ -2,14 +2,19 @@
 
 A suffix order over all documents would put each byte through a global sort. Instead each place of a text is dealt by content:
 of the `length`-byte window there, the least hash of its GRAM-byte grams is its key, and equal windows have equal keys. Runs of
-places with one key (about 35 places, cut at `RUN`) are a segment. Segments alone under their key hold nothing repeated. Of equal
+places with one key (about 35 places, cut at `RUN`) are a segment. Segments alone under their key hold nothing repeated; a bitmap of the
+keys that several have lets the others through before anything is shuffled but keys. Of equal
 segments (found by their hashes, first within a task, so that copies are pre-aggregated) only the first is kept for sorting, and
 the windows of the others are removed. What is left, different segments under one key, is sorted in shards by external induced
 sorting (induced.py), with common-prefix values: runs of suffixes sharing `length` bytes are equal windows, of which the
 first in the order of documents stays. Segments of keys of more than CROWD different ones are dealt again by longer
 grams, equal ones again dropped, so that the contexts of a passage in a third of all documents spread over the shards. Keys that
 are still crowded then are told window by window: a window's first place is a pre-aggregated minimum by its hash. So a key
-never brings more than CROWD segments to a shard. A shard is sorted in memory (see induced.py for what goes to disk).
+never brings more than CROWD segments to a shard.
+
+The bytes of wanted segments are cut from the texts in one more scan, led by a bitmap of wanted places (a few more segments come along,
+which changes nothing: what is removed are windows that start earlier too, and a key's first segments are always there). So texts are
+shuffled at most once, to meet what is to be removed from them; where that is little, Spark broadcasts it.
 
 Defined cases: null text counts as empty; order is by id, nulls last; rows of one id and different text are ordered by a hash
 of the text; rows equal in id and text are one document, judged once, each giving the same result; matches never cross
@@ -23,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, broadcast_small, lean, stage
+from .common import attach, bit_map, in_map, lean, stage
 from .induced import suffix_order
 from .shingles import R, mix, powers
 
@@ -130,125 +135,133 @@ def keyed(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(lean(scan), f"key long, content long, {PLACE}, twice boolean, kept boolean")
 
 
-def compare(rows: DataFrame) -> DataFrame:
-    """Of segments by key: those whose windows are all repeats (again = true), and those to be sorted (again = false).
-    rows come sorted, and keys stream through: of a key only its first segment is held until a second one comes."""
+def keys_of(b: pa.RecordBatch) -> np.ndarray:
+    return mix(b.column(0).to_numpy().view(np.uint64))
+
+
+def places_of(ids: np.ndarray, th: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return mix(mix(mix(ids.astype(np.int64).view(np.uint64)) ^ th.astype(np.int64).view(np.uint64)) ^ start.astype(np.int64).view(np.uint64))
+
 
-    names = ["key", "id", "th", "start", "places", "again"]
+def of_repeated_keys(rows: DataFrame) -> DataFrame:
+    """The rows whose key several have, or whose key's gram occurs twice in them; and by the way a few others."""
+    keys = stage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("twice").alias("t")).where("k > 1 OR t").select("key"), "repeated_keys")
+    known = rows.sparkSession.sparkContext.broadcast(bit_map(keys, keys_of))
 
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last batch's last key: key, content, and its first segment while nothing says that it must be sorted
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            key, content, ids, th, start, places, twice = (b.column(i).to_numpy(zero_copy_only=False) for i in range(7))
-            if held is not None:
-                key, content, ids, th, start, places, twice = (np.concatenate([h, x]) for h, x in zip(held[0], (key, content, ids, th, start, places, twice), strict=True))
-            n = len(key)
-            new_key = np.concatenate([[True], key[1:] != key[:-1]])
-            new_content = new_key | np.concatenate([[True], content[1:] != content[:-1]])
-            begin = np.flatnonzero(new_key)
-            group = np.cumsum(new_key) - 1
-            mixed = (np.add.reduceat(new_content.astype(np.int64), begin) > 1) | (np.add.reduceat(twice.astype(np.int64), begin) > 0)
-            if held is not None:
-                mixed[0] |= held[1] and key[0] == held[0][0][0]
-            sort_it = new_content & mixed[group]
-            again = ~new_content
-            if held is not None:  # its one row is told apart already, unless it only now turns out to be mixed
-                again[0] = False
-                sort_it[0] &= not held[1]
-            # of the last key, the first row of its last content goes on
-            last = np.flatnonzero(new_content)[-1]
-            is_mixed = bool(mixed[group[last]])
-            held = ([x[last : last + 1] for x in (key, content, ids, th, start, places, twice)], is_mixed)
-            out = np.flatnonzero(sort_it | again)
-            yield table(names, [x[out] for x in (key, ids, th, start, places)] + [again[out]])
-
-    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "content", "id", "th", "start")
-    return sorted_rows.select("key", "content", "id", "th", "start", "places", "twice").mapInArrow(lean(stream), f"key long, {PLACE}, again boolean")
-
-
-#: Spans as they travel to their documents: two numbers, and where they are needed the key.
-SPAN = {"gone": np.dtype([("a", "<u4"), ("b", "<u4")]), "wanted": np.dtype([("a", "<u4"), ("b", "<u2"), ("key", "<i8")])}
-
-
-def spans_of(rows: DataFrame, name: str) -> DataFrame:
+            yield b.filter(pa.array(in_map(known.value, keys_of(b))))
+
+    return rows.select("key", "content", "id", "th", "start", "places", "twice").mapInArrow(lean(pick), f"key long, content long, {PLACE}, twice boolean")
+
+
+def compare(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of segments: those equal to an earlier one; and of the others those to be sorted, with the number k of different ones of their key. Rows are
+    dealt by key and content, so a key's many segments don't meet in a task; keys of many are broadcast (see attach)."""
+    equal = Window.partitionBy("key", "content").orderBy("id", "th", "start")
+    told = stage(rows.withColumn("again", F.row_number().over(equal) > 1), "compared")
+    firsts = told.where("NOT again").select("key", "id", "th", "start", "places", "twice")
+    keys = stage(firsts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("twice").alias("t")).where("k > 1 OR t").select("key", "k"), "mixed_keys")
+    todo = attach(firsts, keys, "key", "k", firsts.count()).where("k IS NOT NULL").select("key", "id", "th", "start", "places", "k")
+    return told.where("again"), stage(todo, "to_sort")
+
+
+#: Spans as they travel to their documents: two numbers.
+SPAN = np.dtype([("a", "<u4"), ("b", "<u4")])
+
+
+def spans_of(rows: DataFrame) -> DataFrame:
     """A row for each document (id, th): its spans, packed."""
-    kind = SPAN[name]
-    listed = rows.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct(*kind.names))).alias("x"))
+    listed = rows.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct(*SPAN.names))).alias("x"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column(2)
             flat, at = x.flatten(), np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))])
-            parts = np.empty(len(flat), kind)
-            for i, field in enumerate(kind.names):
+            parts = np.empty(len(flat), SPAN)
+            for i, field in enumerate(SPAN.names):
                 parts[field] = flat.field(i).to_numpy(zero_copy_only=False)
             spans = [parts[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.binary())], ["id", "th", name])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.binary())], ["id", "th", "gone"])
 
-    return stage(listed.mapInArrow(lean(packed), f"id long, th long, {name} binary"), name)
+    return stage(listed.mapInArrow(lean(packed), "id long, th long, gone binary"), "gone")
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, name: str, how: str) -> DataFrame:
-    """docs joined with their spans, which are broadcast if they are few and small, so that texts aren't shuffled."""
-    n, size = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(name)), F.lit(0))).first()
-    return docs.join(F.broadcast(spans) if n <= 1_000_000 and size <= 128 << 20 else spans, ["id", "th"], how)
+def whole_spans(rows: DataFrame, length: int) -> DataFrame:
+    return rows.select("id", "th", F.col("start").alias("a"), (F.col("start") + F.col("places") + length - 1).alias("b"))
 
 
-def zip_rows(b: pa.RecordBatch) -> Iterator[tuple]:
-    """ids, text hashes, texts and spans of a few rows at a time."""
-    for lo in range(0, b.num_rows, 64):
-        part = b.slice(lo, 64)
-        yield (*(part.column(i).to_pylist() for i in (0, 1)), [(t.as_py() or "").encode() for t in part.column(2)], part.column(3).to_pylist())
+DATA = "key long, id long, th long, a long, data binary, crowded boolean"
 
 
-def asked(rows: DataFrame) -> DataFrame:
-    return rows.select("id", "th", F.col("start").alias("a"), F.col("places").alias("b"), "key")
+def maps_of(todo: DataFrame):
+    """Broadcast bitmaps of the places of segments to be sorted, and of crowded keys."""
+    place = lambda b: places_of(*(b.column(i).to_numpy() for i in range(3)))
+    crowded = stage(todo.where(F.col("k") > CROWD).select("key").distinct(), "crowded")
+    return todo.sparkSession.sparkContext.broadcast((bit_map(todo.select("id", "th", "start"), place), bit_map(crowded, keys_of))), not crowded.isEmpty()
 
 
-def whole_spans(rows: DataFrame, length: int) -> DataFrame:
-    return rows.select("id", "th", F.col("start").alias("a"), (F.col("start") + F.col("places") + length - 1).alias("b"))
+def data_rows(keys, ids, th, start, data: list[bytes], known) -> pa.RecordBatch:
+    crowded = in_map(known.value[1], mix(keys))
+    columns = [pa.array(keys.view(np.int64)), pa.array(ids.astype(np.int64)), pa.array(th.astype(np.int64)), pa.array(start), pa.array(data, pa.binary()), pa.array(crowded)]
+    return pa.RecordBatch.from_arrays(columns, ["key", "id", "th", "a", "data", "crowded"])
 
 
-def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Segments of keys of at most CROWD, and those of crowded keys."""
-    crowded = stage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("key"), "crowded")
-    few = broadcast_small(crowded, 1_000_000)
-    return rows.join(few, "key", "left_anti"), rows.join(few, "key", "left_semi")
+def with_bytes(docs: DataFrame, length: int, known) -> DataFrame:
+    """The segments of the texts whose places are in the map, with their bytes."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, th, texts in chunks(b):
+                text, start, places, key, _, _ = cut(ids, th, texts, length)
+                hit = np.flatnonzero(in_map(known.value[0], places_of(ids[text], th[text], start)))
+                data = [texts[t][s : s + n + length - 1] for t, s, n in zip(text[hit].tolist(), start[hit].tolist(), places[hit].tolist(), strict=True)]
+                yield data_rows(key[hit], ids[text[hit]], th[text[hit]], start[hit], data, known)
+
+    return docs.mapInArrow(lean(scan), DATA)
+
+
+def smaller(b: pa.RecordBatch, length: int) -> Iterator[tuple]:
+    """Segments of rows with bytes cut in smaller ones by the least longer grams of their windows: key, content, id, th, start, places, twice, bytes."""
+    for lo in range(0, b.num_rows, 4096):
+        part = b.slice(lo, 4096)
+        old, ids, th, begin = (part.column(i).to_numpy() for i in range(4))
+        data = part.column(4).to_pylist()
+        row, start, places, key, content, twice = cut(ids, th, data, length, LONGER)
+        yield mix(key ^ old[row].view(np.uint64)), content, ids[row], th[row], begin[row] + start, places, twice, [data[r][s : s + n + length - 1] for r, s, n in zip(row.tolist(), start.tolist(), places.tolist(), strict=True)]
 
 
-def dealt_again(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """key, content, id, th, start, places, twice: segments in smaller ones, by the least longer grams of their windows."""
-    texts = with_spans(docs, spans_of(asked(rows), "wanted"), "wanted", "inner")
+def dealt_again(crowded: DataFrame, length: int) -> DataFrame:
+    """key, content, id, th, start, places, twice: crowded segments in smaller ones."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, th, texts, rows in zip_rows(b):
-                spans = [np.frombuffer(x, SPAN["wanted"]) for x in rows]
-                data = [text[a : a + n + length - 1] for text, x in zip(texts, spans, strict=True) for a, n, _ in x.tolist()]
-                owner = np.repeat(np.arange(len(spans)), [len(x) for x in spans])
-                flat = np.concatenate(spans)
-                which, start, places, key, content, twice = cut(owner, owner, data, length, LONGER)
-                of = owner[which]
-                key = mix(key ^ flat["key"][which].view(np.uint64))
-                yield table(names, [key, content, np.array(ids, np.int64)[of], np.array(th, np.int64)[of], start + flat["a"][which].astype(np.int64), places, twice])
+            for *columns, _ in smaller(b, length):
+                yield table(["key", "content", "id", "th", "start", "places", "twice"], columns)
 
-    names = ["key", "content", "id", "th", "start", "places", "twice"]
-    return stage(texts.select("id", "th", "text", "wanted").mapInArrow(lean(deal), f"key long, content long, {PLACE}, twice boolean"), "dealt_again")
+    return stage(crowded.mapInArrow(lean(deal), f"key long, content long, {PLACE}, twice boolean"), "dealt_again")
 
 
-def window_spans(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+def smaller_with_bytes(crowded: DataFrame, length: int, known) -> DataFrame:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, _, ids, th, start, _, _, data in smaller(b, length):
+                hit = np.flatnonzero(in_map(known.value[0], places_of(ids, th, start)))
+                yield data_rows(key[hit], ids[hit], th[hit], start[hit], [data[i] for i in hit.tolist()], known)
+
+    return crowded.mapInArrow(lean(scan), DATA)
+
+
+def window_spans(crowded: DataFrame, length: int) -> DataFrame:
     """id, th, a, b: the windows in segments that start earlier too. The rows of common windows aren't shuffled but for their minimum."""
-    texts = with_spans(docs, spans_of(asked(rows), "wanted"), "wanted", "inner")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, th, texts, rows in zip_rows(b):
-                out = [(hashlib.blake2b(text[s : s + length], digest_size=16).digest(), i, t, s) for i, t, text, spans in zip(ids, th, texts, rows, strict=True) for a, n, _ in np.frombuffer(spans, SPAN["wanted"]).tolist() for s in range(a, a + n)]
+            for lo in range(0, b.num_rows, 1024):
+                out = [(hashlib.blake2b(data[s : s + length], digest_size=16).digest(), i, t, a + s) for _, i, t, a, data, _ in zip(*(c.to_pylist() for c in b.slice(lo, 1024).columns), strict=True) for s in range(len(data) - length + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64() if k else pa.binary()) for k in range(4)], ["window", "id", "th", "a"])
 
-    places = stage(texts.select("id", "th", "text", "wanted").mapInArrow(lean(windows), "window binary, id long, th long, a long"), "windows")
+    places = stage(crowded.mapInArrow(lean(windows), "window binary, id long, th long, a long"), "windows")
     firsts = places.groupBy("window").agg(F.min(F.struct("id", "th", "a")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     found = attach(places, stage(firsts, "first_windows"), "window", "n", places.count())
     return found.where(F.struct("id", "th", "a") != F.col("first")).select("id", "th", "a", (F.col("a") + length).alias("b"))
@@ -288,29 +301,22 @@ def sort_shard(rows: list[tuple], length: int, memory: int) -> pa.RecordBatch:
 
 def repeated_spans(docs: DataFrame, length: int, memory: int) -> DataFrame:
     """id, th, a, b: what is to be removed of docs (id, th, text)."""
-    rows = keyed(docs, length)
-    rows = stage(rows, "segments")
-    found = stage(compare(rows.where("kept")), "compared")
-    copies = rows.where("NOT kept").unionByName(found.where("again"), allowMissingColumns=True)
-    todo, crowded = parted(found.where("NOT again"))
-    spans = [whole_spans(copies, length)]
-    if not crowded.isEmpty():
-        found = stage(compare(dealt_again(docs, crowded, length)), "compared")
-        spans.append(whole_spans(found.where("again"), length))
-        more, crowded = parted(found.where("NOT again"))
-        todo = todo.unionByName(more)
-        if not crowded.isEmpty():
-            spans.append(window_spans(docs, crowded, length))
-    texts = with_spans(docs, spans_of(asked(todo), "wanted"), "wanted", "inner")
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, th, texts, rows in zip_rows(batch):
-                out = [(key, i, t, a, text[a : a + n + length - 1]) for i, t, text, spans in zip(ids, th, texts, rows, strict=True) for a, n, key in np.frombuffer(spans, SPAN["wanted"]).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary() if k == 4 else pa.int64()) for k in range(5)], ["key", "id", "th", "a", "data"])
-
-    pieces = texts.select("id", "th", "text", "wanted").mapInArrow(lean(extract), "key long, id long, th long, a long, data binary")
-    size = todo.agg(F.coalesce(F.sum(F.col("places") + length), F.lit(0))).first()[0]
+    rows = stage(keyed(docs, length), "segments")
+    again, todo = compare(of_repeated_keys(rows.where("kept")))
+    spans = [whole_spans(rows.where("NOT kept"), length), whole_spans(again, length)]
+    known, any_crowded = maps_of(todo)
+    texts = stage(with_bytes(docs, length, known), "wanted_segments")
+    pieces = texts.where("NOT crowded")
+    if any_crowded:
+        again, todo = compare(dealt_again(texts.where("crowded"), length))
+        spans.append(whole_spans(again, length))
+        known, any_crowded = maps_of(todo)
+        texts = stage(smaller_with_bytes(texts.where("crowded"), length, known), "wanted_segments")
+        pieces = pieces.unionByName(texts.where("NOT crowded"))
+        if any_crowded:
+            spans.append(window_spans(texts.where("crowded"), length))
+    pieces = pieces.select("key", "id", "th", "a", "data")
+    size = pieces.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
     shards = max(1, -(-size // SHARD))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +349,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if n != distinct or nulls:
         judged = judged.dropDuplicates(["id", "th"])
     spans = repeated_spans(judged, length, memory).distinct()
-    rows = with_spans(docs, spans_of(spans, "gone"), "gone", "left").select("id", "th", "text", "gone", "no_id")
+    rows = docs.join(spans_of(spans), ["id", "th"], "left").select("id", "th", "text", "gone", "no_id")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,7 +357,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for text, gone in zip(batch.column(2), batch.column(3), strict=True):
                 data = (text.as_py() or "").encode()
                 parts, at, removed, runs = [], 0, 0, 0
-                for a, b in np.frombuffer(gone.as_py() or b"", SPAN["gone"]).tolist():
+                for a, b in np.frombuffer(gone.as_py() or b"", SPAN).tolist():
                     if a > at or not runs:
                         parts.append(data[at:a])
                         runs += 1

@@ -97,9 +97,9 @@ def in_map(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     return found[: len(h)] & found[len(h) :]
 
 
-def id_order(*cols: str) -> list[Column]:
-    """Ascending, nulls last."""
-    return [F.col(c).asc_nulls_last() for c in cols]
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one, `row`, beside which nothing can clash; select("row.*") gives them back."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
 
 
 def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int, most: int = 512, complete: bool = False) -> DataFrame:

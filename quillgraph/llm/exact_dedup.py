@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, lean, stage
+from .common import WHITE, lean, stage, whole_row
 
 
 def digest(text: Column) -> Column:
@@ -80,7 +80,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 512) -> DataFrame:
     """The rows of df that stay, with df's own columns. Copies of frequent texts fall out before the shuffle."""
     hot = F.broadcast(winners(digests(df, id_col, text_col), counters).select("__digest", "__keep"))
-    left = df.withColumn("__digest", digest(F.col(text_col))).join(hot, "__digest", "left")
-    left = left.where(F.col("__keep").isNull() | F.col("__keep").eqNullSafe(F.col(id_col)))
-    order = Window.partitionBy("__digest").orderBy(F.col(id_col).asc_nulls_last())
-    return left.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*(F.col(f"`{c}`") for c in df.columns))
+    left = df.select(whole_row(df), F.col(id_col).alias("__id"), digest(F.col(text_col)).alias("__digest")).join(hot, "__digest", "left")
+    left = left.where(F.col("__keep").isNull() | F.col("__keep").eqNullSafe(F.col("__id")))
+    order = Window.partitionBy("__digest").orderBy(F.col("__id").asc_nulls_last())  # each task sends one row of a text at most
+    return left.withColumn("__n", F.row_number().over(order)).where("__n = 1").select("row.*")

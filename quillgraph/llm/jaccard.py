@@ -40,12 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, bit_map, give_back, in_map, lean, stage
+from .common import attach, bit_map, give_back, in_map, lean, stage, whole_row
 from .components import connected_components
 from .shingles import shingle_set
 
 LOCAL = 4
-SLICE = 1 << 19  # shingles counted at a time
+SLICE = 1 << 21  # shingles counted at a time
 FREQUENT = 1_000_000
 LIST = 8
 BLOCK = 128  # candidates verified at a time
@@ -74,8 +74,12 @@ def documents(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
         size = 0
 
         def common() -> pa.RecordBatch:
-            t, c = np.unique(np.concatenate(held), return_counts=True)
-            t, c = t[c >= LOCAL], c[c >= LOCAL]
+            every = np.concatenate(held)
+            held.clear()
+            every.sort()
+            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            c = np.diff(np.append(first, len(every)))
+            t, c = every[first[c >= LOCAL]], c[c >= LOCAL]
             none = [pa.nulls(len(t), k) for k in (ids_as, pa.binary(), pa.int64())]
             return pa.RecordBatch.from_arrays([*none, pa.array(t.view(np.int64)), pa.array(c.astype(np.int64))], names)
 
@@ -90,7 +94,7 @@ def documents(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
                 size += len(s)
                 if size >= SLICE:
                     yield common()
-                    held, size = [], 0
+                    size = 0
             none = [pa.nulls(len(n), pa.int64())] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), *none], names)
         if held:
@@ -467,11 +471,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
             yield pd.Series([c if c and x else None for c, x in zip(found, there.tolist(), strict=True)], dtype=object)
         give_back()
 
-    rows = stage(df.withColumn("__cls", class_if_crowded(F.col(text_col))), "classed")
-    alone = rows.where("__cls IS NULL")
-    first = Window.partitionBy("__cls").orderBy(F.col(id_col).asc_nulls_last())
-    one = rows.where("__cls IS NOT NULL").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    lost = crowded.join(several.select("cls"), "cls", "left_anti").select(F.col("cls").alias("__cls"))
-    kept = one.join(lost.hint("merge"), "__cls", "left_anti")
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    return alone.select(*columns).unionByName(kept.select(*columns))
+    rows = df.select(whole_row(df), F.col(id_col).alias("id"), class_if_crowded(F.col(text_col)).alias("cls"))
+    rows = stage(rows, "classed")
+    first = Window.partitionBy("cls").orderBy(F.col("id").asc_nulls_last())
+    one = rows.where("cls IS NOT NULL").withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    lost = crowded.join(several.select("cls"), "cls", "left_anti")
+    return rows.where("cls IS NULL").select("row.*").unionByName(one.join(lost.hint("merge"), "cls", "left_anti").select("row.*"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, numbered, running_total, stage
+from .common import attach, numbered, running_total, stage, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 CELLS = 1 << 16
@@ -114,6 +114,6 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, chunk_rows: int = 256) -> DataFrame:
     """The rows of df that the mix takes, each as many times as it is taken, with df's own columns."""
     _, facts, total = sources(df, id_col, text_col, source_col, weights, share, repeats, chunk_rows)
-    own = df.select(F.struct(*(F.col(f"`{c}`").alias(c) for c in df.columns)).alias("__row"), F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("key"), words_of(F.col(text_col)).alias("size"), place_of(F.col(id_col)).alias("place"))
+    own = df.select(whole_row(df), F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("key"), words_of(F.col(text_col)).alias("size"), place_of(F.col(id_col)).alias("place"))
     times = attach(own, facts, "key", "n", total, complete=True).withColumn("__times", times_taken(repeats)).where("__times > 0")
-    return times.select("__row", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row.*")
+    return times.select("row", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("row.*")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back
+from .common import give_back, whole_row
 
 NAMES = ("words", "word_length", "upper", "digits", "symbols", "marks", "bars", "stops", "commas", "wide", "distinct", "twins", "line_words", "same_lines", "top_word", "long_words")
 
@@ -170,8 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(np.array([x for _, _, x in found]).reshape(-1, len(NAMES)), np.array([float(y > 0) for _, y, _ in found]))
 
 
-def scored(df: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """df with a score for each row."""
+def scorer(model: Model):
+    """The score of a text, as a function of columns."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -179,17 +179,17 @@ def scored(df: DataFrame, model: Model, text_col: str = "text", out: str = "scor
             yield pd.Series(model.score(np.array([features(t) for t in texts]).reshape(-1, len(NAMES))))
         give_back()
 
-    return df.withColumn(out, score(F.col(text_col)))
+    return score
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 20_000) -> DataFrame:
     """Per row: id_col, held_out, score, predicted."""
     model = fit(docs, labels, id_col, text_col, label_col, sample_rows)
-    rows = scored(docs.select(F.col(id_col), F.col(text_col).alias("__text")), model, "__text", "score")
+    rows = docs.select(F.col(id_col), scorer(model)(F.col(text_col)).alias("score"))
     return rows.select(id_col, (fold(F.col(id_col)) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """The rows of docs that score at least threshold, with docs' own columns."""
-    text = options.get("text_col", "text")
-    return scored(docs, fit(docs, labels, **options), text, "__score").where(F.col("__score") >= threshold).drop("__score")
+    score = scorer(fit(docs, labels, **options))(F.col(options.get("text_col", "text")))
+    return docs.select(whole_row(docs), score.alias("score")).where(F.col("score") >= threshold).select("row.*")

@@ -24,6 +24,8 @@ documents; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import tempfile
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +34,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import attach, bit_map, in_map, lean, stage
-from .induced import suffix_order
+from .induced import Sorter, suffix_blocks
 from .shingles import R, mix, powers
 
 GRAM = 32
 LONGER = 88  # bytes of the grams by which windows of crowded keys are dealt again
 RUN = 256
 CHUNK = 2 << 20  # bytes of text handled at a time
-SHARD = 2 << 20  # bytes of segments sorted at a time
+SHARD = 2 << 20  # bytes of segments sorted at a time; what comes of them is some thirty times as much, and more than `memory` waits in files
 CROWD = 2000  # different segments of a key beyond which they are dealt again
 LAST = (1 << 63) - 1
 PLACE = "id long, th long, start long, places long"
@@ -267,36 +269,85 @@ def window_spans(crowded: DataFrame, length: int) -> DataFrame:
     return found.where(F.struct("id", "th", "a") != F.col("first")).select("id", "th", "a", (F.col("a") + length).alias("b"))
 
 
-def sort_shard(rows: list[tuple], length: int, memory: int) -> pa.RecordBatch:
-    """Of segments (id, th, start, bytes): the windows that start earlier too, as spans."""
-    rows.sort(key=lambda r: r[:3])
-    raw = np.frombuffer(b"".join(r[3] + b"\0" for r in rows), np.uint8)
-    sizes = np.array([len(r[3]) + 1 for r in rows])
+class Shard:
+    """Segments to be sorted together. Their bytes wait in a file beyond `memory`; numbers of a segment (32 bytes of some 200) don't."""
+
+    def __init__(self, memory: int):
+        self.memory, self.held, self.file = memory, 0, None
+        self.parts: list[bytes] = []
+        self.ids, self.th, self.begin, self.sizes = array("q"), array("q"), array("q"), array("q")
+
+    def add(self, doc: int, th: int, begin: int, data: bytes) -> None:
+        self.parts.append(data.replace(b"\0", b"\xff") + b"\0")  # 255, which UTF-8 never has, stands for 0, which ends a segment
+        for x, v in ((self.ids, doc), (self.th, th), (self.begin, begin), (self.sizes, len(data) + 1)):
+            x.append(v)
+        self.held += len(data) + 1
+        if self.held > self.memory and len(self.parts) >= 1024:
+            self._write()
+
+    def _write(self) -> None:
+        self.file = self.file or tempfile.TemporaryFile()
+        self.file.write(b"".join(self.parts))
+        self.parts = []
+
+    def text(self) -> np.ndarray:
+        if self.file is None and self.held <= self.memory:
+            return np.frombuffer(b"".join(self.parts), np.uint8)
+        self._write()
+        self.file.flush()
+        return np.memmap(self.file, np.uint8, "r", shape=(self.held,))
+
+
+def sort_shard(shard: Shard, length: int, memory: int) -> Iterator[pa.RecordBatch]:
+    """Of a shard's segments: the windows that start earlier too, as spans (id, th, a, b)."""
+    ids, th, begin, sizes = (np.frombuffer(x, np.int64) for x in (shard.ids, shard.th, shard.begin, shard.sizes))
     ends = np.cumsum(sizes)
-    text = raw
-    if (raw == 0).sum() > len(rows):  # a text holds 0 itself: it stands for 255, which UTF-8 never has
-        text = np.where(raw == 0, 255, raw).astype(np.uint8)
-        text[ends - 1] = 0
-    at, common = suffix_order(text, length, memory)
-    new = common < length
-    size = np.diff(np.append(np.flatnonzero(new), len(at)))
-    several = np.repeat(size > 1, size)
-    at, new = at[several], new[several]
-    segment = np.searchsorted(ends, at, "right")
-    document = np.cumsum([i > 0 and r[:2] != rows[i - 1][:2] for i, r in enumerate(rows)])
-    begin = np.array([r[2] for r in rows], np.int64)
-    order = document[segment].astype(np.int64) << 36 | (begin[segment] + at - (ends - sizes)[segment])
-    first = np.flatnonzero(new)
-    least = np.repeat(np.minimum.reduceat(order, first), np.diff(np.append(first, len(order)))) if len(order) else order
-    gone = np.unique(order[order != least])
-    joined = np.concatenate([[True], np.diff(gone) > 1])[: len(gone)]
-    a = gone[joined]
-    b = gone[np.append(np.flatnonzero(joined)[1:], len(gone)) - 1] if len(gone) else gone
-    names = {d: r[:2] for d, r in zip(document.tolist(), rows, strict=True)}
-    who = [names[d] for d in (a >> 36).tolist()]
-    mask = (1 << 36) - 1
-    columns = [[w[0] for w in who], [w[1] for w in who], a & mask, (b & mask) + length]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "th", "a", "b"])
+    order = np.lexsort((th, ids))
+    rank = np.cumsum(np.concatenate([[False], (ids[order][1:] != ids[order][:-1]) | (th[order][1:] != th[order][:-1])]))
+    document = np.empty(len(ids), np.int64)
+    document[order] = rank
+    of_rank = order[np.searchsorted(rank, np.arange(rank[-1] + 1))]  # a segment of each document
+    gone = Sorter(memory)
+
+    def equal_windows(at: np.ndarray, new: np.ndarray) -> None:
+        """Whole runs of equal windows: all but the first in the order of documents are to go."""
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(at)))
+        several = np.repeat(size > 1, size)
+        at, new = at[several], new[several]
+        if len(at):
+            segment = np.searchsorted(ends, at, "right")
+            where = document[segment] << 36 | (begin[segment] + at - (ends - sizes)[segment])
+            first = np.flatnonzero(new)
+            least = np.repeat(np.minimum.reduceat(where, first), np.diff(np.append(first, len(where))))
+            again = where[where != least]
+            gone.push(again, np.zeros(len(again), np.int64))
+
+    open_run, open_new = np.zeros(0, np.int64), np.zeros(0, bool)
+    for at, common in suffix_blocks(shard.text(), length, memory):
+        at, new = np.concatenate([open_run, at]), np.concatenate([open_new, common < length])
+        new[0] = True
+        last = np.flatnonzero(new)[-1]  # its run may go on
+        equal_windows(at[:last], new[:last])
+        open_run, open_new = at[last:], new[last:]
+    equal_windows(open_run, open_new)
+
+    def spans(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        which, mask = of_rank[a >> 36], (1 << 36) - 1
+        return table(["id", "th", "a", "b"], [ids[which], th[which], a & mask, (b & mask) + length])
+
+    held = np.zeros(0, np.int64)  # of the last block: first and last place of a stretch that may go on
+    for key, _ in gone.popped():
+        places = np.concatenate([held, key.view(np.int64)])
+        cut = np.flatnonzero(np.diff(places) > 1) + 1
+        if len(held):
+            cut = cut[cut > 1]
+        a = places[np.concatenate([[0], cut])]
+        b = places[np.append(cut - 1, len(places) - 1)]
+        yield spans(a[:-1], b[:-1])
+        held = np.array([a[-1], b[-1]])
+    if len(held):
+        yield spans(held[:1], held[1:])
 
 
 def repeated_spans(docs: DataFrame, length: int, memory: int) -> DataFrame:
@@ -320,17 +371,16 @@ def repeated_spans(docs: DataFrame, length: int, memory: int) -> DataFrame:
     shards = max(1, -(-size // SHARD))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held, last = [], 0, None
+        shard, last = Shard(memory), None
         for b in batches:
             for key, *r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held >= SHARD and key != last:
-                    yield sort_shard(rows, length, memory)
-                    rows, held = [], 0
-                rows.append(tuple(r))
-                held += len(r[3])
+                if shard.held >= SHARD and key != last:
+                    yield from sort_shard(shard, length, memory)
+                    shard = Shard(memory)
+                shard.add(*r)
                 last = key
-        if rows:
-            yield sort_shard(rows, length, memory)
+        if shard.held:
+            yield from sort_shard(shard, length, memory)
 
     parts = pieces.repartition(shards, "key").sortWithinPartitions("key").mapInArrow(lean(sort), "id long, th long, a long, b long")
     for x in spans:
@@ -338,7 +388,7 @@ def repeated_spans(docs: DataFrame, length: int, memory: int) -> DataFrame:
     return parts
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, memory: int = 256 << 20, with_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, memory: int = 2 << 20, with_text: bool = False) -> DataFrame:
     """Per row: id_col, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left, where asked for)."""
     kind = dict(df.dtypes)[id_col]
     ids = df.select(F.col(id_col).alias("i"))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from quillgraph.llm import suffix_dedup
+from quillgraph.llm import induced
 from quillgraph.llm.induced import suffix_order
 
 
@@ -18,7 +19,7 @@ def test_suffix_order_and_common_prefixes():
         parts = [bytes(rng.randint(1, letters) for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(1, 6))]
         parts += [parts[0][3:], parts[0]] * (trial % 2)
         text = np.frombuffer(b"".join(x + b"\0" for x in parts), np.uint8)
-        at, common = suffix_order(text, limit, rng.choice([16, 1 << 20]))  # 16: nearly all queues on disk
+        at, common = suffix_order(text, limit, rng.choice([16, 300, 1 << 20]))  # 16: nearly everything on disk, in many blocks and runs
         assert sorted(at.tolist()) == list(range(len(text)))
         head = [bytes(text[i : i + limit]).split(b"\0")[0] for i in at]
         for a, b, c in zip(head, head[1:], common[1:], strict=False):
@@ -26,6 +27,42 @@ def test_suffix_order_and_common_prefixes():
             assert c == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+def test_a_text_of_many_times_the_memory():
+    """Equal to the order in memory, with queues and runs on disk, and no array beyond the memory but in files."""
+    rng = random.Random(3)
+    words = [bytes(rng.randint(97, 122) for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    parts = [b" ".join(rng.choice(words) for _ in range(40)) for _ in range(400)]
+    parts += [p[20:150] + b"z" * 300 for p in parts[:200]]
+    text = np.frombuffer(b"".join(x + b"\0" for x in parts), np.uint8)
+    memory, made = len(text) // 20, []
+    whole = induced.array
+    induced.array = lambda n, kind, most: made.append(x := whole(n, kind, most)) or x
+    try:
+        at, common = suffix_order(text, 100, memory)
+    finally:
+        induced.array = whole
+    assert any(isinstance(x, np.memmap) for x in made) and all(isinstance(x, np.memmap) or x.nbytes <= memory for x in made)
+    want = suffix_order(text, 100, 1 << 30)
+    assert (at == want[0]).all() and (common == want[1]).all()
+
+
+def test_a_shard_of_many_times_the_memory():
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(150)
+    docs = [(i, text(rng.randint(0, 80)) + passage[rng.randint(0, 30) :] + text(60)) for i in range(300)]
+    found = []
+    for memory in (1 << 30, 500):
+        shard = suffix_dedup.Shard(memory)
+        for i, t in docs:
+            shard.add(i, 0, 0, t.encode())
+        spans = {tuple(r.values()) for b in suffix_dedup.sort_shard(shard, 100, memory) for r in b.to_pylist()}
+        found.append(spans)
+    for i, (_, _, n, _) in brute(docs, 100).items():
+        assert (n > 0) == any(x[0] == i for x in found[0])
+    assert found[0] == found[1]
+
+
 def brute(docs, length):
     """docs: (id, text); the answer by looking at each window."""
     first, gone = {}, {}
@@ -98,9 +135,9 @@ def test_no_key_fills_a_shard(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARD", 1000)
     whole = suffix_dedup.sort_shard
 
-    def sort_shard(rows, length, memory):
-        assert sum(len(r[3]) for r in rows) <= 1000 + 10 * (256 + length), "a key filled the shard"
-        return whole(rows, length, memory)
+    def sort_shard(shard, length, memory):
+        assert shard.held <= 1000 + 10 * (257 + length), "a key filled the shard"
+        return whole(shard, length, memory)
 
     monkeypatch.setattr(suffix_dedup, "sort_shard", sort_shard)
     rng = random.Random(8)

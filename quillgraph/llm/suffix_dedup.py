@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import attach, bit_map, in_map, lean, stage
+from .exact_dedup import frequent
 from .induced import Sorter, suffix_blocks
 from .shingles import R, mix, powers
 
@@ -157,12 +158,24 @@ def of_repeated_keys(rows: DataFrame) -> DataFrame:
     return rows.select("key", "content", "id", "th", "start", "places", "twice").mapInArrow(lean(pick), f"key long, content long, {PLACE}, twice boolean")
 
 
+HOT = 512  # contents
+
+
 def compare(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of segments: those equal to an earlier one; and of the others those to be sorted, with the number k of different ones of their key. Rows are
-    dealt by key and content, so a key's many segments don't meet in a task; keys of many are broadcast (see attach)."""
+    dealt by key and content, so a key's many segments don't meet in a task; the commonest contents (HOT at most, found by a
+    Misra-Gries sketch) are decided where they are, and keys of many are broadcast (see attach)."""
+    rows = stage(rows, "to_compare")
+    hot = rows.sparkSession.createDataFrame([(int(x),) for x in frequent(rows.select(F.col("content").cast("string").alias("x")), "x", HOT)], "content long")
+    place = F.struct("id", "th", "start")
+    firsts = rows.join(F.broadcast(hot), "content").groupBy("key", "content").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
+    firsts = stage(firsts.where(F.col("c") * HOT > rows.count()), "hot_contents")  # fewer than HOT
+    told = rows.join(F.broadcast(firsts), ["key", "content"], "left")
     equal = Window.partitionBy("key", "content").orderBy("id", "th", "start")
-    told = stage(rows.withColumn("again", F.row_number().over(equal) > 1), "compared")
-    firsts = told.where("NOT again").select("key", "id", "th", "start", "places", "twice")
+    columns = ["key", "id", "th", "start", "places", "twice"]
+    cold = told.where("first IS NULL").select(*columns, (F.row_number().over(equal) > 1).alias("again"))
+    told = stage(cold.unionByName(told.where("first IS NOT NULL").select(*columns, (place != F.col("first")).alias("again"))), "compared")
+    firsts = told.where("NOT again")
     keys = stage(firsts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("twice").alias("t")).where("k > 1 OR t").select("key", "k"), "mixed_keys")
     todo = attach(firsts, keys, "key", "k", firsts.count()).where("k IS NOT NULL").select("key", "id", "th", "start", "places", "k")
     return told.where("again"), stage(todo, "to_sort")

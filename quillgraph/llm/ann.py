@@ -5,8 +5,8 @@ norm; queries are scaled to norm M). Vectors are projected on a few Gaussian (2-
 pair at distance d, the squared projected distance over d^2 has a chi-square distribution. A kd-tree over
 the projected space, its top fitted on a bounded sample (`sample_rows`) and all vectors routed through it, gives
 cells; cells of more than cell_rows vectors (many equal vectors, say) are dealt over several units, row by row. A query first
-searches its home unit, which bounds the distance of its k-th neighbour, then every unit that the stopping test
-doesn't rule out. Queries of neighbouring cells form a block, and a unit's vectors go to those blocks only that have a query for it. In a unit, leaves are visited in the order of projected distance, and their vectors verified by exact inner
+searches its home unit, then a few nearby ones, which bounds the distance of its k-th neighbour, then every unit that the
+stopping test doesn't rule out. Queries of neighbouring cells form a block, and a unit's vectors go to those blocks only that have a query for it. In a unit, leaves are visited in the order of projected distance, and their vectors verified by exact inner
 products, until the next leaf's projected distance passes the chi-square quantile times the k-th distance so far. A true neighbour is
 missed with a chance of at most 1 - confidence; recall against brute force is measured in the tests.
 
@@ -118,7 +118,7 @@ def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def nearest(df: DataFrame, query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, directions: int = 8, confidence: float = 0.98, cell_rows: int = 1024, block_rows: int = 4096, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
+def nearest(df: DataFrame, query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, directions: int = 8, confidence: float = 0.98, cell_rows: int = 1024, block_rows: int = 4096, nearby: int = 7, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of df, of each row whose id fulfils `query` (a column
     expression over "id")."""
     spark = df.sparkSession
@@ -190,24 +190,41 @@ def nearest(df: DataFrame, query, id_col: str = "vec_id", vec_col: str = "embedd
         return pa.Table.from_arrays([pa.array(row[i]), pa.array(qid[i]), pa.array(who[i, j]), pa.array(best[i, j])], names)
 
     home = asked.select(F.col("unit").alias("at"), "row", F.col("id").alias("qid"), F.col("v").alias("qv"), F.lit(float("inf")).alias("bound")).groupBy("at")
-    near_home = stage(members.groupBy("unit").cogroup(home).applyInArrow(visit, answer), "home")
-    kth = near_home.groupBy("row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
-
-    def route(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                q, worst = matrix(part.column(2), width), part.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
-                scale = top / np.linalg.norm(q, axis=1)
-                bound = np.where(np.isnan(worst), np.inf, 2 * top * top - 2 * scale * worst)  # the squared distance of the k-th so far
-                near = box_distance((q * scale[:, None]) @ axes[:-1], low, high) <= limit * np.maximum(bound, 0)[:, None] + 1e-9
-                own = part.column(5).to_numpy()
-                lists = [(u := np.concatenate([np.arange(first_unit[c], first_unit[c] + units[c]) for c in np.flatnonzero(r)] or [np.zeros(0)]).astype(np.int32))[u != o] for r, o in zip(near, own, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(bound), part.column(4), pa.array(lists, pa.list_(pa.int32()))], ["row", "id", "v", "bound", "block", "units"])
-
-    routed = asked.select("row", "id", "v", "block", "unit").join(kth, "row", "left").select("row", "id", "v", "kth", "block", "unit").mapInArrow(lean(route), "row long, id long, v array<double>, bound double, block int, units array<int>")
-    visits = stage(routed.select("row", F.col("id").alias("qid"), F.col("v").alias("qv"), "bound", F.col("block").alias("of"), F.explode("units").alias("at")), "visits")
-    meet = visits.select(F.col("at").alias("unit"), F.col("of").alias("block")).distinct()
-    found = members.join(meet, "unit").groupBy("unit", "block").cogroup(visits.groupBy("at", "of")).applyInArrow(visit, answer).unionByName(near_home)
+    found = stage(members.groupBy("unit").cogroup(home).applyInArrow(visit, answer), "found")
+
+    def routes(first: bool):
+        """For a query the other units that its bound allows: the `nearby` nearest (first), or all but those."""
+
+        def route(batches):
+            for b in batches:
+                for lo in range(0, b.num_rows, 1024):
+                    part = b.slice(lo, 1024)
+                    q, worst = matrix(part.column(2), width), part.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
+                    scale = top / np.linalg.norm(q, axis=1)
+                    bound = np.where(np.isnan(worst), np.inf, 2 * top * top - 2 * scale * worst)  # the squared distance of the k-th so far
+                    gap = box_distance((q * scale[:, None]) @ axes[:-1], low, high)
+                    allowed = gap <= limit * np.maximum(bound, 0)[:, None] + 1e-9
+                    lists = []
+                    for g, ok, own in zip(gap, allowed, part.column(5).to_numpy(), strict=True):
+                        by_gap = np.argsort(g, kind="stable")
+                        at = np.repeat(by_gap, units[by_gap])
+                        unit = np.concatenate([np.arange(first_unit[c], first_unit[c] + units[c]) for c in by_gap])
+                        at, unit = at[unit != own], unit[unit != own]
+                        mine = slice(0, nearby) if first else slice(nearby, None)
+                        lists.append(unit[mine][ok[at[mine]]].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(bound), part.column(4), pa.array(lists, pa.list_(pa.int32()))], ["row", "id", "v", "bound", "block", "units"])
+
+        return lean(route)
+
+    # two more rounds: a few nearby units make the bound tight, so that the others have little to tell
+    for first in (True, False):
+        scores = F.sort_array(F.collect_list("score"), asc=False)  # of k * (nearby + 1) at most
+        kth = found.groupBy("row").agg(F.try_element_at(scores, F.lit(k)).alias("kth"))
+        routed = asked.select("row", "id", "v", "block", "unit").join(kth, "row", "left").select("row", "id", "v", "kth", "block", "unit")
+        routed = routed.mapInArrow(routes(first), "row long, id long, v array<double>, bound double, block int, units array<int>")
+        visits = stage(routed.select("row", F.col("id").alias("qid"), F.col("v").alias("qv"), "bound", F.col("block").alias("of"), F.explode("units").alias("at")), "visits")
+        meet = visits.select(F.col("at").alias("unit"), F.col("of").alias("block")).distinct()
+        more = members.join(meet, "unit").groupBy("unit", "block").cogroup(visits.groupBy("at", "of")).applyInArrow(visit, answer)
+        found = found.unionByName(stage(more, "found"))
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

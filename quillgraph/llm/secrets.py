@@ -5,7 +5,7 @@ entropy, the words next to it, and features of the whole file. Every token of a
 prove that no best labelling has them in a secret (see Field.open) are O without it, which cuts the chain there and changes no result. Weights
 are trained here by gradient ascent on the conditional likelihood (forward-backward), from a bounded sample of
 documents (`sample_docs`), labelled by the fixed patterns: the stretches of EDGE tokens around what looks like a key or is
-labelled, and one in PLAIN of other stretches.
+labelled, one in PLAIN of other stretches, and variations of assignments, so that other names and values are told too.
 
 Defined cases: null text counts as empty; whole texts are read; where the sample holds no run at all, or the table is
 empty, the field adds nothing; repeated rows give repeated results; other columns are ignored.
@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+import string
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -100,10 +102,10 @@ def file_features(text: str) -> list[str]:
     return [f"file size={len(text).bit_length() // 2}", f"file key-like={min(8, (places * 1000 // max(1, len(text))).bit_length())}", f"file braces={'{' in text and '}' in text}"]
 
 
-def runs(text: str) -> Iterator[list[tuple[int, int, list[str]]]]:
-    """All tokens, as one run: start, end (without a final stop) and features of each."""
+def runs(text: str, file: list[str] | None = None) -> Iterator[list[tuple[int, int, list[str]]]]:
+    """All tokens, as one run: start, end (without a final stop) and features of each. file: features of the whole file, if text is a part."""
     tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)]
-    file = file_features(text)
+    file = file or file_features(text)
     words = ["none", "none", *(word(t) for _, _, t in tokens), "none"]
     if tokens:
         yield [(s, s + len(t.rstrip(".")) or e, [*token_features(t), *near_features(words[i], words[i + 1], words[i + 3]), *file]) for i, (s, e, t) in enumerate(tokens)]
@@ -127,6 +129,32 @@ def stretches(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[list[li
                 yield [f for _, _, f in run[lo:hi]], [1, *part[1:]] if part[0] == 2 else part
 
 
+#: What a made-up secret may consist of.
+ALPHABETS = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/_-", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, "0123456789ABCDEF")
+
+
+def variations(text: str) -> Iterator[tuple[list[list[str]], list[int]]]:
+    """More to be trained on, from each assignment that the patterns find: another value of some other alphabet and length behind the same name, with
+    and without its sign, is a secret too; an ordinary word there is none. So the field learns the context and not just the
+    values that the patterns know. The same text always gives the same."""
+    file = file_features(text)
+    for s, e in assigned(text):
+        m = ASSIGN.match(text, s)
+        rng = random.Random(zlib.crc32(m[0].encode()))
+        head, before, after = text[s : m.start(1)], re.search(r"(?:\S+\s+){0,2}$", text[max(0, s - 60) : s])[0], text[e : e + 40]
+        value = "".join(rng.choices(rng.choice(ALPHABETS), k=rng.randint(12, 44)))
+        word = "".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 11)))
+        for name, what, secret in ((head, value, True), (rng.choice(NAMES) + rng.choice((" ", ": ", "=")), value, True), (rng.choice(HEADERS), value, True), (head, word, False), (rng.choice(NAMES) + " ", word, False)):
+            lead = before + name
+            for run in runs(lead + what + after, file):
+                yield [f for _, _, f in run[:STRETCH]], labels(run, [(len(lead), len(lead) + len(what))] if secret else [])[:STRETCH]
+
+
+#: Names before secrets that the patterns don't know, and headers.
+NAMES = ("pwd", "Bearer", "key", "private_key", "credentials", "auth", "passphrase", "access_key")
+HEADERS = ("Authorization: Bearer ", "authorization: token ", "auth: Basic ")
+
+
 class Field:
     """Weights: `emit` feature -> a weight for each state, `move` state x state."""
 
@@ -282,7 +310,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_do
             for t in b.column(0):
                 text = t.as_py() or ""
                 base = [s for spans in base_spans(text).values() for s in spans]
-                rows += stretches(text, base)
+                rows += [*stretches(text, base), *variations(text)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.list_(pa.list_(pa.string()))), pa.array([y for _, y in rows], pa.list_(pa.int32()))], ["x", "y"])
 
     some = df.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample_docs)

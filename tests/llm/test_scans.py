@@ -1,6 +1,7 @@
 """PII and secrets against the plain regular expressions they are defined by."""
 
 import hashlib
+import random
 import re
 
 from hypothesis import given, settings
@@ -140,3 +141,34 @@ def test_every_token_is_decoded():
         for (s, e, _), state in zip(run, field.decode([f for _, _, f in run])):
             want = want + [(s, e)] if state == 1 else want[:-1] + [(want[-1][0], e)] if state == 2 else want
         assert field.spans(text) == want
+
+
+def test_recall_of_secrets_that_the_patterns_do_not_know(spark):
+    """Planted at random places of the table's texts: kinds that the field was shown variations of, and kinds that it wasn't."""
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    field = secrets.fit(df, sample_docs=2000)
+    rng = random.Random(5)
+    key = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(n))
+    texts = [r["text"] for r in df.where("text IS NOT NULL AND length(text) < 5000").orderBy("doc_id").limit(80).collect()]
+    made = {"header": lambda: f"Authorization: Bearer {key(24)}", "name": lambda: f"private_key = '{key(32)}'", "prefix": lambda: f"ghp_{key(36)}", "bare": lambda: key(28)}
+    for kind, make in made.items():
+        found = 0
+        for t in texts:
+            words, secret = t.split(" "), make()
+            at = rng.randrange(len(words) + 1)
+            lo = len(" ".join(words[:at])) + 1
+            hi = lo + len(secret)
+            text = " ".join([*words[:at], secret, *words[at:]])
+            found += any(a < hi and b > hi - 8 for a, b in field.spans(text))
+        assert found / len(texts) >= 0.8, (kind, found)
+    inside = lambda a, b, spans: any(a < y and x < b for x, y in spans)
+    alarms = sum(not inside(a, b, [x for v in secrets.base_spans(t).values() for x in v]) for t in texts for a, b in field.spans(t))
+    assert alarms <= 2
+
+
+def test_training_stretches_are_short():
+    text = " ".join("ab12cd34ef" for _ in range(1000)) + " password: abcdef123456 " + "x" * 10
+    spans = [x for v in secrets.base_spans(text).values() for x in v]
+    parts = [*secrets.stretches(text, spans), *secrets.variations(text)]
+    assert parts and all(len(x) == len(y) <= secrets.STRETCH and y[0] != 2 for x, y in parts)
+    assert secrets.variations(text).__next__() == secrets.variations(text).__next__()

@@ -127,7 +127,7 @@ class Solutions:
         """A join of bags without unbound shared variables, in a form of Spark's."""
         shared = [v for v in self.variables if v in other.variables]
         right, same, gone = self._agree(other, shared)
-        if not shared and condition is None and how != "left":  # whether there is any row at all
+        if not shared and condition is None and how in ("left_semi", "left_anti"):  # whether there is any row at all
             right, same = right.limit(1), F.lit(True)
         joined = self.rows.join(right, same if condition is None else same & condition, how)
         return joined.drop(*gone) if then_drop else joined

@@ -245,7 +245,7 @@ def P3_P4_bind_values(spark, d):
 def P5_P8_filters(spark, d):
     s = G(spark, d, "customer").star("c", id=ex("c_custkey"), b=ex("c_acctbal"), m=ex("c_mktsegment"))
     s = s.filter((T.less(5000, s["b"]) & ~T.equal(s["m"], '"BUILDING"')) | ~T.less(-500, s["b"]))
-    return s.bind("balance", F.col("b")).select("id", "balance").native(id="bigint", balance="double")
+    return s.select("id", "b").native(id="bigint", b="double").withColumnRenamed("b", "balance")
 
 
 @query("SELECT count(*) FILTER (quality IS NOT NULL) AS bound, count(*) FILTER (quality IS NULL) AS unbound FROM documents LEFT JOIN labels USING (doc_id)")

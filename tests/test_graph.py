@@ -267,3 +267,93 @@ def test_wide_tables_of_more_sets_than_the_driver_takes(spark):
         assert [x.nodes for x in found] == [36, 36]
         assert {c for x in found for c in x.coverage.values()} == {1.0, 33 / 36, 24 / 36}
         assert [tables.materialise(df, x).count() for x in found] == [36, 36]
+
+
+def test_escapes_in_one_pass(spark):
+    cases = {"a\\\\nb": "a\\nb", "a\\nb": "a\nb", "\\\\\\\\t\\t": "\\\\t\t", "caf\\u00e9": "café", "\\U0001F600!": "😀!", "\\uD83D\\uDE00": "😀", "\\ud83d alone": "\\ud83d alone", "\\q": "\\q", 'say \\"x\\"': 'say "x"', "end\\\\": "end\\"}
+    df = spark.createDataFrame([(f'"{x}"', y) for x, y in cases.items()], "t string, want string")
+    assert [r["got"] for r in df.select(T.lex(F.col("t")).alias("got")).collect()] == list(cases.values())
+    assert [T.parsed(f'"{x}"')[0] for x in cases] == list(cases.values())
+    line = spark.createDataFrame([(r'<http://a> <http://p> "café \"q\" \t"@fr .',), (r'<http://é> <http://p> "x" .',), ('<http://a> <http://p> "' + "y\\n" * 20_000 + '" .',)], "value string")
+    got = {(r["s"], r["o"]) for r in formats.parse_lines(line).collect()}
+    assert got == {("<http://a>", '"café \\"q\\" \t"@fr'), ("<http://é>", '"x"'), ("<http://a>", '"' + "y\\n" * 20_000 + '"')}
+
+
+def test_counting_different_solutions(spark):
+    s = Solutions(spark.createDataFrame([("a", None), ("a", None), ("a", "x"), ("b", "x")], "k string, v string"), ["v"])
+    assert s.group(n=count(), d=count(distinct=True)).df.first()[:] == (4, 3)
+    assert sorted(tuple(r) for r in s.group("k", d=count(distinct=True), v=count("v", distinct=True)).df.collect()) == [("a", 2, 1), ("b", 1, 1)]
+
+
+def test_mapped_tables_are_asked_by_their_columns(spark):
+    """Conditions and constants are pushed into the scan, joins are on keys, and nothing is a nested loop."""
+    from quillgraph import queries
+
+    plan = lambda name: queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(c_custkey,7)" in plan("S2_S5_scan_subject") and "EqualTo(c_custkey,7)" in plan("S2_scan_subject_of_any_predicate")
+    assert "Or(And(GreaterThan(c_acct" in plan("P5_P8_filters") and "GreaterThan(o_total" in plan("J8_not_exists")  # cut short there
+    for name in ("J1_bgp_chain", "J6_optional", "J6_optional_filter", "J7_exists", "J8_not_exists"):
+        text = plan(name)
+        assert "NestedLoop" not in text and "Cartesian" not in text
+        assert "<http://ex.org/" not in text or "Join" in text
+    joined = [x for x in plan("J1_bgp_chain").split("\n") if "Join" in x]
+    assert joined and not any("concat" in x for x in joined)
+    other = [x for x in plan("O1_O4_top_k").split("\n") if "TakeOrdered" in x]
+    assert other and "o_totalprice" in plan("O1_O4_top_k")
+
+
+def test_patterns_that_share_nothing_must_ask_for_products(g):
+    a, b = g.match("?x", e("author"), "?y"), g.match("?v", e("cites"), "?w")
+    for join in (a.join, a.optional, a.exists, a.not_exists):
+        with pytest.raises(ValueError):
+            join(b)
+    assert a.exists(b, product=True).df.count() == 2 and a.not_exists(b, product=True).df.count() == 0 and a.optional(b, product=True).df.count() == 6
+
+
+def test_store_versions(spark, tmp_path):
+    df = spark.createDataFrame(papers(), "s string, p string, o string")
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.triples().count() == 0 and store.clear() == 0
+    store.create(df)
+    years = df.where(F.col("p") == e("year"))
+    before = store._newest()[1]
+    assert store.delete(years) == 5 and store.delete(years) == 0
+    after = store._newest()[1]
+    changed = [b for b in before if after.get(b) != before[b]]
+    assert len(changed) == 1 and store.triples().exceptAll(df.subtract(years)).count() == 0
+    (tmp_path / "store" / "triples-unfinished").mkdir()  # of a write that failed: not named, so not read
+    assert Store(spark, str(tmp_path / "store")).triples().count() == len(papers()) - 5
+    assert store.copy_to(str(tmp_path / "copy")).triples().count() == len(papers()) - 5
+    assert store.replace(years).triples().count() == 5 and store.clear() == 5 and store.triples().count() == 0
+
+
+def test_registry(spark):
+    from quillgraph.operators.registry import Registry
+
+    r, p = Registry(spark), e("emb")
+    r.declare(p, 2, "DotProduct")
+    for bad in (lambda: r.declare(p, 2), lambda: r.declare(e("x"), 2, "taxicab"), lambda: r.declare(e("x"), 0), lambda: r.search(p, [1.0])):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(KeyError):
+        r.live(e("nobody"))
+    rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [1.0]), ("d", None), (None, [1.0, 1.0]), ("e", [float("nan"), 1.0])], "s string, vec array<double>")
+    assert sorted(str(x["s"]) for x in r.insert(p, rows).collect()) == ["None", "c", "d", "e"]
+    assert [x["s"] for x in r.search(p, [0.0, 1.0], k=1).df.collect()] == ["b"]
+    assert r.delete(p, spark.createDataFrame([("b",), ("z",)], "s string")) == 1
+    assert [x["s"] for x in r.search(p, [0.0, 1.0]).df.collect()] == ["a"]
+    assert r.compact(p) == 1 and r.compact(p) == 0 and r.vectors[p].count() == 1
+
+
+def test_path_groups_and_segments(spark):
+    rows = []
+    for i in range(60):
+        rows += [(e(f"r{i}"), e("a"), e(f"m{i}")), (e(f"m{i}"), e("x"), '"1"'), (e(f"m{i}"), e("y"), '"2"')] + [(e(f"m{i}"), e("z"), '"3"')] * (i < 10)
+        rows += [(e(f"q{i}"), e("b"), e(f"hub{i % 2}"))]
+    rows += [(e(f"hub{k}"), e(p), '"h"') for k in range(2) for p in ("u", "v")]
+    df = spark.createDataFrame(rows, "s string, p string, o string")
+    got = {(len(r["paths"]), r["roots"], r["kept"]) for r in tables.discover_paths(df).collect()}
+    assert got == {(2, 50, True), (2, 60, False)}
+    wide = spark.createDataFrame([(i, f"{i * 7 % 100:02}", None if i % 4 else "x") for i in range(100)], "node int, v string, w string").repartition(7)
+    stats = [r.asDict() for r in tables.column_statistics(wide, 32).where("column = 'v'").orderBy("segment").collect()]
+    assert [(r["rows"], r["segment"]) for r in stats] == [(32, 0), (32, 1), (32, 2), (4, 3)]

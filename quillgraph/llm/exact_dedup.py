@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +50,26 @@ def frequent(df: DataFrame, key: str, k: int) -> list:
     return list(shrink({r["key"]: r["n"] for r in merged}, k))
 
 
+def frequent_numbers(df: DataFrame, key: str, k: int) -> list[int]:
+    """The same for a long column, by arrays."""
+
+    def shrunk(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, at = np.unique(x, return_inverse=True)
+        n = np.bincount(at, n).astype(np.int64)
+        cut = np.partition(n, -(k + 1))[-(k + 1)] if len(n) > k else 0
+        return x[n > cut], n[n > cut] - cut
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            new = b.column(0).drop_null().to_numpy()
+            x, n = shrunk(np.concatenate([x, new]), np.concatenate([n, np.ones(len(new), np.int64)]))
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n)], ["key", "n"])
+
+    merged = df.select(key).mapInArrow(lean(sketch), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(k + 1).collect()
+    return shrunk(np.array([r["key"] for r in merged], np.int64), np.array([r["n"] for r in merged], np.int64))[0].tolist()
+
+
 def winners(rows: DataFrame, k: int) -> DataFrame:
     """The verified frequent digests of rows (__digest, __id, __row), k rows at most: first id, first row, count."""
     spark = rows.sparkSession

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import attach, bit_map, in_map, lean, stage
-from .exact_dedup import frequent
+from .exact_dedup import frequent_numbers
 from .induced import Sorter, suffix_blocks
 from .shingles import R, mix, powers
 
@@ -166,7 +166,7 @@ def compare(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt by key and content, so a key's many segments don't meet in a task; the commonest contents (HOT at most, found by a
     Misra-Gries sketch) are decided where they are, and keys of many are broadcast (see attach)."""
     rows = stage(rows, "to_compare")
-    hot = rows.sparkSession.createDataFrame([(int(x),) for x in frequent(rows.select(F.col("content").cast("string").alias("x")), "x", HOT)], "content long")
+    hot = rows.sparkSession.createDataFrame([(x,) for x in frequent_numbers(rows, "content", HOT)], "content long")
     place = F.struct("id", "th", "start")
     firsts = rows.join(F.broadcast(hot), "content").groupBy("key", "content").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
     firsts = stage(firsts.where(F.col("c") * HOT > rows.count()), "hot_contents")  # fewer than HOT
@@ -401,7 +401,7 @@ def repeated_spans(docs: DataFrame, length: int, memory: int) -> DataFrame:
     return parts
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, memory: int = 2 << 20, with_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, memory: int = 4 << 20, with_text: bool = False) -> DataFrame:
     """Per row: id_col, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left, where asked for)."""
     kind = dict(df.dtypes)[id_col]
     ids = df.select(F.col(id_col).alias("i"))

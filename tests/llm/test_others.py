@@ -47,6 +47,9 @@ def test_frequent_finds_all_above_the_bound(spark):
     df = spark.createDataFrame([(k,) for k in keys], "k string").repartition(6)
     found = exact_dedup.frequent(df, "k", 9)
     assert len(found) <= 9 and {k for k, n in Counter(keys).items() if n > 300} <= set(found)
+    numbers = exact_dedup.frequent_numbers(df.select(F.col("k").cast("long").alias("k")), "k", 9)
+    assert len(numbers) <= 9 and {int(k) for k, n in Counter(keys).items() if n > 300} <= set(numbers)
+    assert exact_dedup.frequent_numbers(df.limit(0).select(F.col("k").cast("long").alias("k")), "k", 9) == []
 
 
 def test_components(spark):

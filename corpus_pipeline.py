@@ -2,6 +2,11 @@
 
 Rejected documents go, then exact copies, then near copies; the rest is mixed and packed. All stages but the last return the columns
 of documents, and work on all that the stage before kept.
+
+Defined cases, in every stage: null texts count as empty, and are scored, compared, mixed and packed as such (empty texts are exact copies of
+each other, but never near copies; the mix takes nothing of them); null ids come last where the smallest id stays; null sources are one
+source; rows equal in id and text are exact copies, of which one stays; empty tables pass through; other columns go along, whatever
+their names. The mix may take a document twice, so ids may repeat from there on.
 """
 
 from __future__ import annotations

@@ -1,4 +1,4 @@
-"""Helpers that several corpus operators share: the shared folder, staged tables, hot keys, prefix sums."""
+"""Helpers that several corpus operators share: the shared folder, staged tables, bitmaps, hot keys, numbering, prefix sums."""
 
 from __future__ import annotations
 

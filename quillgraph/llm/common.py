@@ -121,11 +121,6 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int,
     return a.select(*rows.columns, *columns).unionByName(b.select(*rows.columns, *columns))
 
 
-def broadcast_small(df: DataFrame, rows: int) -> DataFrame:
-    """df, to be broadcast if it has at most so many rows; else Spark chooses the join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """df with each row's number, from 1, in a global order: numbers within range partitions after those of the partitions before, so no task
     has all rows. Rows equal in the order are numbered in any order."""

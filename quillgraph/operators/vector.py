@@ -1,8 +1,8 @@
 """Vector search as patterns, exact nearest-neighbour graphs, and their edges as triples.
 
 Vectors are DataFrames (s, vec). Search scores every vector natively and keeps the best k by one top-k aggregation; the k
-best of the whole relation count, before the threshold. The neighbour graph compares blocks of vectors with blocks by numpy, so a task
-holds two blocks and no pair is ever a row.
+best of the whole relation count, before the threshold. The neighbour graph streams all vectors past blocks of them by numpy: a task keeps
+the k best of a block, and no other pair is ever a row.
 """
 
 from __future__ import annotations
@@ -37,35 +37,101 @@ def filter_similar(solutions: Solutions, vectors: DataFrame, query: list[float],
     return solutions.join(search(mine, query, metric, None, threshold, subject))
 
 
-def nearest_neighbours(vectors: DataFrame, k: int, block_rows: int = 2048) -> DataFrame:
-    """source, target, similarity: the k nearest (cosine; ties to the smaller target) of each vector. Equal dimensions."""
-    blocks = max(1, -(-vectors.count() // block_rows))
-    dealt = vectors.select("s", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("s"), F.lit(blocks)).cast("int").alias("block"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = dealt.withColumn("other", each)
-    right = dealt.select(F.col("s").alias("s2"), F.col("vec").alias("vec2"), F.col("block").alias("block2")).withColumn("other2", each)
-
-    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        names = ["source", "target", "similarity"]
-        if not a.num_rows or not b.num_rows:
-            return pa.Table.from_arrays([pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.float64())], names)
-        unit = []
-        for t, c in ((a, "vec"), (b, "vec2")):
-            x = np.array(t[c].to_pylist(), float)
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            unit.append(np.divide(x, n, out=np.zeros_like(x), where=n > 0))
-        s, t = np.array(a["s"].to_pylist()), np.array(b["s2"].to_pylist())
-        order = np.argsort(t)
-        t, y = t[order], unit[1][order]
-        sim = unit[0] @ y.T
-        sim[s[:, None] == t[None, :]] = -np.inf
-        best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        i = np.repeat(np.arange(len(s)), best.shape[1])
-        j = best.ravel()
-        good = sim[i, j] > -np.inf
-        return pa.Table.from_arrays([pa.array(s[i[good]].tolist(), pa.string()), pa.array(t[j[good]].tolist(), pa.string()), pa.array(sim[i[good], j[good]])], names)
-
-    found = left.groupBy("block", "other").cogroup(right.groupBy("other2", "block2")).applyInArrow(compare, "source string, target string, similarity double")
+class Nearest:
+    """The k best targets so far of a block of queries: exact scores, and the targets' numbers."""
+
+    def __init__(self, names: np.ndarray, x: np.ndarray, k: int):
+        self.names, self.x, self.k = names, x, k
+        self.rough = x.astype(np.float32)
+        self.slack = (x.shape[1] + 8) * 2.0**-24  # what a product of unit vectors in single precision can be off
+        self.score, self.who = np.full((len(x), k), -np.inf), np.full((len(x), k), -1)
+
+    def meet(self, first: int, names: np.ndarray, y: np.ndarray) -> None:
+        """Targets numbered from first on. A product in single precision tells which may be among the k best, one in double precision is their score."""
+        rough = y.astype(np.float32).T
+        for lo in range(0, len(self.x), QUERY_ROWS):
+            least = (self.score[lo : lo + QUERY_ROWS, -1] - self.slack).astype(np.float32)
+            near = np.flatnonzero(self.rough[lo : lo + QUERY_ROWS] @ rough >= least[:, None])
+            for at in range(0, len(near), PAIRS):
+                i, j = np.divmod(near[at : at + PAIRS], len(y))
+                i += lo
+                other = self.names[i] != names[j]
+                i, j = i[other], j[other]
+                self._take(i, first + j, (self.x[i] * y[j]).sum(1))
+
+    def _take(self, i: np.ndarray, who: np.ndarray, score: np.ndarray) -> None:
+        good = score >= self.score[i, -1]
+        i, who, score = i[good], who[good], score[good]
+        rows = np.unique(i)
+        i = np.concatenate([np.repeat(rows, self.k), i])
+        who, score = np.concatenate([self.who[rows].ravel(), who]), np.concatenate([self.score[rows].ravel(), score])
+        order = np.lexsort((who, -score, i))
+        nth = np.arange(len(i)) - np.searchsorted(i[order], rows)[np.searchsorted(rows, i[order])]
+        kept = order[nth < self.k]
+        self.who[rows], self.score[rows] = who[kept].reshape(-1, self.k), score[kept].reshape(-1, self.k)
+
+
+#: Rows of a product's block, and pairs that are scored at once.
+QUERY_ROWS, TARGET_ROWS, PAIRS = 4096, 2048, 1 << 18
+
+
+def units(column: pa.Array) -> np.ndarray:
+    """Vectors of one dimension, of length 1; zero vectors stay."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def nearest_neighbours(vectors: DataFrame, k: int, block_rows: int = 16_384, slice_rows: int = 1 << 20) -> DataFrame:
+    """source, target, similarity: the k nearest (cosine; ties to the smaller target) of each vector. Equal dimensions. A task holds one
+    block of queries (of fewer than block_rows where there are cores for more blocks) and the names of a slice of targets, which
+    stream past it in the order of their names."""
+    n = vectors.count()
+    spread = max(512, -(-n // (4 * vectors.sparkSession.sparkContext.defaultParallelism)))
+    blocks, slices = max(1, -(-n // min(block_rows, spread))), max(1, -(-n // slice_rows))
+    kind = dict(vectors.dtypes)["vec"]
+    vec = F.col("vec") if kind in ("array<float>", "array<double>") else F.col("vec").cast("array<double>")
+    block, part = (F.pmod(F.xxhash64("s", F.lit(seed)), F.lit(count)).cast("int") for seed, count in ((1, blocks), (2, slices)))
+    asks = F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda i: F.struct((block * slices + i).alias("task"), F.lit(False).alias("target")))
+    meets = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.struct((i * slices + part).alias("task"), F.lit(True).alias("target")))
+    dealt = vectors.where("s IS NOT NULL AND vec IS NOT NULL").select("s", vec.alias("vec"), F.inline(F.concat(asks, meets)))
+    dealt = dealt.repartitionById(blocks * slices, F.col("task")).sortWithinPartitions("target", "s")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, x, found, targets, first, step = [], [], None, [], 0, 128
+        for b in batches:
+            asking = b.num_rows - (b.column(3).true_count or 0)  # those come first
+            if asking:
+                names.append(b.column(0).slice(0, asking))
+                x.append(units(b.column(1).slice(0, asking)))
+            if asking == b.num_rows or not x:
+                continue
+            if found is None:
+                found = Nearest(np.concatenate([a.to_numpy(zero_copy_only=False) for a in names]), np.concatenate(x), k)
+            mine, y = b.column(0).slice(asking), units(b.column(1).slice(asking))
+            targets.append(mine)
+            mine, lo = mine.to_numpy(zero_copy_only=False), 0
+            while lo < len(y):
+                found.meet(first + lo, mine[lo : lo + step], y[lo : lo + step])
+                lo, step = lo + step, min(2 * step, TARGET_ROWS)
+            first += len(y)
+        if found is None:
+            return
+        targets = pa.chunked_array(targets).combine_chunks()
+        row, nth = np.nonzero(found.score > -np.inf)
+        who, score = found.who[row, nth], found.score[row, nth]
+        if (found.names[1:] == found.names[:-1]).any():  # several vectors of one subject have k targets together
+            of = np.concatenate([[0], np.cumsum(found.names[1:] != found.names[:-1])])[row]
+            order = np.lexsort((who, -score, of))
+            order = order[np.arange(len(of)) - np.searchsorted(of, of) < k]
+            row, who, score = row[order], who[order], score[order]
+        for lo in range(0, len(row), 1 << 16):
+            at = slice(lo, lo + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(found.names[row[at]], pa.string()), targets.take(pa.array(who[at])), pa.array(score[at])], ["source", "target", "similarity"])
+
+    found = dealt.select("s", "vec", "task", "target").mapInArrow(compare, "source string, target string, similarity double")
+    if slices == 1:
+        return found
     order = Window.partitionBy("source").orderBy(F.desc("similarity"), "target")
     return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
 

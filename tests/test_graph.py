@@ -256,6 +256,31 @@ def test_neighbour_graph(spark):
     assert vector.edge_triples(edges).where(F.col("p") == vector.DESCEND).count() == edges.where("type = 'vertical'").count()
 
 
+def test_neighbours_of_many_blocks_and_slices(spark):
+    """Equal vectors, and ones that single precision can't tell apart; one task's rows are its block's k best, and no pair of blocks is a group."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.standard_normal((60, 6)), 5, axis=0)
+    x[::3] += 1e-8 * rng.standard_normal((100, 6))
+    x[7] = 0
+    names = [e(f"v{i:03}") for i in range(300)]
+    df = spark.createDataFrame(list(zip(names, x.tolist(), strict=True)), "s string, vec array<double>").repartition(3)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    u = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+    want = set()
+    for i in range(300):
+        sim = (u[i] * u).sum(1)
+        sim[i] = -9
+        want |= {(names[i], names[j]) for j in np.lexsort((np.arange(300), -sim))[:7]}
+    for slice_rows in (1 << 20, 110):
+        found = vector.nearest_neighbours(df, 7, block_rows=40, slice_rows=slice_rows)
+        assert "CoGroup" not in found._jdf.queryExecution().toString()
+        assert {(r["source"], r["target"]) for r in found.collect()} == want
+    assert vector.nearest_neighbours(df.limit(1), 7).count() == vector.nearest_neighbours(df.limit(0), 7).count() == 0
+    assert vector.nearest_neighbours(df.limit(4), 7).count() == 12
+
+
 def test_wide_tables_of_more_sets_than_the_driver_takes(spark):
     rows = []
     for i in range(36):  # each lacks one property of twelve

@@ -155,5 +155,7 @@ def proximity_graph(vectors: DataFrame, m: int = 16, layers: int = 2) -> DataFra
 
 def edge_triples(graph: DataFrame) -> DataFrame:
     """The proximity graph as triples of the three predicates."""
-    kind = F.when(F.col("type") == "horizontal", HORIZONTAL).otherwise(DESCEND)
-    return graph.select(F.col("source").alias("s"), F.explode(F.array(F.lit(NEIGHBOUR), kind)).alias("p"), F.col("target").alias("o")).distinct()
+    flat = F.col("type") == "horizontal"
+    pairs = graph.groupBy("source", "target").agg(F.max(flat).alias("flat"), F.max(~flat).alias("down"))
+    kinds = F.array_compact(F.array(F.lit(NEIGHBOUR), F.when(F.col("flat"), HORIZONTAL), F.when(F.col("down"), DESCEND)))
+    return pairs.select(F.col("source").alias("s"), F.explode(kinds).alias("p"), F.col("target").alias("o"))

@@ -281,6 +281,16 @@ def test_neighbours_of_many_blocks_and_slices(spark):
     assert vector.nearest_neighbours(df.limit(4), 7).count() == 12
 
 
+def test_edge_triples_count_pairs_once(spark):
+    """A row a pair goes to the shuffle, not one a triple; pairs of both types have three predicates."""
+    graph = spark.createDataFrame([("a", "b", "horizontal"), ("a", "b", "horizontal"), ("a", "a", "vertical"), ("a", "c", "horizontal"), ("a", "c", "vertical")], "source string, target string, type string")
+    found = vector.edge_triples(graph)
+    h, d, n = vector.HORIZONTAL, vector.DESCEND, vector.NEIGHBOUR
+    assert sorted(map(tuple, found.collect())) == sorted([("a", n, "b"), ("a", h, "b"), ("a", n, "a"), ("a", d, "a"), ("a", n, "c"), ("a", h, "c"), ("a", d, "c")])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # exploded after the aggregate
+
+
 def test_wide_tables_of_more_sets_than_the_driver_takes(spark):
     rows = []
     for i in range(36):  # each lacks one property of twelve

@@ -13,6 +13,16 @@ from ..sources.mapping import Table
 from .solutions import Kind, Solutions, companion, width
 
 
+#: Triples that a task makes of a table's rows; more once there are MANY tasks.
+TASK_TRIPLES, MANY = 500_000, 200
+
+
+def dealt(rows: DataFrame, t: Table, each: int) -> DataFrame:
+    """Rows of a table that become `each` triples, dealt out by key, so that a large row group isn't unpivoted, and its triples told apart, by one task."""
+    n = -(-t.df.count() * each // TASK_TRIPLES)
+    return rows.repartition(max(min(n, MANY), n // 16), *t.key) if n > 1 else rows
+
+
 class Graph:
     def __init__(self, triples: DataFrame | None = None, tables: list[Table] | None = None):
         """triples: s, p, o; a set."""
@@ -60,7 +70,7 @@ class Graph:
             if o is not None:
                 where = where & reduce(lambda a, b: a | b, (t.given(p, o) for p in t.objects))
             cells = F.array(*(F.struct(F.lit(p).alias("p"), x.alias("o")) for p, x in t.objects.items()))
-            parts.append(t.df.where(where).select(t.subject.alias("s"), F.explode(cells).alias("c")).select("s", "c.p", "c.o").where("s IS NOT NULL AND o IS NOT NULL"))
+            parts.append(dealt(t.df.where(where), t, len(t.objects)).select(t.subject.alias("s"), F.explode(cells).alias("c")).select("s", "c.p", "c.o").where("s IS NOT NULL AND o IS NOT NULL"))
         if self.stored is not None:
             parts.append(self.stored.select("s", "p", "o"))
         rows = reduce(DataFrame.unionByName, parts)

@@ -291,6 +291,22 @@ def test_edge_triples_count_pairs_once(spark):
     assert plan.index("Generate") < plan.index("Aggregate")  # exploded after the aggregate
 
 
+def test_large_tables_are_dealt_out_before_they_are_unpivoted(spark, monkeypatch, tmp_path):
+    """One row group makes one task's rows; its triples must not."""
+    from quillgraph.operators import graph
+    from quillgraph.sources.mapping import Table
+
+    path = str(tmp_path / "t.parquet")
+    spark.range(900).select(F.col("id").alias("k"), F.concat(F.lit("n"), "id").alias("name")).coalesce(1).write.parquet(path)
+    table = Table(spark.read.parquet(path), "thing", ["k"])
+    whole = set(map(tuple, Graph(tables=[table]).triples().collect()))
+    monkeypatch.setattr(graph, "TASK_TRIPLES", 300)
+    found = Graph(tables=[table]).triples()
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 9 and max(sizes) < 600
+    assert len(whole) == 2700 and set(map(tuple, found.collect())) == whole
+
+
 def test_wide_tables_of_more_sets_than_the_driver_takes(spark):
     rows = []
     for i in range(36):  # each lacks one property of twelve

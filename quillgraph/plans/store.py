@@ -70,7 +70,7 @@ class Store:
         folder = f"triples-{uuid.uuid4().hex}"
         rows = triples.select("s", "p", "o").withColumn("b", bucket(F.col("p")))
         # a predicate's rows spread over tasks by subject, so that a common one isn't written by one task
-        rows = rows.repartition("b", F.pmod(F.xxhash64("s"), F.lit(8))).sortWithinPartitions("b", "p", "s")
+        rows = rows.repartition("b", F.pmod(F.xxhash64("s"), F.lit(64))).sortWithinPartitions("b", "p", "s")
         rows.write.partitionBy("b").option("compression", "zstd").parquet(f"{self.path}/{folder}")
         there = self.spark.read.schema("s string, p string, o string, b int").parquet(f"{self.path}/{folder}").select("b").distinct().collect()
         return {r["b"]: [folder] for r in there}

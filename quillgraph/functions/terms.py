@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,30 +90,83 @@ def _one(piece: str) -> str:
     return ESCAPED.get(piece[1:], piece) if piece[0] == "\\" else piece
 
 
+MARK = "\u0001"  # stands for a decoded backslash, in texts without it
+FEW = 32
+
+
 def unescape(text: Column) -> Column:
     """Escapes decoded from left to right; what is no escape stays as it is."""
+    return bound(text, lambda x: F.when(~F.contains(x, F.lit("\\")), x).when(reduce(lambda a, b: a | b, (F.contains(x, F.lit(m)) for m in (MARK, "\\u0001", "\\U00000001"))), _by_pieces(x)).otherwise(_by_kinds(x)))
+
+
+def bound(x: Column, f) -> Column:
+    """f(x), with x evaluated once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def put(text: Column, old: str, new: str) -> Column:
+    """replace(), which is slow, where there is something to replace."""
+    return bound(text, lambda x: F.when(F.contains(x, F.lit(old)), F.replace(x, F.lit(old), F.lit(new))).otherwise(x))
+
+
+def _by_kinds(text: Column) -> Column:
+    """Each kind of escape replaced in the whole text: pairs of backslashes first, so that any that is left begins an escape. Texts with
+    more than FEW different escapes by number, or with hexadecimal digits so escaped, go by pieces."""
+
+    def number(x: Column) -> Column:
+        return bound(_number(x), lambda c: F.when(c == "\\", F.lit(MARK)).otherwise(c))
 
+    out = put(text, "\\\\", MARK)
+    for c, plain in ESCAPED.items():
+        out = out if c == "\\" else put(out, "\\" + c, plain)
+    back = lambda x: put(x, MARK, "\\")
+    found = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(f"(?s){PAIR}|{BASIC}|{LONG}"), F.lit(0)))
+    # a decoded digit might make an escape of what looked like one before it and was none
+    plain = lambda known: (F.size(known) <= FEW) & ~F.exists(known, lambda e: _number(e).rlike("[0-9A-Fa-f]"))
+    each = lambda x: bound(found(x), lambda known: F.when(plain(known), back(F.aggregate(known, x, lambda y, e: F.replace(y, e, number(e))))).otherwise(_by_pieces(text)))
+    return bound(out, lambda x: F.when(F.contains(x, F.lit("\\u")) | F.contains(x, F.lit("\\U")), each(x)).otherwise(back(x)))
+
+
+def _number(x: Column) -> Column:
+    """The character of an escape by number."""
+    basic = F.decode(F.unhex(F.replace(x, F.lit("\\u"), F.lit(""))), "UTF-16BE")
+    return F.when(x.startswith("\\u"), basic).otherwise(F.decode(F.unhex(F.substring(x, F.lit(3), F.lit(8))), "UTF-32"))
+
+
+def _by_pieces(text: Column) -> Column:
     def one(x: Column) -> Column:
         out = F.when(~x.startswith("\\"), x)
         for c, plain in ESCAPED.items():
             out = out.when(x == "\\" + c, F.lit(plain))
-        out = out.when(x.startswith("\\u") & (F.length(x) > 2), F.decode(F.unhex(F.replace(x, F.lit("\\u"), F.lit(""))), "UTF-16BE"))
-        return out.when(x.startswith("\\U") & (F.length(x) > 2), F.decode(F.unhex(F.substring(x, F.lit(3), F.lit(8))), "UTF-32")).otherwise(x)
+        return out.when((x.startswith("\\u") | x.startswith("\\U")) & (F.length(x) > 2), _number(x)).otherwise(x)
 
-    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), one), "")).otherwise(text)
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), one), "")
+
+
+#: What must be escaped in literals, in this order.
+SPELLED = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"))
 
 
 def escape(text: Column) -> Column:
-    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+    for a, b in SPELLED:
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
 
 
+def inside(t: Column) -> Column:
+    """What is between a literal's quotes."""
+    return F.when(t.endswith('"'), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(F.regexp_extract(t, LITERAL, 1))
+
+
 def canonical(t: Column) -> Column:
     """A term as this library spells it: only the characters that must be are escaped, so equal terms are equal texts."""
-    mark, kind = F.regexp_extract(t, LITERAL, 2), F.regexp_extract(t, LITERAL, 3)
+    plain = t.endswith('"')
+    mark, kind = (F.when(plain, "").otherwise(F.regexp_extract(t, LITERAL, i)) for i in (2, 3))
     tail = F.when(mark != "", F.concat(F.lit("@"), mark)).when(kind != "", F.concat(F.lit("^^<"), kind, F.lit(">"))).otherwise("")
-    literal = F.concat(F.lit('"'), escape(unescape(F.regexp_extract(t, LITERAL, 1))), F.lit('"'), tail)
+    text = unescape(inside(t))
+    for a, b in SPELLED:
+        text = put(text, a, b)
+    literal = F.concat(F.lit('"'), text, F.lit('"'), tail)
     return F.when(~F.contains(t, F.lit("\\")), t).when(is_literal(t), literal).when(is_iri(t), unescape(t)).otherwise(t)
 
 
@@ -171,7 +225,7 @@ def lex(t: Column | Typed) -> Column:
     if isinstance(t, Typed) and t.kind == "string":
         return t.value
     t = term_of(t)
-    return F.when(is_literal(t), unescape(F.regexp_extract(t, LITERAL, 1))).when(is_iri(t), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
+    return F.when(is_literal(t), unescape(inside(t))).when(is_iri(t), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
 
 
 def lang(t: Column) -> Column:

@@ -26,12 +26,14 @@ def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def _parsed(lines: DataFrame) -> DataFrame:
-    """lines with s, p, o, g; s is empty where a line is no triple."""
+    """lines with s, p, o, g; s is empty where a line is no triple. Conditions on what generators make stay above them, so a line is matched
+    and its terms are decoded once, whatever is asked of them."""
     first = F.regexp_replace("value", LINE, "$1\u0001$2\u0001$3\u0001$4")  # one pass; a line that doesn't match stays as it is
-    parts = lines.withColumn("__x", F.when(F.col("value").contains("\u0001"), F.array(F.lit(""))).otherwise(F.split(first, "\u0001")))
+    match = F.when(F.col("value").contains("\u0001"), F.array(F.lit(""))).otherwise(F.split(first, "\u0001"))
+    parts = lines.select("*", F.explode(F.array(match)).alias("__x"))
     part = lambda i: F.when(F.size("__x") == 4, F.col("__x")[i]).otherwise("")
-    g = F.nullif(part(3), F.lit(""))
-    return parts.select(*lines.columns, T.canonical(part(0)).alias("s"), T.canonical(part(1)).alias("p"), T.canonical(part(2)).alias("o"), g.alias("g"))
+    terms = [T.bound(part(i), T.canonical).alias(c) for i, c in enumerate("spo")]
+    return parts.select(*lines.columns, F.inline(F.array(F.struct(*terms, F.nullif(part(3), F.lit("")).alias("g")))))
 
 
 def malformed_lines(lines: DataFrame) -> DataFrame:

@@ -307,6 +307,22 @@ def test_large_tables_are_dealt_out_before_they_are_unpivoted(spark, monkeypatch
     assert len(whole) == 2700 and set(map(tuple, found.collect())) == whole
 
 
+def test_escapes_by_kinds_are_those_by_pieces(spark):
+    r = random.Random(3)
+    parts = ["\\", "\\\\", "n", "\\n", "\\u005C", "\\U0000005C", "\\u00E9", "\\U0001F600", "\\uD83D\\uDE00", "\\uD83D", '\\"', "\\z", "a", "é", "\n", "\\u0001", "\u0001", "\\u12", "\\u0034", "\\U00110000"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(2000)] + ["\\u12\\u0033\\u0034\\u1234", "".join(f"\\u{0x4E00 + i:04X}" for i in range(40))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.where(~T.unescape(F.col("t")).eqNullSafe(F.when(F.contains("t", F.lit("\\")), T._by_pieces(F.col("t"))).otherwise(F.col("t")))).count() == 0
+
+
+def test_lines_are_matched_once(spark):
+    """A condition on a term isn't a second parse below the first."""
+    df = spark.createDataFrame([('<http://a> <http://p> "x" .',), ('<http://a> <http://q> "y" .',)], "value string")
+    found = formats.parse_lines(df).where(F.col("p") == "<http://p>")
+    assert [r["o"] for r in found.collect()] == ['"x"']
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+
+
 def test_wide_tables_of_more_sets_than_the_driver_takes(spark):
     rows = []
     for i in range(36):  # each lacks one property of twelve

@@ -18,9 +18,12 @@ import math
 import random
 import re
 import string
+import sys
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 
 LOOKS = re.compile(r"[0-9]{2}|[+/_]|[A-Za-z]{24}")  # a feature, and where stretches are trained on
 TOKEN = re.compile(r"[^\s=:\"'`,;(){}<>\[\]|]+|[=:]")
+KEY_LIKE = TOKEN  # what runs hold: every token
 CUE = re.compile(r"(?ai:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|key|credentials?|auth|bearer|private)")
 STATES = 3  # O, B, I
 EDGE = 2
@@ -76,14 +80,24 @@ def joined(spans: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> s
     return ",".join(f"{k}:{s}:{e}" for s, _, e, k in found)
 
 
+LENGTHS = (4, 8, 12, 16, 20, 24, 32, 40, 64, 1 << 60)
+
+
 def token_features(token: str) -> list[str]:
-    kinds = "".join(k for k, p in (("a", r"[a-z]"), ("A", r"[A-Z]"), ("0", r"[0-9]"), ("-", r"[^a-zA-Z0-9]")) if re.search(p, token))
     n = len(token)
+    kinds = "".join(k for k, p in (("a", r"[a-z]"), ("A", r"[A-Z]"), ("0", r"[0-9]"), ("-", r"[^a-zA-Z0-9]")) if re.search(p, token))
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(token[:256]).values()) if n <= 256 else 9
     digits = sum(c.isdigit() for c in token) / n
     alphabet = "hex" if re.fullmatch(r"[0-9a-f]+", token) else "HEX" if re.fullmatch(r"[0-9A-F]+", token) else "other"
-    length = next(k for k in (4, 8, 12, 16, 20, 24, 32, 40, 64, 1 << 60) if n <= k)
-    return ["bias", f"kinds={kinds}", f"length={length}", f"kinds,length={kinds},{length}", f"entropy={int(entropy)}", f"digits={int(digits * 4)}", f"alphabet={alphabet}", f"lead={token[:4] if token[:4].isupper() else ''}"]
+    return [*shape_features(kinds, next(k for k in LENGTHS if n <= k), int(entropy + 1e-9), int(digits * 4), alphabet), f"lead={lead(token)}"]
+
+
+def shape_features(kinds: str, length: int, entropy: int, digits: int, alphabet: str) -> list[str]:
+    return ["bias", f"kinds={kinds}", f"length={length}", f"kinds,length={kinds},{length}", f"entropy={entropy}", f"digits={digits}", f"alphabet={alphabet}"]
+
+
+def lead(token: str) -> str:
+    return token[:4] if token[:4].isupper() else ""
 
 
 def word(token: str | None) -> str:
@@ -104,29 +118,41 @@ def file_features(text: str) -> list[str]:
 
 def runs(text: str, file: list[str] | None = None) -> Iterator[list[tuple[int, int, list[str]]]]:
     """All tokens, as one run: start, end (without a final stop) and features of each. file: features of the whole file, if text is a part."""
-    tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)]
-    file = file or file_features(text)
-    words = ["none", "none", *(word(t) for _, _, t in tokens), "none"]
+    tokens = tokens_of(text)
     if tokens:
-        yield [(s, s + len(t.rstrip(".")) or e, [*token_features(t), *near_features(words[i], words[i + 1], words[i + 3]), *file]) for i, (s, e, t) in enumerate(tokens)]
+        yield [(s, e, f) for (s, e, _), f in zip(tokens, features_of(tokens, 0, len(tokens), file or file_features(text)), strict=True)]
+
+
+def tokens_of(text: str) -> list[tuple[int, int, str]]:
+    """Start, end (without a final stop) and text of each token."""
+    return [(m.start(), m.start() + len(m[0].rstrip(".")) or m.end(), m[0]) for m in TOKEN.finditer(text)]
+
+
+def features_of(tokens: list[tuple[int, int, str]], lo: int, hi: int, file: list[str]) -> list[list[str]]:
+    """The features of tokens lo to hi."""
+    words = [word(tokens[i][2] if 0 <= i < len(tokens) else None) for i in range(lo - 2, hi + 1)]
+    return [[*token_features(tokens[i][2]), *near_features(words[i - lo], words[i - lo + 1], words[i - lo + 3]), *file] for i in range(lo, hi)]
 
 
 def stretches(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[list[list[str]], list[int]]]:
     """Parts of a text's run to be trained on, of STRETCH tokens at most, with labels; what is next to them is O or cut off, so that they are
     chains of their own."""
-    for run in runs(text):
-        y = np.array(labels(run, spans))
-        hot = np.array([bool(LOOKS.search(text[s:e])) for s, e, _ in run]) | (y > 0)
-        near = np.convolve(hot, np.ones(2 * EDGE + 1, int))[EDGE:-EDGE] > 0
-        rest = np.arange(len(run)) // (2 * EDGE)
-        picked = {k for k in set(rest[~near].tolist()) if zlib.crc32(text[run[k * 2 * EDGE][0] : run[k * 2 * EDGE][1]].encode() + b"%d" % k) % PLAIN == 0}
-        near |= np.array([k in picked for k in rest.tolist()])
-        turn = np.flatnonzero(np.diff(near, prepend=False, append=False))
-        for begin, end in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True):
-            for lo in range(begin, end, STRETCH):
-                hi = min(end, lo + STRETCH)
-                part = y[lo:hi].tolist()
-                yield [f for _, _, f in run[lo:hi]], [1, *part[1:]] if part[0] == 2 else part
+    run = tokens_of(text)
+    if not run:
+        return
+    file = file_features(text)
+    y = np.array(labels(run, spans))
+    hot = np.array([bool(LOOKS.search(text[s:e])) for s, e, _ in run]) | (y > 0)
+    near = np.convolve(hot, np.ones(2 * EDGE + 1, int))[EDGE:-EDGE] > 0
+    rest = np.arange(len(run)) // (2 * EDGE)
+    picked = {k for k in set(rest[~near].tolist()) if zlib.crc32(text[run[k * 2 * EDGE][0] : run[k * 2 * EDGE][1]].encode() + b"%d" % k) % PLAIN == 0}
+    near |= np.array([k in picked for k in rest.tolist()])
+    turn = np.flatnonzero(np.diff(near, prepend=False, append=False))
+    for begin, end in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True):
+        for lo in range(begin, end, STRETCH):
+            hi = min(end, lo + STRETCH)
+            part = y[lo:hi].tolist()
+            yield features_of(run, lo, hi, file), [1, *part[1:]] if part[0] == 2 else part
 
 
 #: What a made-up secret may consist of.
@@ -187,10 +213,11 @@ class Field:
 
     def scores(self, text: str, tokens: list[str]) -> np.ndarray:
         """The weights of each token's labels."""
-        if self.known is None or len(self.known) > CACHED:
-            self.known = Known(self)
+        if self.known is None:
             self.near = np.array([[[self.weigh(near_features(a, b, c)) for c in NEAR] for b in NEAR] for a in NEAR])
-        at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        if self.known is None or len(self.known.places) > CACHED:
+            self.known = Known(self, self.known.shapes if self.known else {})
+        at = self.known.rows(tokens)
         kinds = np.zeros(len(tokens) + 3, np.int64)
         kinds[2:-1] = self.known.kinds[at]
         return self.known.weights[at] + self.near[kinds[:-3], kinds[1:-2], kinds[3:]] + self.weigh(file_features(text))
@@ -226,25 +253,98 @@ class Field:
         return found
 
 
-class Known(dict):
-    """token -> its row in weights and kinds, made when first asked for."""
-
-    def __init__(self, field: Field):
-        self.field, self.weights, self.kinds = field, np.zeros((1024, STATES)), np.zeros(1024, np.int64)
-
-    def __missing__(self, token: str) -> int:
-        i = len(self)
-        if i == len(self.kinds):
-            self.weights, self.kinds = np.concatenate([self.weights, np.zeros_like(self.weights)]), np.concatenate([self.kinds, np.zeros_like(self.kinds)])
-        self.weights[i], self.kinds[i] = self.field.weigh(token_features(token)), NEAR.index(word(token))
-        self[token] = i
-        return i
-
-
-def labels(run: list[tuple[int, int, list[str]]], spans: list[tuple[int, int]]) -> list[int]:
+#: Bits of a character: a-z, A-Z, 0-9, others; not of lower-case hex, not of upper-case hex. By code, the last one for all beyond ASCII.
+SIGNS = np.array([(1 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else 4 if "0" <= c <= "9" else 8) | 16 * (c not in "0123456789abcdef") | 32 * (c not in "0123456789ABCDEF") for c in map(chr, range(129))])
+
+
+class Known:
+    """Rows of weights and kinds of tokens, made when first asked for, for all new tokens of a text at once. A token's weights are those of its
+    shape, of which there are few, and of its lead."""
+
+    def __init__(self, field: Field, shapes: dict[int, np.ndarray]):
+        self.field, self.shapes = field, shapes
+        self.places: dict[str, int] = {}
+        self.weights, self.kinds = np.zeros((1024, STATES)), np.zeros(1024, np.int64)
+
+    def rows(self, tokens: list[str]) -> np.ndarray:
+        new = list(set(tokens).difference(self.places))
+        if new:
+            first, end = len(self.places), len(self.places) + len(new)
+            while end > len(self.kinds):
+                self.weights, self.kinds = np.concatenate([self.weights, np.zeros_like(self.weights)]), np.concatenate([self.kinds, np.zeros_like(self.kinds)])
+            self.weights[first:end], self.kinds[first:end] = self.weigh(new), word_kinds(new)
+            self.places.update(zip(new, range(first, end), strict=True))
+        return np.fromiter(map(self.places.__getitem__, tokens), np.int64, len(tokens))
+
+    def weigh(self, tokens: list[str]) -> np.ndarray:
+        """The weights of token_features of each."""
+        codes, bits = shapes(tokens)
+        some, which = np.unique(codes, return_inverse=True)
+        for code in some.tolist():
+            if code not in self.shapes:
+                self.shapes[code] = self.field.weigh(shape_features(*shape_of(code)))
+        out = np.array([self.shapes[code] for code in some.tolist()])[which]
+        zero = np.zeros(STATES)
+        out += self.field.emit.get("lead=", zero)
+        for i in np.flatnonzero(bits & 10).tolist():  # some letter may be upper case
+            if name := lead(tokens[i]):
+                out[i] = self.shapes[int(codes[i])] + self.field.emit.get(f"lead={name}", zero)
+        return out
+
+
+@cache
+def all_digits() -> np.ndarray:
+    """By code, whether a character is a digit."""
+    return np.array([chr(c).isdigit() for c in range(sys.maxunicode + 1)])
+
+
+def shapes(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for what shape_features tell of each token (see shape_of), and the bits of its signs."""
+    n = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    first = np.cumsum(n) - n
+    chars = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    bits = np.bitwise_or.reduceat(SIGNS[np.minimum(chars, 128)], first)
+    digits = (np.add.reduceat(all_digits()[chars].astype(np.int64), first) / n * 4).astype(np.int64)
+    pairs = np.repeat(np.arange(len(tokens)), n) << 21 | chars
+    pairs.sort()
+    turn = np.flatnonzero(np.diff(pairs, prepend=-1))
+    owner = pairs[turn] >> 21
+    share = np.diff(turn, append=len(pairs)) / n[owner]
+    entropy = np.where(n <= 256, (1e-9 - np.bincount(owner, share * np.log2(share), len(tokens))).astype(np.int64), 9)
+    alphabet = np.where(bits & 16 == 0, 0, np.where(bits & 32 == 0, 1, 2))
+    length = np.searchsorted(LENGTHS, n)
+    return (((bits & 15) * 16 + length) * 16 + entropy) * 16 + digits * 3 + alphabet, bits
+
+
+def shape_of(code: int) -> tuple[str, int, int, int, str]:
+    code, last = divmod(code, 16)
+    code, entropy = divmod(code, 16)
+    bits, length = divmod(code, 16)
+    return "".join(k for i, k in enumerate("aA0-") if bits >> i & 1), LENGTHS[length], entropy, last // 3, ("hex", "HEX", "other")[last % 3]
+
+
+def word_kinds(tokens: list[str]) -> np.ndarray:
+    """The places in NEAR of each token's word(); no token comes twice."""
+    text = "\n".join(tokens)
+    starts = np.cumsum([0, *(len(t) + 1 for t in tokens[:-1])])
+    out = np.full(len(tokens), NEAR.index("plain"))
+    for pattern, kind in ((LOOKS, "key-like"), (CUE, "cue")):  # of both, the cue counts
+        at = np.array([m.start() for m in pattern.finditer(text)], np.int64)
+        out[np.searchsorted(starts, at, "right") - 1] = NEAR.index(kind)
+    for sign in "=:":
+        if sign in tokens:
+            out[tokens.index(sign)] = NEAR.index(sign)
+    return out
+
+
+def labels(run: list[tuple], spans: list[tuple[int, int]]) -> list[int]:
     """B where a pattern's span begins in or before the token and covers some of it, I where it goes on, O elsewhere. Of an assignment (name,
     sign, value), name and sign are O: the value is the secret."""
-    hits = [next((x for x in spans if x[0] < e and x[1] > s), None) for s, e, _ in run]
+    starts, ends = [r[0] for r in run], [r[1] for r in run]
+    hits: list[tuple[int, int] | None] = [None] * len(run)
+    for x in reversed(spans):  # the first one counts
+        for i in range(bisect_right(ends, x[0]), bisect_left(starts, x[1])):
+            hits[i] = x
     names = [i for i in range(len(run) - 2) if hits[i] and hits[i] == hits[i + 1] == hits[i + 2] and (i == 0 or hits[i - 1] != hits[i]) and run[i + 1][1] - run[i + 1][0] == 1]
     for i in names:
         hits[i] = hits[i + 1] = None

@@ -172,3 +172,45 @@ def test_training_stretches_are_short():
     parts = [*secrets.stretches(text, spans), *secrets.variations(text)]
     assert parts and all(len(x) == len(y) <= secrets.STRETCH and y[0] != 2 for x, y in parts)
     assert secrets.variations(text).__next__() == secrets.variations(text).__next__()
+
+
+def small_field():
+    samples = []
+    for i in range(60):
+        text = f"word {i}{i} and password={hashlib.sha256(str(i).encode()).hexdigest()[:24]} then ABCD{i} plain 2024-01-{i:02d} words"
+        base = [s for x in secrets.base_spans(text).values() for s in x]
+        samples += [([f for _, _, f in run], secrets.labels(run, base)) for run in secrets.runs(text)]
+    return secrets.train(samples)
+
+
+FIELD = small_field()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("aAzZfF09é٣²ⅧK日+/_-.,=: \n\"'İ\ud800", max_size=30) | PARTS, max_size=40).map(" ".join))
+def test_weights_of_all_tokens_at_once_are_those_of_their_features(text):
+    tokens = secrets.TOKEN.findall(text)
+    got = FIELD.scores(text, tokens).tolist() if tokens else []
+    assert got == [(FIELD.weigh(secrets.token_features(t)) + FIELD.weigh(n) + FIELD.weigh(secrets.file_features(text))).tolist() for t, n in zip(tokens, near_of(tokens))]
+
+
+def near_of(tokens):
+    w = ["none", "none", *map(secrets.word, tokens), "none"]
+    return [secrets.near_features(w[i], w[i + 1], w[i + 3]) for i in range(len(tokens))]
+
+
+def test_scan_of_many_distinct_tokens_takes_no_step_of_python_a_feature(monkeypatch):
+    def fail(token):
+        raise AssertionError("features spelled out")
+
+    FIELD.known = None
+    monkeypatch.setattr(secrets, "token_features", fail)
+    rng = random.Random(3)
+    FIELD.spans(" ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(20_000)))
+
+
+def test_training_spells_out_picked_tokens_only(monkeypatch):
+    made, plain = [], secrets.token_features
+    monkeypatch.setattr(secrets, "token_features", lambda t: made.append(t) or plain(t))
+    parts = list(secrets.stretches(" ".join(f"plain{'abcdefgh'[i % 8]}" for i in range(4000)), []))
+    assert len(made) == sum(len(y) for _, y in parts) < 1000

@@ -13,6 +13,7 @@ equal ids are separate documents; an empty table gives no pieces; other columns
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -45,16 +46,25 @@ def tokenizer(path: str):
 SPELLING = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
 
+#: Characters beside which others are rare: Latin letters and signs and common punctuation, which normalisation only lowers, each apart.
+LATIN = r"\x00-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e"
+OTHERS = re.compile(f"[^{LATIN}]")
+#: What the pre-tokenizer cuts text of such characters into, in lower case: runs of letters, single numbers, and runs of others but white space.
+LETTER, NUMBER, BLANK = r"a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r\x20\x85\xa0"
+PIECE = re.compile(f"[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBER}]|[^{LETTER}{NUMBER}{BLANK}]+")
+
+
 class Words(dict):
-    """The ids of words, as little-endian unsigned 32-bit numbers; encoded when first asked for. When the cache is
+    """The ids of words and of pieces of text, as little-endian unsigned 32-bit numbers; encoded when first asked for. When the cache is
     full, words that it lacks (rare ones: frequent words came early) are encoded each time."""
 
     def __init__(self, path: str):
         self.encode, self.model, self.size = tokenizer(path).encode, tokenizer(path).model.tokenize, 0
+        self.added = [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]  # told before anything is cut
 
     def __missing__(self, w: str) -> bytes:
-        if w.isalpha() and w.islower() and w == w.lower() and is_normalized("NFC", w):  # one piece, as it is
-            ids = array("I", [t.id for t in self.model(w.encode().decode("latin-1").translate(SPELLING))]).tobytes()
+        if w.isalpha() and w.islower() and w == w.lower() and (w.isascii() or is_normalized("NFC", w)):  # one piece, as it is
+            ids = array("I", [t.id for t in self.model(w if w.isascii() else w.encode().decode("latin-1").translate(SPELLING))]).tobytes()
         elif w.isascii() and w.isalpha():  # the normaliser lowers letters
             ids = self[w.lower()]
         elif w[-1:] in (".", ",") and w[-2:-1].lower().isalpha():  # the pre-tokenizer cuts behind a letter
@@ -66,6 +76,12 @@ class Words(dict):
             self.size += len(w) + len(ids) + 200  # two objects and an entry
         return ids
 
+    def cut(self, text: str) -> list[str]:
+        """Parts of a text to be encoded apart: pieces, or words between blanks where it has rarer characters or added tokens."""
+        if OTHERS.search(text) or any(a in text for a in self.added):
+            return text.replace("\n", " ").replace("\t", " ").split(" ")
+        return PIECE.findall(text.lower())
+
 
 known_words = cache(Words)  # of this worker
 
@@ -73,10 +89,10 @@ known_words = cache(Words)  # of this worker
 def encode_all(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text, equal to the tokenizer's over the whole text.
 
-    For a tokenizer that lowers letters and whose pre-tokenizer splits at white space, drops it, and parts runs of letters from
-    other signs: words between blanks, line feeds and tabs are encoded apart, and the cached ones once."""
-    known = known_words(path).__getitem__
-    return [b"".join(map(known, t.replace("\n", " ").replace("\t", " ").split(" "))) for t in texts]
+    For a tokenizer that lowers letters and whose pre-tokenizer splits at white space, drops it, and parts runs of letters, single numbers and runs of
+    other signs: these, or words between blanks, line feeds and tabs, are encoded apart, and the cached ones once."""
+    words = known_words(path)
+    return [b"".join(map(words.__getitem__, words.cut(t))) for t in texts]
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:

@@ -262,3 +262,23 @@ def test_pipeline_stages(spark):
         else:
             assert {i for i, _ in b} <= {i for i, _ in a} and max(Counter(b).values()) <= 2
     assert len([f for _, f in corpus_pipeline.STAGES]) == 5 and corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_pieces_of_latin_text_have_the_ids_of_the_whole_text():
+    path = queries.tokenizer_path()
+    whole = packing.tokenizer(path)
+    signs = [chr(i) for i in range(0x2100) if not packing.OTHERS.match(chr(i))]
+    texts = [f"{c}{x}{c}{y}A{c}" for c in signs for x, y in (("a", "'s"), ("É1", ". "), ("'", "Œ"))] + ["a<|endoftext|>b", "é ﬁ Σας K ＡＢ", "x y\u0085z", "’tis “so”…"]
+    for x, data in zip(texts, packing.encode_all(texts, path), strict=True):
+        assert np.frombuffer(data, np.uint32).tolist() == whole.encode(x, add_special_tokens=False).ids, x
+
+
+def test_words_with_signs_are_not_encoded_one_by_one(monkeypatch):
+    path = queries.tokenizer_path()
+    words = packing.Words(path)
+    calls, encode = [], words.encode
+    monkeypatch.setattr(words, "encode", lambda *a, **k: calls.append(a) or encode(*a, **k))
+    monkeypatch.setattr(packing, "known_words", lambda path: words)
+    rng = random.Random(4)
+    packing.encode_all([f"({''.join(rng.choices('abcé', k=8))}) Été's {i}" for i in range(500)], path)
+    assert len(calls) <= 20  # the signs and digits

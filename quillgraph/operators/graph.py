@@ -63,7 +63,11 @@ class Graph:
         """Everything as s, p, o."""
         return self._triples()
 
-    def _triples(self, s: str | None = None, o: str | None = None) -> DataFrame:
+    def repeated_triples(self) -> DataFrame:
+        """As triples(), but some perhaps more than once: for what tells them apart itself."""
+        return self._triples(apart=False)
+
+    def _triples(self, s: str | None = None, o: str | None = None, apart: bool = True) -> DataFrame:
         parts = []
         for t in self.tables:
             where = F.lit(True) if s is None else t.given(None, s)
@@ -74,7 +78,7 @@ class Graph:
         if self.stored is not None:
             parts.append(self.stored.select("s", "p", "o"))
         rows = reduce(DataFrame.unionByName, parts)
-        return rows.distinct() if len(parts) > 1 else rows
+        return rows.distinct() if apart and len(parts) > 1 else rows
 
     def find(self, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
         """Triples with these terms."""

@@ -145,22 +145,35 @@ def two_step_paths(triples: DataFrame) -> DataFrame:
     """first, second, roots, middles, fan_in: pairs of predicates that follow each other, how many roots and middle nodes they join,
     and roots a middle node. A fan-in above 3 means that middle nodes are shared, and a deep table would repeat them. What comes in to a
     node and what goes out of it are counted apart before they meet: a row a node and pair of predicates, however many edges."""
-    root_path, middles = _rooted(triples), _middles(triples)
-    roots = root_path.groupBy("first", "second").agg(F.countDistinct("s").alias("roots"))
-    return roots.join(middles, ["first", "second"]).select("first", "second", "roots", "middles", (F.col("uses") / F.col("middles")).alias("fan_in"))
+    steps = _steps(triples)
+    roots = _path_sets(steps).select(F.explode("paths").alias("path"), "nodes").groupBy("path.first", "path.second").agg(F.sum("nodes").alias("roots"))
+    return roots.join(_middles(steps), ["first", "second"]).select("first", "second", "roots", "middles", (F.col("uses") / F.col("middles")).alias("fan_in"))
 
 
-def _rooted(triples: DataFrame) -> DataFrame:
-    """s, first, second: the two-step paths of each root; a set."""
-    second = triples.select(F.col("s").alias("mid"), F.col("p").alias("second")).distinct()
-    return triples.select("s", F.col("p").alias("first"), F.col("o").alias("mid")).join(second, "mid").select("s", "first", "second").distinct()
+def _steps(triples: DataFrame) -> DataFrame:
+    """s, first, mid, seconds (sorted): each two-step path by its first triple, with all predicates of its middle node; repeated triples count here as often as
+    they are given. Triples are made once; literals and subjects that nothing leads to meet no join of nodes."""
+    facts = stage(triples.select("s", "p", F.when(~F.col("o").startswith('"'), F.col("o")).alias("o")), "steps")
+    links = facts.where("o IS NOT NULL").select("s", F.col("p").alias("first"), F.col("o").alias("mid"))
+    asked = facts.select(F.col("s").alias("mid"), "p").join(links.select("mid").distinct().hint("shuffle_hash"), "mid", "left_semi")
+    out = asked.distinct().groupBy("mid").agg(F.sort_array(F.collect_list("p")).alias("seconds"))
+    return stage(links.join(out, "mid"), "two_steps")
 
 
-def _middles(triples: DataFrame) -> DataFrame:
+def _path_sets(steps: DataFrame) -> DataFrame:
+    """paths (first, second; sorted, a set), nodes: how many roots have exactly these. Paths are spelled out for each kind of root only: roots
+    that have the same predicates to middle nodes of the same predicates."""
+    roots = steps.groupBy("s").agg(F.sort_array(F.collect_set(F.struct("first", "seconds"))).alias("steps"))
+    kinds = roots.groupBy("steps").agg(F.count(F.lit(1)).alias("nodes"))
+    paths = F.flatten(F.transform("steps", lambda x: F.transform(x["seconds"], lambda y: F.struct(x["first"].alias("first"), y.alias("second")))))
+    return kinds.select(F.sort_array(F.array_distinct(paths)).alias("paths"), "nodes").groupBy("paths").agg(F.sum("nodes").alias("nodes"))
+
+
+def _middles(steps: DataFrame) -> DataFrame:
     """first, second, middles, uses."""
-    into = triples.groupBy(F.col("o").alias("mid"), F.col("p").alias("first")).agg(F.count(F.lit(1)).alias("k"))
-    out = triples.select(F.col("s").alias("mid"), F.col("p").alias("second")).distinct()
-    return into.join(out, "mid").groupBy("first", "second").agg(F.count(F.lit(1)).alias("middles"), F.sum("k").alias("uses"))
+    into = steps.groupBy("mid", "first", "seconds").agg(F.countDistinct("s").alias("k"))
+    kinds = into.groupBy("first", "seconds").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
+    return kinds.select("first", F.explode("seconds").alias("second"), "n", "k").groupBy("first", "second").agg(F.sum("n").alias("middles"), F.sum("k").alias("uses"))
 
 
 def discover_paths(triples: DataFrame, similar: float = 0.8, core: float = 0.5, least_paths: int = 2, least_roots: int = 10, most_fan_in: float = 3.0, most: int = 10_000) -> DataFrame:
@@ -168,9 +181,10 @@ def discover_paths(triples: DataFrame, similar: float = 0.8, core: float = 0.5,
     least_paths don't count; groups merge as property sets do; a group has the paths of at least half its roots, and needs least_paths of
     them and least_roots * 4 roots. kept is false where middle nodes serve more than most_fan_in roots on average."""
     depth = 2
-    names = _rooted(triples).groupBy("s").agg(F.sort_array(F.collect_list(F.concat_ws(" ", "first", "second"))).alias("properties"))
-    sets = names.where(F.size("properties") >= least_paths).groupBy("properties").agg(F.count(F.lit(1)).alias("nodes"))
-    fan = {f"{r['first']} {r['second']}": (r["middles"], r["uses"]) for r in _middles(triples).collect()}  # a row a pair of predicates
+    steps = _steps(triples)
+    names = F.sort_array(F.transform("paths", lambda x: F.concat_ws(" ", x["first"], x["second"])))
+    sets = _path_sets(steps).where(F.size("paths") >= least_paths).select(names.alias("properties"), "nodes")
+    fan = {f"{r['first']} {r['second']}": (r["middles"], r["uses"]) for r in _middles(steps).collect()}  # a row a pair of predicates
     rows = []
     for properties, members, more, by, _ in merged(sets, similar, most):
         roots = sum(n for _, n in members) + more

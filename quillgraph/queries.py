@@ -620,7 +620,7 @@ def T17_T18_path_groups(spark, d):
     t = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role").dropDuplicates(["conv_id", "turn"])
     fact = lambda p, o: t.select(T.iri_of(f"{EX}turn/", F.col("conv_id"), F.col("turn")).alias("s"), F.lit(ex(p)).alias("p"), o.alias("o"))
     facts = [turns(spark, d).select("s", F.lit(ex("next")).alias("p"), "o"), fact("role", T.literal_of(F.col("role"), "string")), fact("number", T.literal_of(F.col("turn"), "bigint"))]
-    found = tables.discover_paths(reduce(DataFrame.unionByName, [*facts, G(spark, d, "orders", "customer").triples()]))
+    found = tables.discover_paths(reduce(DataFrame.unionByName, [*facts, G(spark, d, "orders", "customer").repeated_triples()]))
     return found.select(F.size("paths").alias("paths"), "roots", "kept")
 
 

@@ -424,3 +424,13 @@ def test_path_groups_and_segments(spark):
     wide = spark.createDataFrame([(i, f"{i * 7 % 100:02}", None if i % 4 else "x") for i in range(100)], "node int, v string, w string").repartition(7)
     stats = [r.asDict() for r in tables.column_statistics(wide, 32).where("column = 'v'").orderBy("segment").collect()]
     assert [(r["rows"], r["segment"]) for r in stats] == [(32, 0), (32, 1), (32, 2), (4, 3)]
+
+
+def test_paths_are_found_in_triples_that_repeat(spark):
+    e = lambda x: f"<http://x/{x}>"
+    rows = [(e(f"a{i}"), e("to"), e(f"b{i // 3}")) for i in range(60)] + [(e(f"b{i}"), e(p), '"v"') for i in range(20) for p in ("u", "v")]
+    df = spark.createDataFrame(rows + [(e("a0"), e("name"), '"b0"')], "s string, p string, o string")
+    once = sorted(map(tuple, tables.two_step_paths(df).collect()))
+    assert once == [(e("to"), e(p), 60, 20, 3.0) for p in ("u", "v")]
+    assert sorted(map(tuple, tables.two_step_paths(df.unionByName(df)).collect())) == once
+    assert [(r["roots"], r["fan_in"], r["kept"]) for r in tables.discover_paths(df.unionByName(df)).collect()] == [(60, 3.0, True)]

@@ -9,7 +9,9 @@ the cluster). Long lists are then probed for the sets that came out, in three st
 1. Parities of hashed shingle counts (half a byte a shingle) bound how far two sets differ; most candidates that are no links fall out.
 2. What is left connects classes into groups, and all links lie within groups. Lists of frequent shingles, and others of more than LIST members,
    aren't paired up: each member is a candidate with the list's pivot only (its member of fewest rarer shingles), and in a second
-   round, members that aren't in the list's largest group yet are paired with the others from which T is reachable.
+   round, members that aren't in the list's largest group yet meet the others from which T is reachable, with their parities, in
+   tasks that return one pair a connection of groups. So rows follow the lists' sizes; comparisons of parities in a task still go by
+   the square of a list's members that are in different groups.
 3. The sets of each group are compared exactly, every pair, in blocks: small groups by DivideSkip (for a query, inverted lists
    over its shingles; the short ones heap-merged, candidates whose count can still reach T probed for in the long ones by
    binary search), larger ones with all long lists probed at once, as a product of membership tables. Counts of links and one
@@ -32,7 +34,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import groupby
+from itertools import groupby, pairwise
 
 import numpy as np
 import pandas as pd
@@ -52,7 +54,9 @@ BLOCK = 128  # candidates verified at a time
 GROUP = 512  # members of a group compared with as many at a time
 GROUP_BYTES = 16 << 20  # of their sets
 SMALL = 16  # members of a group that are compared by DivideSkip
-SALTED = 1024  # members of a list a salt
+CELL = 512  # members of a long list that meet as many others in a task
+CELL_BYTES = 16 << 20  # of their parities, at most
+BUNDLE = 4096  # members of lists in a task's bundle
 MAP_BITS = 29
 EMIT = 8 << 20  # bytes of sets in a batch
 
@@ -200,19 +204,101 @@ def pivot_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.select(*ordered_pair(F.col("cls"), F.col("p.cls"))).distinct()
 
 
-def unconnected_pairs(rows: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Candidates of long lists between a member outside the list's largest group and any member of another group."""
+def unconnected_pairs(rows: DataFrame, roots: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """a, b: classes of two groups that meet in a long list, at places from which T is reachable, and that parities allow to be links; enough
+    of them to connect all groups so met. Groups are told apart by roots, and members of a list's largest group aren't compared with each other.
+
+    Pairs never become rows: members go to tasks with their parities. Members reach each other when their intervals [n, hi] of lengths meet,
+    so a list of CELL members at most falls into runs of meeting intervals, of which those of one group go. Runs with the same
+    smallest class have much the same members and share a bundle, of about BUNDLE rows, in which a class has its parities once. Longer lists are dealt
+    into cells: each block of members outside the largest group with each other block."""
     rows = rows.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     rows = stage(rows, "long_lists")
-    sizes = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
-    lists = sizes.groupBy("token").agg(F.max(F.struct("k", "root"))["root"].alias("main"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("roots"))
-    lists = stage(lists.withColumn("salts", F.ceil(F.col("k") / SALTED).cast("int")), "lists")
-    rows = attach(rows, lists, "token", "k", rows.count(), complete=True).where("roots > 1")
-    rest = rows.where(F.col("root") != F.col("main")).select(*(F.col(c).alias(f"{c}2") for c in ("token", "cls", "n", "place", "root")), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt2"))
-    rows = rows.select("token", "cls", "n", "place", "root", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"))
-    near = (F.col("root") != F.col("root2")) & reachable(F.col("n"), F.col("place"), F.col("n2"), F.col("place2"), percent)
-    on = (F.col("token") == F.col("token2")) & (F.col("salt") == F.col("salt2")) & near
-    return rows.join(rest, on).select(*ordered_pair(F.col("cls"), F.col("cls2"))).distinct()
+    sizes = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    lists = sizes.groupBy("token").agg(F.max(F.struct("k", "n", "root")).alias("main"), F.sum("k").alias("k"), F.sum("n").alias("weight"), F.count(F.lit(1)).alias("roots"))
+    rows = attach(rows, stage(lists, "lists"), "token", "k", rows.count(), complete=True).where("roots > 1")
+    long = (F.col("k") > CELL) | (F.col("weight") > CELL_BYTES)
+    blocks = lambda k, n: F.greatest(F.ceil(k / CELL), F.ceil(n / CELL_BYTES)).cast("int")
+
+    by_length = Window.partitionBy("token").orderBy("n", "cls")
+    run, hi = Window.partitionBy("token", "run"), F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent) - F.col("n")
+    short = rows.where(~long).withColumn("apart", F.coalesce(F.max(hi).over(by_length.rowsBetween(Window.unboundedPreceding, -1)) < F.col("n"), F.lit(False)))
+    short = short.withColumn("run", F.sum(F.col("apart").cast("int")).over(by_length.rowsBetween(Window.unboundedPreceding, 0)))
+    short = short.select("token", "run", "cls", "n", "place", "root", F.xxhash64(F.min("cls").over(run)).alias("home"), (F.min("root").over(run) < F.max("root").over(run)).alias("several"))
+    short = stage(short.where("several").drop("several"), "runs")
+    bundles = short.groupBy("home").agg(F.count(F.lit(1)).alias("k"), F.greatest(F.ceil(F.count(F.lit(1)) / BUNDLE), F.ceil(F.sum("n") / CELL_BYTES)).cast("int").alias("parts"))
+    short = attach(short, stage(bundles, "bundles"), "home", "k", short.count(), complete=True)
+    short = short.withColumn("p", F.pmod(F.xxhash64("token", "run"), F.col("parts")).cast("int")).withColumn("q", F.lit(-1))
+
+    others, mains = blocks(F.col("k") - F.col("main.k"), F.col("weight") - F.col("main.n")), blocks(F.col("main.k"), F.col("main.n"))
+    cut = rows.where(long).withColumn("others", others).withColumn("mains", mains).withColumn("outside", F.col("root") != F.col("main.root"))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("cls"), F.when(F.col("outside"), F.col("others")).otherwise(F.col("mains"))).cast("int"))
+    cut = cut.withColumn("block", F.col("block") + F.when(F.col("outside"), 0).otherwise(F.col("others")))  # blocks of the largest group come after the others
+    meets = F.when(F.col("outside"), F.col("others") + F.col("mains")).otherwise(F.col("others"))
+    cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), meets - 1))).withColumn("home", F.col("token"))
+    cut = cut.withColumn("p", F.least("block", "with")).withColumn("q", F.greatest("block", "with"))
+
+    columns = ["home", "p", "q", "cls", "n", "root", "token", "place"]
+    seats = short.select(columns).unionByName(cut.select(columns)).groupBy("home", "p", "q", "cls")
+    seats = seats.agg(F.first("n").alias("n"), F.first("root").alias("root"), F.collect_list(F.struct("token", "place")).alias("lists"))
+    seated = sketches.join(seats, "cls").select("home", "p", "q", "cls", "n", "root", "lists", "sketch")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+        at, held = None, {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            out: list[tuple[bytes, bytes]] = []
+            column = b.column(6)
+            ends = column.offsets.to_numpy() - column.offsets[0].as_py()
+            token, place = (x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten())
+            for i, (*key, cls, n, root, sketch) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 5, 7)), strict=True)):
+                if key != at:
+                    out += connecting(held, percent)
+                    at, held = key, {}
+                held[cls] = n, root, token[ends[i] : ends[i + 1]], place[ends[i] : ends[i + 1]], sketch
+            yield batch(out)
+        yield batch(connecting(held, percent))
+
+    return seated.repartition("home", "p", "q").sortWithinPartitions("home", "p", "q").mapInArrow(lean(search), "a binary, b binary")
+
+
+def connecting(held: dict[bytes, tuple], percent: int) -> list[tuple[bytes, bytes]]:
+    """Of classes (n, root, tokens, places, parities), pairs that may be links: each connects roots that those before it don't."""
+    if len(held) < 2:
+        return []
+    names = list(held)
+    n = np.array([r[0] for r in held.values()], np.int64)
+    group = np.unique(np.array([r[1].hex() for r in held.values()]), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(held)), [len(r[2]) for r in held.values()])
+    token, place = (np.concatenate([r[i] for r in held.values()]) for i in (2, 3))
+    order = np.argsort(token, kind="stable")
+    owner, token, left = owner[order], token[order], (n[owner] - place)[order]
+    met = []
+    for lo, hi in pairwise([0, *(np.flatnonzero(np.diff(token)) + 1).tolist(), len(token)]):
+        i, rest = owner[lo:hi], left[lo:hi]
+        ok = np.minimum(rest[:, None], rest) >= -(-percent * (n[i][:, None] + n[i]) // (100 + percent))
+        x, y = np.nonzero(np.triu(ok & (group[i][:, None] != group[i]), 1))
+        met.append(i[x] * len(held) + i[y])  # owners ascend in each list
+    x, y = np.divmod(np.unique(np.concatenate(met)), len(held))
+    ok = maybe_near_pairs([r[4] for r in held.values()], x, y, percent)
+    top = list(range(len(held)))
+
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = i = top[top[i]]
+        return i
+
+    out = []
+    for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+        g, h = find(int(group[i])), find(int(group[j]))
+        if g != h:
+            top[g] = h
+            out.append((names[i], names[j]))
+    return out
 
 
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], needs: list[int]) -> list[bool]:
@@ -262,6 +348,31 @@ def maybe_near(query: bytes, others: list[bytes], percent: int) -> list[bool]:
     return out
 
 
+def maybe_near_pairs(sketches: list[bytes], x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """maybe_near of the sketches numbered x with those numbered y, many at a time."""
+    n = np.array([int.from_bytes(s[:8], "little") for s in sketches])
+    width = np.array([len(s) // 8 - 1 for s in sketches])  # in words of 64 bits
+    place, tables = np.zeros(len(sketches), np.int64), {}
+    for w in np.unique(width).tolist():
+        of = np.flatnonzero(width == w)
+        place[of] = np.arange(len(of))
+        tables[w] = np.frombuffer(b"".join(sketches[i][8:] for i in of), np.uint64).reshape(len(of), w)
+    x, y = np.where(width[x] <= width[y], x, y), np.where(width[x] <= width[y], y, x)
+    ok = np.zeros(len(x), bool)
+    for v, w in np.unique(np.stack([width[x], width[y]], 1), axis=0).tolist():
+        pairs = np.flatnonzero((width[x] == v) & (width[y] == w))
+        small, large = tables[v], tables[w]
+        while large.shape[1] > v:  # halves add up
+            large = large[:, : large.shape[1] // 2] ^ large[:, large.shape[1] // 2 :]
+        step = max(1, (1 << 17) // v)
+        for lo in range(0, len(pairs), step):
+            some = pairs[lo : lo + step]
+            odd = np.bitwise_count(small[place[x[some]]] ^ large[place[y[some]]]).sum(1, dtype=np.int64)
+            both = n[x[some]] + n[y[some]]
+            ok[some] = odd <= both - 2 * -(-percent * both // (100 + percent))
+    return ok
+
+
 def class_map(classes: DataFrame) -> np.ndarray:
     return bit_map(classes.select("cls"), lambda b: hashes_of([x.as_py() for x in b.column(0)]), MAP_BITS)
 
@@ -426,11 +537,9 @@ def classes_of(df: DataFrame, id_col: str, text_col: str, words: int, percent: i
     pairs, long_rows = short_list_pairs(rows.where("NOT frequent"), percent)
     edges = alike(sketches, pairs.unionByName(pivot_pairs(often, percent)).distinct(), percent)
     roots = connected_components(edges)
-    more = stage(unconnected_pairs(often.unionByName(long_rows.distinct()), roots, percent), "more_pairs")
+    more = stage(unconnected_pairs(often.unionByName(long_rows.distinct()), roots, sketches, percent), "more_pairs")
     if not more.isEmpty():
-        more = alike(sketches, more, percent)
-        if not more.isEmpty():
-            roots = connected_components(edges.unionByName(more))
+        roots = connected_components(edges.unionByName(more))
 
     groups = stage(classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls").select("cls", "size", "n", "root"), "grouped")
     verified = verify(df, text_col, words, percent, groups)

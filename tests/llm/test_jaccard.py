@@ -131,3 +131,54 @@ def test_all_links_are_counted(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "SMALL", small)
         got = {r["doc_id"]: r["n_links"] for r in jaccard.near_duplicates(df, words=3, percent=90).collect()}
         assert got == want
+
+
+def family(seed, size, kinds=4):
+    """Texts of a family share 9 in 10 of the pieces, and few are links; some come again with one word changed."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    docs = []
+    for _ in range(kinds):
+        line = [[word() for _ in range(6)] for _ in range(40)]
+        for _ in range(size):
+            t = [w for part in line for w in (part if rng.random() < 0.9 else [word()] * 3)]
+            docs += [t] + [t[:-1] + [word()] for _ in range(rng.randint(0, 3) // 3)]
+    return [(i * 7 % 10007, " ".join(t)) for i, t in enumerate(docs)]
+
+
+def test_members_of_long_lists_never_become_pairs(spark, monkeypatch):
+    """What goes to tasks as rows follows the rows of lists, not the square of a family that is no group of links."""
+    docs = family(1, 30)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(1)
+    asked, alike = [], jaccard.alike
+
+    def counted(sketches, pairs, percent):
+        asked.append(pairs.count())
+        return alike(sketches, pairs, percent)
+
+    monkeypatch.setattr(jaccard, "LIST", 4)
+    monkeypatch.setattr(jaccard, "alike", counted)
+    got = answer(df, words=3, percent=80)
+    assert got == brute(docs, 3, 80) and len({top for _, top in got.values()}) > 60
+    assert len(asked) == 1, f"{asked} pairs of {len(docs)} texts"
+
+
+@pytest.mark.parametrize(("seed", "cell", "room", "bundle"), [(2, 512, 1 << 24, 8), (3, 3, 1 << 24, 4096), (4, 512, 700, 4096), (5, 5, 1 << 24, 1)])
+def test_cells_and_bundles_lose_no_link(spark, monkeypatch, seed, cell, room, bundle):
+    docs = family(seed, 14) + [(20000 + i, t) for i, t in copies(seed)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for name, value in (("LIST", 2), ("CELL", cell), ("CELL_BYTES", room), ("BUNDLE", bundle)):
+        monkeypatch.setattr(jaccard, name, value)
+    assert answer(df, words=3, percent=75) == brute(docs, 3, 75)
+
+
+def test_parities_of_many_pairs_are_those_of_each():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 900).astype(np.uint64)
+    sketches = [jaccard.parities(np.unique(base[rng.integers(0, 400) : rng.integers(401, 900)])) for _ in range(60)]
+    x, y = (a.ravel() for a in np.meshgrid(np.arange(60), np.arange(60)))
+    for percent in (50, 80, 90):
+        got = jaccard.maybe_near_pairs(sketches, x, y, percent).tolist()
+        assert got == [jaccard.maybe_near(sketches[i], [sketches[j]], percent)[0] for i, j in zip(x, y)] and 0 < sum(got) < len(got)
